@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from websheaf.llm import exact_dedup, mixing, simhash
+from websheaf.llm import bpe, exact_dedup, mixing, simhash, toxicity
 from websheaf.llm.storage import table, written
 
 
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = toxicity.trained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity.without_toxic(docs, model)
+
+
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.without_exact_duplicates(docs)
 
@@ -20,10 +25,16 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return mixing.mixture(docs)
 
 
+def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.round_trip_digests(docs, bpe.default_path())
+
+
 STAGES = [
+    ("toxicity", toxicity_stage),
     ("exact dedup", exact_dedup_stage),
     ("simhash near-dedup", near_dedup_stage),
     ("source mixing", mixing_stage),
+    ("bpe", bpe_stage),
 ]
 
 #: SimHash, tagging and tokens have no SQL form; tests compare run() with a brute-force version.

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from websheaf.llm import exact_dedup, mixing, simhash
+from websheaf.llm import bpe, exact_dedup, mixing, simhash, toxicity
 
 QUERIES = {
     "op5_simhash_near_dedup": simhash.op5_simhash,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op8_bpe": bpe.op8_bpe,
     "op9_source_mixing": mixing.op9_mixing,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 SQL = {"op7_exact_dedup": exact_dedup.OP7_SQL, "op9_source_mixing": mixing.OP9_SQL}
