@@ -24,7 +24,8 @@ def source_targets(sizes: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, max_
 
     All sizes are shared by weight; a source stops at max_repeats times its size and the excess is shared by weight among
     the others until none is above. That fixed point is water filling: with sources in ascending order of size / weight,
-    those before some place stop and the rest get one level times their weight. The windows span the sources only.
+    those before some place stop and the rest get one level times their weight; levels fall from that place on, so it is the
+    largest level that keeps its own source under its stop. The windows span the sources only.
     """
     order = Window.orderBy(F.col("source").asc_nulls_last())
     weight = F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int"))
@@ -35,7 +36,7 @@ def source_targets(sizes: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, max_
     everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     level = (F.sum("source_size").over(everything) - F.coalesce(F.sum("stop").over(before), F.lit(0.0))) / F.sum("w").over(rest)
     levels = weighed.withColumn("level", level)
-    final = F.min(F.when(F.col("level") * F.col("w") <= F.col("stop"), F.col("level"))).over(everything)
+    final = F.max(F.when(F.col("level") * F.col("w") <= F.col("stop"), F.col("level"))).over(everything)
     target = F.least("stop", F.coalesce(final, F.lit(0.0)) * F.col("w"))
     return levels.select("source", "source_size", F.round(target, 6).alias("target"))
 
@@ -80,7 +81,7 @@ WITH d AS (
             / sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
   FROM w WINDOW o AS (ORDER BY stop / w, source NULLS LAST)
 ), t AS (
-  SELECT source, source_size, round(least(stop, coalesce(min(CASE WHEN level * w <= stop THEN level END) OVER (), 0) * w), 6) AS target FROM l
+  SELECT source, source_size, round(least(stop, coalesce(max(CASE WHEN level * w <= stop THEN level END) OVER (), 0) * w), 6) AS target FROM l
 ), r AS (
   SELECT d.doc_id, d.size, t.source_size, t.target,
          least(3.0::DOUBLE, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END) AS rate,
