@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from websheaf.llm import bpe, exact_dedup, language_id, mixing, simhash, token_store, topk_search, toxicity
+from websheaf.llm import bpe, chat_format, exact_dedup, language_id, mixing, simhash, token_store, topk_search, toxicity
 
 QUERIES = {
     "op1_topk_search": topk_search.op1_topk_search,
     "op3_token_store": token_store.op3_token_store,
     "op4_language_id": language_id.op4_language_id,
     "op5_simhash_near_dedup": simhash.op5_simhash,
+    "op6_chat_format": chat_format.op6_chat_format,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_bpe": bpe.op8_bpe,
     "op9_source_mixing": mixing.op9_mixing,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 
-SQL = {"op1_topk_search": topk_search.OP1_SQL, "op7_exact_dedup": exact_dedup.OP7_SQL, "op9_source_mixing": mixing.OP9_SQL}
+SQL = {"op1_topk_search": topk_search.OP1_SQL, "op6_chat_format": chat_format.OP6_SQL, "op7_exact_dedup": exact_dedup.OP7_SQL, "op9_source_mixing": mixing.OP9_SQL}
