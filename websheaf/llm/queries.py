@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from websheaf.llm import bpe, chat_format, exact_dedup, language_id, mixing, simhash, token_store, topk_search, toxicity
+from websheaf.llm import bpe, chat_format, exact_dedup, html_extract, language_id, mixing, simhash, token_store, topk_search, toxicity
 
 QUERIES = {
     "op1_topk_search": topk_search.op1_topk_search,
+    "op2_html_extraction": html_extract.op2_html_extraction,
     "op3_token_store": token_store.op3_token_store,
     "op4_language_id": language_id.op4_language_id,
     "op5_simhash_near_dedup": simhash.op5_simhash,
