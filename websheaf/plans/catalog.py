@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from websheaf.plans import fusion
+from websheaf.plans import fusion, logs
 
 FLAGSHIP = "a01_engine_pools"
-_MODULES = (fusion,)
+_MODULES = (fusion, logs)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
