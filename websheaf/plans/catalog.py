@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from websheaf.plans import fusion, logs
+from websheaf.plans import fusion, logs, urls
 
 FLAGSHIP = "a01_engine_pools"
-_MODULES = (fusion, logs)
+_MODULES = (fusion, logs, urls)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
