@@ -90,7 +90,8 @@ def dedup_normal(url: Column) -> Column:
 
 def in_hosts(host: Column, hosts: list[str]) -> Column:
     """The host is one of these or a subdomain of one: a set lookup per suffix instead of a test per host."""
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(F.split(host, r"\."))), lambda i: F.array_join(F.slice(F.split(host, r"\."), i, F.lit(99)), "."))
+    most = max(h.count(".") for h in hosts) + 1
+    suffixes = F.array(*[F.substring_index(host, ".", -k) for k in range(1, most + 1)])
     return F.arrays_overlap(suffixes, F.array(*map(F.lit, hosts)))
 
 
