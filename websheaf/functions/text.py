@@ -7,6 +7,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 MAX_SNIPPET = 500
 #: The English and German stop words of the density measure.
@@ -50,7 +51,7 @@ def squeezed(text: Column) -> Column:
     return strip(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescape(text: pd.Series) -> pd.Series:
     """Character references decoded once."""
     return text.map(html.unescape, na_action="ignore")
@@ -62,7 +63,7 @@ def _fixpoint(text: str) -> str:
     return text
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescape_all(text: pd.Series) -> pd.Series:
     """Character references decoded until none is left."""
     return text.map(_fixpoint, na_action="ignore")
@@ -82,7 +83,7 @@ def doubled_cut(text: str, lengths: tuple[int, ...] = (100, 70, 50, 30), head: i
     return best
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def without_doubled(text: pd.Series) -> pd.Series:
     return text.map(lambda t: t[doubled_cut(t) :], na_action="ignore")
 

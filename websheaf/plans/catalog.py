@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from websheaf.plans import fusion, logs, text, urls
+from websheaf.plans import fusion, ingest, logs, text, urls
 
 FLAGSHIP = "a01_engine_pools"
-_MODULES = (fusion, logs, text, urls)
+_MODULES = (fusion, logs, ingest, text, urls)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

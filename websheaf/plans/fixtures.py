@@ -130,9 +130,12 @@ def sql(body: str, **more: str) -> str:
     known = SQL | DERIVED | more
     need: list[str] = []
 
+    seen: set[str] = set()
+
     def visit(text: str) -> None:
         for name in known:
-            if name not in need and re.search(rf"\b(?:FROM|JOIN)\s+{name}\b", text):
+            if name not in seen and re.search(rf"\b(?:FROM|JOIN)\s+{name}\b", text):
+                seen.add(name)
                 visit(known[name])
                 need.append(name)
 
