@@ -48,7 +48,7 @@ def words_of(text: str) -> list[str]:
     return (_ANY if _BEYOND_LATIN.search(text) else _LATIN).findall(text)
 
 
-def _byte_letters() -> dict[str, int]:
+def byte_letters() -> dict[str, int]:
     """Vocabulary files write printable bytes as themselves and the others, in order, from U+0100 on."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     rest = [b for b in range(256) if b not in set(plain)]
@@ -61,7 +61,7 @@ class Vocabulary:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        letter = _byte_letters()
+        letter = byte_letters()
         ids = spec["model"]["vocab"]
         self.bytes_of = {i: bytes(map(letter.__getitem__, t)) for t, i in ids.items()}
         self.byte_id = [0] * 256

@@ -9,15 +9,18 @@ A store is a folder with three Parquet tables:
 from __future__ import annotations
 
 import hashlib
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from websheaf.llm.bpe import CACHED_WORDS, default_path, words_of
+from websheaf.llm.bpe import CACHED_WORDS, byte_letters, default_path, words_of
 from websheaf.llm.chunking import chunk_ends
 from websheaf.llm.storage import new_path, table, text_slices, written
 
@@ -29,36 +32,62 @@ Batches = Iterator[pa.RecordBatch]
 
 
 class LibraryEncoder:
-    """Ids as the tokenizers library gives them; what it says of a word is remembered for 2 * CACHED_WORDS words."""
+    """Packed ids as the tokenizers library gives them; what it says of a word is remembered for 4 * CACHED_WORDS words."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.code = "H" if max(self.library.get_vocab_size() - 1, end_id) < 1 << 16 else "I"
+        self.merge = self.library.model.tokenize
+        letter_of = {b: c for c, b in byte_letters().items()}
+        self.letters = "".join(letter_of[b] for b in range(256))
+        self.width = "<u2" if self.code == "H" else "<u4"
+        self.begins = np.zeros(self.library.get_vocab_size(), bool)
+        for token, i in self.library.get_vocab().items():
+            self.begins[i] = token.startswith(self.letters[32])
         self.young, self.old = {}, {}
-        self.wide = self.library.get_vocab_size() > 1 << 16
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def packed(self, ids: list[int]) -> bytes:
+        out = array(self.code, ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
+
+    def word(self, word: str) -> bytes:
+        """The library's own merging of one piece, whose bytes it wants written as its vocabulary writes them."""
+        return self.packed([t.id for t in self.merge(word.encode().decode("latin-1").translate(self.letters))])
+
+    def words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of pieces. Those of a space and letters go to the library together, as the text that they form: it
+        splits that text at the spaces again, and an id begins a piece exactly if its token begins with a space."""
+        plain = [w for w in words if w[0] == " " and w[1:].isalpha()]
+        found = {}
+        for i in range(0, len(plain), 2000):
+            some = plain[i : i + 2000]
+            ids = np.array(self.library.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, self.width)
+            at = np.flatnonzero(self.begins[ids])
+            if len(at) == len(some):
+                data, ends = ids.tobytes(), [*(at * ids.itemsize).tolist(), ids.nbytes]
+                found.update(zip(some, [data[x:y] for x, y in zip(ends, ends[1:])]))
+        return found | {w: self.word(w) for w in words if w not in found}
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian numbers of 16 bits, or of 32 where the vocabulary needs them."""
         split = [None if any(s in t for s in self.specials) else words_of(t) for t in texts]
-        missing = {w for words in split if words for w in set(words) if w not in self.young}
-        known = {w: self.old[w] for w in missing if w in self.old}
-        missing = [w for w in missing if w not in known]
-        for w, e in zip(missing, self.library.encode_batch_fast(missing, add_special_tokens=False)):
-            known[w] = e.ids
-        if len(self.young) + len(known) > CACHED_WORDS:
-            self.old, self.young = self.young, {w: self.young[w] for words in split if words for w in words if w in self.young}
+        words: set[str] = set()
+        for w in split:
+            words.update(w or ())
+        missing = words.difference(self.young)
+        known = {w: self.old[w] for w in missing.intersection(self.old)}
+        new = list(missing.difference(known))
+        known.update(self.words(new))
+        if len(self.young) + len(known) > 2 * CACHED_WORDS:
+            self.old, self.young = self.young, {w: self.young[w] for w in words.intersection(self.young)}
         self.young.update(known)
-        word, out = self.young.__getitem__, []
-        for text, words in zip(texts, split):
-            ids: list[int] = []
-            if words is None:
-                ids = self.library.encode(text, add_special_tokens=False).ids
-            else:
-                for w in words:
-                    ids += word(w)
-            out.append(ids)
-        return out
+        word = self.young.__getitem__
+        return [self.packed(self.library.encode(t, add_special_tokens=False).ids) if w is None else b"".join(map(word, w)) for t, w in zip(texts, split)]
 
 
 def merkle(leaves) -> bytes:
@@ -86,17 +115,16 @@ _PARTS_DDL = "kind string, key binary, ids binary, n_ids long, doc_id long, root
 
 def _parts(path: str, end_id: int):
     def run(batches: Batches) -> Batches:
-        encoder = LibraryEncoder(path)
-        width = "<u4" if encoder.wide or end_id >= 1 << 16 else "<u2"
+        encoder = LibraryEncoder(path, end_id)
+        width = encoder.width
+        end = encoder.packed([end_id])
         for batch in batches:
             uids, doc_ids = batch["uid"].to_pylist(), batch["doc_id"].to_pylist()
             texts = [t or "" for t in batch["text"].to_pylist()]
-            for a, b in text_slices(texts, 2_000_000):
-                streams = encoder.encode(texts[a:b])
-                for ids in streams:
-                    ids.append(end_id)
-                bounds = np.cumsum([0, *map(len, streams)]).tolist()
-                symbols = np.fromiter((i for s in streams for i in s), width, bounds[-1])
+            for a, b in text_slices(texts, 1_500_000):
+                streams = [x + end for x in encoder.encode(texts[a:b])]
+                bounds = np.cumsum([0, *[len(x) // len(end) for x in streams]]).tolist()
+                symbols = np.frombuffer(b"".join(streams), width)
                 recipes, chunks = [], {}
                 for start, ends, uid, doc_id in zip(bounds, chunk_ends(symbols, bounds, *CHUNK), uids[a:b], doc_ids[a:b]):
                     keys, lengths = [], []
@@ -120,8 +148,6 @@ def _shard_roots(batches: Batches) -> Batches:
         for batch in batches:
             yield from zip(batch["shard"].to_pylist(), batch["n_tokens"].to_pylist(), batch["root"].to_pylist())
 
-    from itertools import groupby
-
     for shard, docs in groupby(rows(), key=lambda r: r[0]):
         count = [0, 0]
 
