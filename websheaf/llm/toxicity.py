@@ -134,10 +134,11 @@ def fit(rows: list[tuple[str, int]]) -> ToxicityModel:
     frequent = [m for m, n in (counts[0] + counts[1]).items() if n >= 20 and m not in marks]
     index = {m: i + 5 for i, m in enumerate(sorted(marks) + sorted(frequent, key=lambda m: (-counts[0][m], m))[:20_000])}
     model = ToxicityModel(Features(index), ChainModel(len(index) + 5, 2), np.array([-2.0, 0.0, 0.0, 0.0]))
-    tagged = [r for y in (0, 1) for r in [r for r in rows if r[1] == y and len(r[0]) <= TAGGED_CHARS][:TAGGED_ROWS]]
+    short = [r for r in rows if len(r[0]) <= TAGGED_CHARS]
+    tagged = [r for y in (0, 1) for r in [x for x in short if x[1] == y][:TAGGED_ROWS]]
     tokens = Tokens([t for t, _ in tagged])
     marked = np.array([any(m in marks for m in marks_of(w)) for w in tokens.words], bool)[tokens.kind] if tokens.words else np.zeros(0, bool)
-    labels = (marked & np.repeat([bool(y) for _, y in tagged], np.diff(tokens.bounds))).astype(np.int64)
+    labels = (marked & np.repeat(np.array([y for _, y in tagged], bool), np.diff(tokens.bounds))).astype(np.int64)
     if labels.any():
         model.chain.fit(tokens.chains(model.features), labels, rounds=ROUNDS)
     texts, y = [t for t, _ in rows], np.array([c for _, c in rows], float)
