@@ -79,7 +79,7 @@ def _clustered(x: np.ndarray, k: int) -> np.ndarray:
     return c
 
 
-def fit(rows: list[tuple[str, list[int], list[int]]]) -> LanguageModel:
+def fit(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> LanguageModel:
     """From (language, buckets, counts) of labelled texts."""
     rows = [r for r in rows if len(r[1])]
     seen = np.zeros(BUCKETS)
@@ -91,7 +91,7 @@ def fit(rows: list[tuple[str, list[int], list[int]]]) -> LanguageModel:
     for i, language in enumerate(languages):
         x = np.zeros((sum(r[0] == language for r in rows), BUCKETS), np.float32)
         for j, (_, at, counts) in enumerate(r for r in rows if r[0] == language):
-            w = (1 + np.log(np.array(counts))) * idf[at]
+            w = (1 + np.log(counts)) * idf[at]
             x[j, at] = w / np.sqrt(w @ w)
         c = _clustered(x, CENTROIDS)
         centroids.append(c)
@@ -103,10 +103,8 @@ def fit(rows: list[tuple[str, list[int], list[int]]]) -> LanguageModel:
 def _gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [gram_counts(t or "") for t in batch["text"].to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [batch["doc_id"], batch["lang"], pa.array([a.tolist() for a, _ in found], pa.list_(pa.int32())), pa.array([c.tolist() for _, c in found], pa.list_(pa.int32()))],
-            ["doc_id", "lang", "at", "counts"],
-        )
+        packed = [pa.array([x.astype(kind).tobytes() for x in part], pa.binary()) for part, kind in zip(zip(*found), ("<u2", "<u4"))] if found else [pa.array([], pa.binary())] * 2
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["lang"], *packed], ["doc_id", "lang", "at", "counts"])
 
 
 def trained(docs: DataFrame) -> LanguageModel:
@@ -121,8 +119,9 @@ def trained(docs: DataFrame) -> LanguageModel:
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, SAMPLE_ROWS / n))]) if sizes else F.lit(None)
     unit = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 30)) / float(1 << 30)
     drawn = rows.filter(unit < share[F.col("lang")]) if sizes else rows.limit(0)
-    found = drawn.mapInArrow(_gram_rows, "doc_id long, lang string, at array<int>, counts array<int>").limit(2 * SAMPLE_ROWS * max(1, len(sizes))).collect()
-    return fit([(r["lang"], r["at"], r["counts"]) for r in sorted(found, key=lambda r: (r["doc_id"], r["lang"]))])
+    found = drawn.mapInArrow(_gram_rows, "doc_id long, lang string, at binary, counts binary").limit(2 * SAMPLE_ROWS * max(1, len(sizes))).collect()
+    found.sort(key=lambda r: (r["doc_id"], r["lang"]))
+    return fit([(r["lang"], np.frombuffer(r["at"], "<u2"), np.frombuffer(r["counts"], "<u4")) for r in found])
 
 
 def predictions(docs: DataFrame, model: LanguageModel) -> DataFrame:
