@@ -84,7 +84,7 @@ def markdown_folder(spark: SparkSession, path: str) -> DataFrame:
 
 def proxy_list(bodies: DataFrame, protocol: str) -> DataFrame:
     """(key) of plain or decorated lists (body): every address with a port from 1 to 65535; users are dropped."""
-    found = F.explode(F.regexp_extract_all("body", F.lit(r"(?:(\w+)://)?(?:[^\s@/]+@)?((?:\d{1,3}\.){3}\d{1,3}:\d{1,5})"), 0)).alias("m")
+    found = F.explode(F.regexp_extract_all("body", F.lit(r"(?:(\w+)://)?(?:[^\s@/]+@)?((?:\d{1,3}\.){3}\d{1,3}:\d{1,5})(?!\d)"), 0)).alias("m")
     rows = bodies.select(found)
     proto = F.regexp_extract("m", r"^(\w+)://", 1)
     address = F.regexp_extract("m", r"((?:\d{1,3}\.){3}\d{1,3}):0*(\d{1,5})$", 1)
