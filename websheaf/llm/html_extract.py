@@ -15,8 +15,8 @@ from websheaf.llm.html_blocks import Block, blocks
 from websheaf.llm.page_templates import labelled_pages
 from websheaf.llm.storage import table
 
-#: Labelled pages that train the extractor, their seed, and rounds.
-PAGES, SEED, ROUNDS = 500, 1, 80
+#: Labelled pages that train the extractor, their seed, rounds, and the penalty on squared weights.
+PAGES, SEED, ROUNDS, L2 = 800, 1, 150, 1e-5
 
 
 def features(b: Block, count: int) -> list[str]:
@@ -56,7 +56,7 @@ def fit(pages: list[tuple[str, dict[str, bool]]], rounds: int = ROUNDS) -> Extra
     names = sorted({f for page in parsed for b in page for f in features(b, len(page))} - {"any"})
     model = Extractor({f: i for i, f in enumerate(["any", *names])}, ChainModel(len(names) + 1, 2))
     labels = np.array([bool(known.get(b.text)) for page, (_, known) in zip(parsed, pages) for b in page], np.int64)
-    model.chain.fit(model.chains_of(parsed), labels, rounds=rounds)
+    model.chain.fit(model.chains_of(parsed), labels, rounds=rounds, l2=L2)
     return model
 
 

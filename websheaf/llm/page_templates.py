@@ -19,6 +19,8 @@ _CHROME = {
     "comments": "comments comment comment-list comment-body reader-comments responses discussion disqus reply".split(),
     "share": "share social social-links share-buttons".split(),
 }
+#: Words that any part of a page may have in its names.
+_PARTS = "container wrapper box area block inner outer section content list main body group holder row page".split()
 _BODIES = ["article", "main", "post", "post-body", "entry-content", "article-body", "content", "story", "main-content"]
 
 
@@ -51,7 +53,11 @@ class _Page:
         if tag in ("nav", "header", "footer", "aside", "form") and self.r.random() < 0.5:
             return f"<{tag}>", f"</{tag}>"
         attr = self.r.choice(["class", "class", "id"])
-        return f'<{tag} {attr}="{self.r.choice(_CHROME[kind])}">', f"</{tag}>"
+        return f'<{tag} {attr}="{self.suffixed(self.r.choice(_CHROME[kind]))}">', f"</{tag}>"
+
+    def suffixed(self, name: str) -> str:
+        """Names are often compounds with a word that says nothing: ad-container, comments-area."""
+        return f"{name}-{self.r.choice(_PARTS)}" if self.r.random() < 0.4 else name
 
     def chrome(self, kind: str) -> str:
         r = self.r
@@ -98,21 +104,21 @@ class _Page:
             kind = r.random()
             if kind < 0.72:
                 out.append(self.block("p", True, 1, 120))
-            elif kind < 0.8:
+            elif kind < 0.74:
                 out.append(self.block(r.choice(["h2", "h3", "blockquote", "pre", "div"]), True, 1, 30))
-            elif kind < 0.86:
+            elif kind < 0.8:
                 tag = r.choice(["ul", "ol"])
                 out.append(f"<{tag}>" + "".join(self.block("li", True, 1, 25) for _ in range(r.randint(2, 6))) + f"</{tag}>")
-            elif kind < 0.87:
+            elif kind < 0.82:
                 section = r.choice(["section", "section", 'div class="section"', "div"])
                 out.append(f"<{section}>" + self.block("h2", True, 1, 8) + "".join(self.block("p", True, 2, 90) for _ in range(r.randint(1, 3))) + f"</{section.split()[0]}>")
-            elif kind < 0.89:
+            elif kind < 0.84:
                 out.append("<table><tr>" + "".join(self.block("td", True, 1, 6) for _ in range(r.randint(2, 6))) + "</table>")
-            elif kind < 0.91:
+            elif kind < 0.86:
                 out.append("<figure>" + self.block("figcaption", True, 3, 20) + "</figure>")
             else:
                 out.append(self.chrome(r.choice(["advert", "advert", "notice", "form", "share", "sidebar"])))
-        if r.random() < 0.25:
+        if r.random() < 0.4:
             out.append(self.chrome("comments"))
         inner = "".join(out)
         shape = r.random()
@@ -123,7 +129,7 @@ class _Page:
             return f"<main>{inner}</main>"
         if shape < 0.75:
             return f'<main><article class="{name}">{inner}</article></main>'
-        return f'<div {r.choice(["class", "id"])}="{name}">{inner}</div>'
+        return f'<div {r.choice(["class", "id"])}="{self.suffixed(name)}">{inner}</div>'
 
     def page(self) -> str:
         r = self.r
@@ -134,7 +140,7 @@ class _Page:
         foot = [self.chrome("footer")] if r.random() < 0.85 else []
         inner = "".join([*top, self.article(), *rest, *foot])
         if r.random() < 0.3:
-            inner = f'<div class="{r.choice(["wrapper", "container", "page", "layout"])}">{inner}</div>'
+            inner = f'<div class="{self.suffixed(r.choice(["wrapper", "container", "page", "layout", "site"]))}">{inner}</div>'
         return f"<!DOCTYPE html><html><head><title>{html.escape(self.words(2, 8))}</title><style>p{{margin:0}}</style></head><body>{inner}</body></html>"
 
 
