@@ -188,3 +188,15 @@ def citation_pdf(page: Column) -> Column:
 def links(page: Column) -> Column:
     """href values of a page, in order."""
     return F.regexp_extract_all(page, F.lit(r"href=\"([^\"]*)\""), 1)
+
+
+def stated_date(page: Column) -> Column:
+    """A page's publication day: JSON-LD, then the usual meta tags (either attribute first), then a time element; null
+    without one."""
+    day = r"(\d{4}-\d{2}-\d{2})"
+    name = r"(?:article:published_time|datePublished|date|pubdate|publishdate)"
+    patterns = [
+        rf'(?is)"datePublished"\s*:\s*"{day}', rf"(?is)<meta[^>]+(?:name|property|itemprop)=[\"']{name}[\"'][^>]+content=[\"']{day}",
+        rf"(?is)<meta[^>]+content=[\"']{day}[^\"']*[\"'][^>]+(?:name|property|itemprop)=[\"']{name}[\"']", rf"(?is)<time[^>]+datetime=[\"']{day}",
+    ]
+    return F.coalesce(*[F.nullif(F.regexp_extract(page, p, 1), F.lit("")) for p in patterns])

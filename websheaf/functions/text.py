@@ -196,3 +196,11 @@ def indexed_counts(text: Column) -> Column:
     """(files, chunks) of `Done: N files indexed (M chunks)`; 0 where it isn't said."""
     number = lambda i: F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(text, r"Done: (\d+) files? indexed \((\d+) chunks?\)", i), F.lit("")), F.lit("999999999")).cast("int"), F.lit(0))
     return F.struct(number(1).alias("files"), number(2).alias("chunks"))
+
+
+def book_snippet(author: Column, year: Column, editions: Column, access: Column) -> Column:
+    """What is known of a book: author and year where they are, editions, and how it can be read."""
+    rest = F.concat(F.coalesce(editions, F.lit(0)).cast("string"), F.lit(" eds, ebook: "), F.coalesce(access, F.lit("unknown")))
+    who = F.when((author != "") & year.isNotNull(), F.concat(author, F.lit(" ("), year.cast("string"), F.lit(") — "))).when(author != "", F.concat(author, F.lit(" — ")))
+    when = F.when(year.isNotNull(), F.concat(F.lit("("), year.cast("string"), F.lit(") — ")))
+    return F.concat(F.coalesce(who, when, F.lit("")), rest)

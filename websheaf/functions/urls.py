@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Hosts and path marks of the url classes.
 PDF_HOSTS = "arxiv.org aclanthology.org openreview.net biorxiv.org medrxiv.org chemrxiv.org osf.io mdpi.com pmc.ncbi.nlm.nih.gov inspirehep.net zenodo.org hal.science hal.archives-ouvertes.fr europepmc.org".split()
@@ -254,3 +259,21 @@ def has_signal(text: Column, signals: list[str]) -> Column:
 def first_match(text: Column, rules: list[tuple[str, str]], default: str) -> Column:
     """Label of the first (pattern, label) that is found in the text."""
     return F.coalesce(*[F.when(text.rlike(p), F.lit(label)) for p, label in rules], F.lit(default))
+
+
+def connect_fail(error: Column) -> Column:
+    """Kind of a failed connection, by its text: a page's own timeout, the network's, a proxy's refusal, or another."""
+    low = F.lower(F.coalesce(error, F.lit("")))
+    proxy = low.contains("err_proxy") | low.contains("err_tunnel") | low.contains("socks")
+    return F.when(low.contains("ms exceeded"), "page_timeout").when(low.contains("net::err_timed_out"), "net_timed_out").when(proxy, "proxy_connect").otherwise("other")
+
+
+def page_shape(host: Column, shapes: list[tuple[str, str]], default: str = "other") -> Column:
+    """The shape of the first (mark, shape) whose mark the host holds."""
+    return F.coalesce(*[F.when(host.contains(m), F.lit(shape)) for m, shape in shapes], F.lit(default))
+
+
+@F.pandas_udf(StringType())
+def config_hash(config: pd.Series) -> pd.Series:
+    """First ten hex digits of the SHA-256 of a configuration's JSON with sorted keys, as Python writes it."""
+    return config.map(lambda c: hashlib.sha256(json.dumps(json.loads(c), sort_keys=True).encode()).hexdigest()[:10], na_action="ignore")

@@ -135,3 +135,28 @@ def entry_rows(feed: DataFrame, site: str) -> DataFrame:
     ok = feed.filter((F.coalesce("pathname", F.lit("")) != "") & (F.length("date") >= 10))
     day = F.left("date", F.lit(10))
     return ok.select(F.concat(F.lit(site), "pathname").alias("url"), F.concat(day, F.lit("T00:00:00Z")).alias("lastmod"), day.alias("publication_date"), "title")
+
+
+def selection_totals(rows: DataFrame) -> DataFrame:
+    """Counts of (source, cls, short) winners by source and class, by source, by class, and in all: null stands for any."""
+    return rows.cube("source", "cls").agg(F.count("*").alias("n"), count_if(F.col("short")).alias("short_n"))
+
+
+def clean_pass(entries: DataFrame, raw: DataFrame) -> DataFrame:
+    """Entries (hash, url, publication_date) with their cleaned page (hash, body): file names, and what became of them."""
+    out = entries.join(raw.select("hash", "body", F.lit(True).alias("__raw")), "hash", "left")
+    state = F.when(F.col("__raw").isNull(), "missing").when(F.coalesce("body", F.lit("")) == "", "bodyless").otherwise("cleaned")
+    name = F.concat(F.when(F.coalesce("publication_date", F.lit("")) == "", "unknown").otherwise(F.col("publication_date")), F.lit("__"), "hash", F.lit(".md"))
+    return out.select("hash", "url", state.alias("state"), F.when(state == "cleaned", name).alias("file"))
+
+
+def blocked_batches(batches: DataFrame, by: str) -> DataFrame:
+    """Crawl batches (batch, blocked) with what the crawl does after them: go on, back off after a first blocked one, stop
+    after a second in a row; batches past a stop are left out."""
+    w = Window.partitionBy(by).orderBy("batch")
+    hit = F.col("blocked") > 0
+    again = hit & F.coalesce(F.lag("blocked").over(w) > 0, F.lit(False))
+    rows = batches.withColumn("again", again)
+    over = F.coalesce(F.max(F.col("again").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    action = F.when(F.col("again"), "stop").when(hit, "back off").otherwise("go on")
+    return rows.withColumn("over", over).filter("over = 0").select(by, "batch", "blocked", action.alias("action"))

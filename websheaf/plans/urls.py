@@ -82,8 +82,8 @@ def _outcomes(s: SparkSession, d: str) -> DataFrame:
 
 
 def _connect_fail(s: SparkSession, d: str) -> DataFrame:
-    text = F.element_at(F.array(*map(F.lit, ["ERR_TIMED_OUT", "net::ERR_TUNNEL x", "ERR_PROXY_FAILED", "odd"])), (F.col("id") % 4 + 1).cast("int"))
-    return made(s, d).select("id", u.first_match(text, [("TIMED_OUT|[Tt]imeout", "timeout"), ("TUNNEL", "tunnel"), ("PROXY", "proxy")], "other").alias("kind"))
+    text = F.element_at(F.array(F.lit("Timeout 30000ms exceeded"), F.lit("net::ERR_TIMED_OUT"), F.lit("ERR_TUNNEL_FAILED"), F.lit("SOCKS error"), F.lit(None).cast("string")), (F.col("id") % 5 + 1).cast("int"))
+    return made(s, d).select("id", u.connect_fail(text).alias("kind"))
 
 
 def _query(s: SparkSession, d: str) -> DataFrame:
@@ -173,5 +173,5 @@ SQL = {
     "p34_proxy_key": sql("SELECT id, CASE WHEN id % 2 = 0 THEN 'socks5' ELSE 'http' END || '://10.0.0.' || (id % 200) || ':' || (id % 9000 + 1) AS key FROM made"),
     "p36_p37_outcomes": sql("""SELECT id, CASE WHEN id % 11 = 0 THEN 'error' WHEN id % 5 = 1 THEN 'waf_429' WHEN id % 5 > 1 THEN 'http_error' WHEN id % 211 < 100 THEN 'empty' ELSE 'ok' END AS outcome,
   CASE WHEN id % 5 = 2 THEN 'dead' WHEN id % 5 > 0 THEN 'fail' WHEN id % 7 = 0 THEN 'ok' ELSE 'fail' END AS gate FROM made"""),
-    "p39_connect_fail": sql("SELECT id, (['timeout', 'tunnel', 'proxy', 'other'])[(id % 4 + 1)::INTEGER] AS kind FROM made"),
+    "p39_connect_fail": sql("SELECT id, (['page_timeout', 'net_timed_out', 'proxy_connect', 'proxy_connect', 'other'])[(id % 5 + 1)::INTEGER] AS kind FROM made"),
 }
