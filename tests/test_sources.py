@@ -94,3 +94,11 @@ def test_written_texts(spark, tmp_path):
     assert readers.markdown_folder(spark, str(tmp_path / "p.md")).first().source_url == "u"
     ledger = readers.sources_ledger(spark.createDataFrame([("a", "k")], "source string, key string"), ["a", "b"]).collect()
     assert sorted(map(tuple, ledger)) == [("a", True, 1), ("b", False, 0)]
+
+
+def test_recent_files(spark, tmp_path):
+    import os
+
+    put(tmp_path, "new.txt", "x")
+    os.utime(put(tmp_path, "old.txt", "x"), (1_000_000, 1_000_000))
+    assert [r.path.rsplit("/", 1)[1] for r in readers.recent_files(spark, str(tmp_path), F.current_timestamp()).collect()] == ["new.txt"]

@@ -60,15 +60,15 @@ def garbage(text: Column) -> Column:
     """Why a text is no content: the first rule that fires; null for content. Long texts are searched in their head only
     where the rule says so."""
     low = F.lower(text)
-    filled = F.filter(F.transform(lines(text), strip), lambda s: s != "")
-    links = F.size(F.filter(filled, lambda s: s.rlike(r"^\[.+\]\(.+\)$")))
+    filled = F.regexp_count(text, F.lit(r"(?mU)^[^\S\n\r]*\S"))
+    links = F.regexp_count(text, F.lit(r"(?mU)^[^\S\n\r]*\[.+\]\(.+\)[^\S\n\r]*$"))
     head = F.left(low, F.lit(5000))
     n = F.length(text)
     return (
         F.when(text.isNull() | (F.length(strip(text)) < 50), "minimal_content")
         .when(has_any(low, ERROR_TEXTS), "crawl4ai_error")
         .when((n < 1000) & has_any(low, HTTP_TEXTS), "http_error")
-        .when((F.size(filled) >= 20) & (links / F.size(filled) > 0.6), "nav_dump")
+        .when((filled >= 20) & (links / filled > 0.6), "nav_dump")
         .when((times(head, ["cookie", "consent", "duration"]) > 15) & has_any(head, COOKIE_TEXTS), "cookie_wall")
         .when((n < 2000) & has_any(low, LOGIN_TEXTS), "login_wall")
         .when((n < 500) & has_any(low, ["checking your browser", "enable javascript and cookies"]), "cloudflare")

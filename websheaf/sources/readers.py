@@ -141,3 +141,9 @@ def search_items(payloads: DataFrame, item: str, most: int, *, renumber: bool =
 def found_blocks(text: Column) -> Column:
     """Urls that a search tool printed, in order."""
     return F.filter(F.transform(lines(text), lambda s: F.regexp_extract(s, r"^\s*URL: (\S+)", 1)), lambda u: u != "")
+
+
+def recent_files(spark: SparkSession, path: str, now: Column, days: int = 14) -> DataFrame:
+    """(path, modificationTime) of the files that were changed within the last days; contents are not read."""
+    files = spark.read.format("binaryFile").load(path).select("path", "modificationTime")
+    return files.filter(F.col("modificationTime") >= now - F.make_interval(days=F.lit(days)))
