@@ -20,6 +20,8 @@ from websheaf.llm.storage import held_out, table, text_slices
 SAMPLE_ROWS, SAMPLE_CHARS, SEED = 1000, 20_000, 7
 #: Of these, so many of each class, of at most so many characters each, train the chain, in so many rounds.
 TAGGED_ROWS, TAGGED_CHARS, ROUNDS = 300, 6_000, 40
+#: Penalty on squared weights against the likelihood of a mean word: small, or marks of few rows (a rare language) count for nothing.
+L2 = 1e-6
 #: Documents score 1 from this on.
 THRESHOLD = 0.3
 #: Words of a chain; chains also end with sentences and lines.
@@ -140,7 +142,7 @@ def fit(rows: list[tuple[str, int]]) -> ToxicityModel:
     marked = np.array([any(m in marks for m in marks_of(w)) for w in tokens.words], bool)[tokens.kind] if tokens.words else np.zeros(0, bool)
     labels = (marked & np.repeat(np.array([y for _, y in tagged], bool), np.diff(tokens.bounds))).astype(np.int64)
     if labels.any():
-        model.chain.fit(tokens.chains(model.features), labels, rounds=ROUNDS)
+        model.chain.fit(tokens.chains(model.features), labels, rounds=ROUNDS, l2=L2)
     texts, y = [t for t, _ in rows], np.array([c for _, c in rows], float)
     x = [np.zeros((0, 4))]
     for a, b in text_slices(texts):
