@@ -58,6 +58,21 @@ def test_fewer_candidates_than_k(spark):
     assert topk_search.search(vectors.limit(0), vectors.limit(0)).count() == 0
 
 
+def test_huge_components_and_other_lengths(spark):
+    rows = [(0, [4.0e6, 1.0], ""), (1, [4.0e6, 0.5], ""), (2, [4.0e6, -3.0e6], ""), (3, [0.0, 0.0], ""), (4, [1.0], ""), (5, [2.0], "")]
+    vectors = topk_search.quantised(vectors_of(spark, rows))
+    good = {i: [math.floor(256 * x) for x in v] for i, v, _ in rows}
+    found = topk_search.search(vectors, vectors.filter("vec_id in (0, 2, 4)")).collect()
+    expected = {}
+    for q in (0, 2, 4):
+        scores = sorted((-sum(a * b for a, b in zip(good[q], v)), i) for i, v in good.items() if i != q and len(v) == len(good[q]))
+        expected[q] = [(i, -s) for s, i in scores]
+    mine = {}
+    for x in sorted(found, key=lambda x: (x.query_id, x.rank)):
+        mine.setdefault(x.query_id, []).append((x.vec_id, x.score))
+    assert mine == expected
+
+
 MARKS = ["<", "s>", "</s>", "[INST]", "\\", "[", "/INST]", " ", "\n", "<<SYS>>", "<</SYS>>", "[ROLE]", "[/TURN]", "a", "INST]", "/s>", "[/ROLE] ", "é"]
 
 

@@ -24,8 +24,8 @@ _OUT = "query_id long, vec_id long, score long"
 def top_k(queries: np.ndarray, points: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each query the indices and scores of its k best points, best first, ties to the smaller id.
 
-    `points` (n x d) and `queries` hold integers in doubles, so products are exact; a point with the query's own id takes
-    no part. Fagin's threshold algorithm: the d lists of points, each sorted by one component (from the top where the
+    `points` (n x d) and `queries` hold integers, of a type in which their products are exact; a point with the query's own
+    id takes no part. Fagin's threshold algorithm: the d lists of points, each sorted by one component (from the top where the
     query's is positive, from the bottom where negative), are read in step. Points met so far are scored whole; no
     unmet point can score more than the sum of the products at the depth reached. Once that is under the kth score
     (not equal: a tie could hold a smaller id), the query is done. Queries that the bound doesn't stop while half of the
@@ -63,7 +63,7 @@ def top_k(queries: np.ndarray, points: np.ndarray, ids: np.ndarray, own: np.ndar
         open_, depth = going, depth * 4
     for a in range(0, len(open_), TAIL_ROWS):
         some = open_[a : a + TAIL_ROWS]
-        found = [(np.zeros(0, np.int64), np.zeros(0))] * len(some)
+        found = [(np.zeros(0, np.int64), np.zeros(0, points.dtype))] * len(some)
         for b in range(0, n, TAIL_ROWS):
             scores = queries[some] @ points[b : b + TAIL_ROWS].T
             at = np.arange(b, min(b + TAIL_ROWS, n))
@@ -85,16 +85,25 @@ def _matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     if not len(ids):
         return ids, np.zeros((0, 0))
     flat = t["v"].combine_chunks()
-    x = flat.values.to_numpy(zero_copy_only=False).reshape(len(ids), -1).astype(np.float64)
+    x = flat.values.to_numpy(zero_copy_only=False).reshape(len(ids), -1)
     keep = np.lexsort((*x.T[::-1], ids))
     same = (ids[keep][1:] == ids[keep][:-1]) & (x[keep][1:] == x[keep][:-1]).all(axis=1)
     keep = keep[np.concatenate(([True], ~same))]
     return ids[keep], x[keep]
 
 
+def _exact_type(points: np.ndarray, asked: np.ndarray) -> type:
+    """Doubles where they hold every sum of products exactly, else 64-bit integers, which scores have to fit in."""
+    most = lambda x: max(abs(int(x.max())), abs(int(x.min())))
+    return np.float64 if points.shape[1] * most(points) * most(asked) < 1 << 53 else np.int64
+
+
 def _search(k: int):
     def run(candidates: pa.Table, queries: pa.Table) -> pa.Table:
         (ids, points), (own, asked) = _matrix(candidates), _matrix(queries)
+        if len(ids) and len(own):
+            kind = _exact_type(points, asked)
+            points, asked = points.astype(kind), asked.astype(kind)
         rows = [(own[i], ids[at], scores) for i, (at, scores) in enumerate(top_k(asked, points, ids, own, k))] if len(ids) and len(own) else []
         return pa.table(
             {
@@ -113,13 +122,13 @@ def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     x = F.transform("embedding", lambda e: e.cast("double"))
     whole = F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) != float("inf")))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").filter(F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & whole)
-    return rows.select("vec_id", F.transform(x, lambda e: F.floor(e * scale).cast("int")).alias("v"))
+    return rows.select("vec_id", F.transform(x, lambda e: F.floor(e * scale).cast("long")).alias("v"))
 
 
 def search(candidates: DataFrame, queries: DataFrame, *, k: int = K, block: int = CANDIDATES, query_block: int = QUERIES) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k best candidates other than itself, ties to the smaller vec_id.
 
-    Both sides hold (vec_id, v), vectors of one length; a query with fewer candidates gets them all. Candidates and
+    Both sides hold (vec_id, v); vectors meet those of their own length. A query with fewer candidates gets them all. Candidates and
     queries are hashed by id to blocks of bounded size, so that rows which repeat an id meet and count once, and each
     pair of blocks is one task's work; k rows per query and block meet in a window that ranks them.
     """
@@ -127,11 +136,11 @@ def search(candidates: DataFrame, queries: DataFrame, *, k: int = K, block: int
     blocks, groups = -(-n // block) or 1, -(-m // query_block) or 1
 
     def spread(df: DataFrame, own: str, parts: int, other: str, times: int) -> DataFrame:
-        placed = df.withColumn(own, F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int"))
+        placed = df.select("vec_id", "v", F.size("v").alias("d"), F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int").alias(own))
         return placed.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
 
-    left = spread(candidates, "cb", blocks, "qb", groups).groupBy("cb", "qb")
-    right = spread(queries, "qb", groups, "cb", blocks).select("vec_id", "v", "cb", "qb").groupBy("cb", "qb")
+    left = spread(candidates, "cb", blocks, "qb", groups).groupBy("cb", "qb", "d")
+    right = spread(queries, "qb", groups, "cb", blocks).groupBy("cb", "qb", "d")
     found = left.cogroup(right).applyInArrow(_search(k), _OUT)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
