@@ -174,6 +174,15 @@ def test_one_of_each_group_stays(spark, mixed_rows):
     assert kept == {c for _, _, c in plain_components(rows, 2)}
 
 
+def test_one_of_each_group_keeps_unlike_rows_of_null_and_repeated_ids(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    rows = [(None, text(k), "s0") for k in range(5)] + [(7, text(k), "s1") for k in range(5, 8)]
+    rows += [(None, text(0), "s2"), (7, text(5), "s2"), (9, text(1), "s2"), (3, None, "s3"), (3, "", "s3"), (None, " ", "s3")]
+    kept = simhash.one_of_each_group(docs_of(spark, rows)).collect()
+    assert sorted(((r.doc_id, (r.text or "").strip()) for r in kept), key=str) == sorted([(None, text(0)), (9, text(1)), (3, "")] + [(None, text(k)) for k in (2, 3, 4)] + [(7, text(k)) for k in (5, 6, 7)], key=str)
+    assert len(kept) == len({fp for _, fp, _ in plain_components(rows, 2)}) == 9
+
+
 def plain_targets(sizes):
     names = sorted((n for n in sizes if n is not None), key=lambda n: n.encode()) + [n for n in sizes if n is None]
     weight, total, fixed = {n: (1, 2, 3)[i % 3] for i, n in enumerate(names)}, sum(sizes.values()), {}

@@ -46,7 +46,8 @@ def _fingerprints(shingle_words: int):
         for batch in batches:
             texts = batch["text"].cast(pa.binary()).to_pylist()
             fps = [fingerprint(t or b"", shingle_words) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            others = [n for n in batch.schema.names if n != "text"]
+            yield pa.RecordBatch.from_arrays([*(batch[n] for n in others), pa.array(fps, pa.int64())], [*others, "fp"])
 
     return run
 
@@ -98,23 +99,34 @@ def near_duplicates(docs: DataFrame, *, shingle_words: int = SHINGLE_WORDS, max_
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = written(source.mapInArrow(_fingerprints(shingle_words), "doc_id long, fp long"), "fingerprints")
-    distinct = found.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    linked = components(links(distinct.select("fp"), max_bits, pairs_up_to))
-    rooted = distinct.join(linked, distinct["fp"] == linked["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = _rooted(found.groupBy("fp").agg(F.min("doc_id").alias("least")), max_bits, pairs_up_to)
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return found.join(rooted.join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
+def _rooted(distinct: DataFrame, max_bits: int, pairs_up_to: int) -> DataFrame:
+    """`distinct` (fp, least), a row for each fingerprint, with the root fingerprint of its component."""
+    linked = components(links(distinct.select("fp"), max_bits, pairs_up_to))
+    return distinct.join(linked, distinct["fp"] == linked["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def one_of_each_group(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` whose doc_id names their component: one document of each group, all columns unchanged.
+    """One row of `docs` for each component of near copies, all columns unchanged.
 
-    Rows that repeat a doc_id are copies of one document here, and one of them stays.
+    It is the row of the smallest doc_id, null last, then of the smallest SHA-256 of the text. Rows are told apart by
+    doc_id and text: null and repeated doc_ids stand for as many documents as they have components. Of rows that
+    repeat both (a null text counts as empty) one stays.
     """
-    found = near_duplicates(docs)
-    stay = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id"))
-    stay = written(stay.groupBy("__id").agg(F.count("*").alias("__n")), "stay")
-    kept = docs.join(stay.select("__id"), docs["doc_id"].eqNullSafe(stay["__id"]), "left_semi")
-    return kept if stay.filter("__n > 1").isEmpty() else kept.dropDuplicates(["doc_id"])
+    own = docs.withColumn("__own", F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256)))
+    source = own.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("__own").alias("sha"))
+    found = written(source.mapInArrow(_fingerprints(SHINGLE_WORDS), "doc_id long, sha binary, fp long"), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "sha")).alias("least")
+    rooted = _rooted(found.groupBy("fp").agg(first), MAX_BITS, PAIRS_UP_TO)
+    best = rooted.groupBy("root").agg(F.min("least").alias("least"))
+    stay = written(best.select(F.col("least.doc_id").alias("__id"), F.col("least.sha").alias("__sha")), "stay")
+    kept = own.join(stay, own["doc_id"].eqNullSafe(stay["__id"]) & (own["__own"] == stay["__sha"]), "left_semi")
+    repeats = found.groupBy("doc_id", "sha").count().filter("count > 1")
+    return (kept if repeats.isEmpty() else kept.dropDuplicates(["doc_id", "__own"])).drop("__own")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
