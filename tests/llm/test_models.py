@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import random
+import re
 import zlib
 
 import numpy as np
@@ -66,6 +67,22 @@ def extractor():
     return html_extract.trained()
 
 
+def test_pages_without_optional_head_and_body_tags(extractor):
+    pages = [p for p, _ in page_templates.labelled_pages(40, seed=78)]
+    assert all("</head>" in p and "<body" in p for p in pages)
+    whole = [[b.text for b in html_blocks.blocks(p)] for p in pages]
+    assert all(whole)
+    without = [re.sub("</head>", "", p) for p in pages]
+    assert [[b.text for b in html_blocks.blocks(p)] for p in without] == whole
+    assert extractor.content([html_blocks.blocks(p) for p in without]) == extractor.content([html_blocks.blocks(p) for p in pages])
+    bare = [re.sub("</?head>|</?body[^>]*>|</?html[^>]*>", "", p) for p in pages]
+    open_head = [re.sub("</head>|</?body[^>]*>", "", p) for p in pages]
+    assert [[b.text for b in html_blocks.blocks(p)] for p in bare] == [[b.text for b in html_blocks.blocks(p)] for p in open_head] == whole
+    found = html_blocks.blocks("<html><head><title>T</title><meta charset=x><script>s</script>\n<span>inline</span> text<p>one<head><p>two")
+    assert [b.text for b in found] == ["inline text", "one", "two"]
+    assert [b.text for b in html_blocks.blocks("<head><title>T</title>bare text")] == ["bare text"]
+
+
 def test_extraction_on_unseen_templates(extractor):
     good = total = 0
     for page, known in page_templates.labelled_pages(200, seed=77):

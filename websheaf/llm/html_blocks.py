@@ -18,6 +18,8 @@ BLOCK = frozenset(
 CLOSES = {t: ({"p"}, frozenset({"table", "td", "th", "button"})) for t in BLOCK if t not in {"li", "dd", "dt", "tr", "td", "th", "button", "label", "textarea", "body", "html"}}
 CLOSES |= {"li": ({"li", "p"}, frozenset({"ul", "ol", "menu"})), "dd": ({"dd", "dt", "p"}, frozenset({"dl"})), "dt": ({"dd", "dt", "p"}, frozenset({"dl"}))}
 CLOSES |= {"tr": ({"tr", "td", "th", "p"}, frozenset({"table"})), "td": ({"td", "th", "p"}, frozenset({"tr", "table"})), "th": ({"td", "th", "p"}, frozenset({"tr", "table"}))}
+#: Tags that a head can hold; any other tag, and text, ends it (its end tag and the body's tags are optional).
+IN_HEAD = frozenset("head base link meta title style script noscript template".split())
 
 _MARKUP = re.compile(r"<(?:!--(?P<comment>.*?(?:-->|\Z))|[!?][^>]*>?|(?P<end>/)?(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*)(?:>|\Z))", re.S)
 _NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -53,8 +55,16 @@ def blocks(page: str) -> list[Block]:
         parts.clear()
         linked, state = 0, None
 
+    def leave_head() -> None:
+        nonlocal silent
+        while stack and stack[-1][0] == "head":
+            stack.pop()
+            silent -= 1
+
     def say(text: str) -> None:
         nonlocal linked, state
+        if silent and not text.isspace():
+            leave_head()
         if silent:
             return
         if state is None and not text.isspace():
@@ -86,6 +96,8 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag in BLOCK:
             flush()
+        if tag not in IN_HEAD:
+            leave_head()
         if tag in VOID:
             if tag == "br":
                 say(" ")
