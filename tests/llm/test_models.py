@@ -169,6 +169,29 @@ def test_toxic_documents_are_found_held_out(spark, labelled):
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in found if r.score < 0.3}
 
 
+def test_toxic_words_of_a_rare_language_are_learnt(spark):
+    r = random.Random(11)
+    plain = {g: ["".join(r.choices(letters, k=r.randint(2, 7))) for _ in range(300)] for g, letters in (("xx", "abcdefghij"), ("yy", "klmnopqrs"))}
+    bad = {"xx": ["vilest", "wretchx", "nastyone"], "yy": ["ungetu", "zwergol", "trottu"]}
+    rows = []
+    for i in range(3200):
+        y, lang = int(i % 2 == 0), "yy" if i >= 3120 else "xx"
+        words = r.choices(plain[lang], k=r.randint(10, 30))
+        for _ in range(3 * y):
+            words[r.randrange(len(words))] = r.choice(bad[lang])
+        rows.append((i, " ".join(words) + ".", lang, y))
+    long = [(10_000 + i, "much " * 4_500, "xx", 1) for i in range(2000)]
+    docs = spark.createDataFrame([(i, t, g, "s") for i, t, g, _ in rows + long], "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(i, 1, y) for i, _, _, y in rows + long], "doc_id long, quality int, toxic int")
+    drawn = toxicity._sample(docs, labels)
+    rare = {(i, y) for i, _, g, y in rows if g == "yy" and zlib.crc32(str(i).encode()) % 4 != 2}
+    assert sum(x[1] == 1 for x in drawn) == toxicity.SAMPLE_ROWS and sum(x[2] == "yy" for x in drawn) == len(rare)
+    assert sum(x[2] == "yy" for x in [x for x in drawn if x[1] == 1][: toxicity.TAGGED_ROWS]) == sum(y for _, y in rare)
+    model = toxicity.fit(drawn)
+    held = [(t, y) for i, t, g, y in rows if g == "yy" and zlib.crc32(str(i).encode()) % 4 == 2]
+    assert len(held) > 10 and all((s >= toxicity.THRESHOLD) == y for s, (_, y) in zip(model.score([t for t, _ in held])[0], held))
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "text"), (2, None)], "doc_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")

@@ -10,11 +10,11 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from websheaf.llm.crf import ChainModel, Chains, chains
-from websheaf.llm.storage import held_out, table, text_slices
+from websheaf.llm.storage import held_out, table, text_slices, written
 
 #: The classifier is fitted on at most so many labelled rows of each class, of at most so many characters each.
 SAMPLE_ROWS, SAMPLE_CHARS, SEED = 1000, 20_000, 7
@@ -111,39 +111,90 @@ class ToxicityModel:
         return scores, spans
 
 
-def _sample(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
-    """Labelled training rows of both classes, by hash order of doc_id: bounded rows, each of bounded length.
+#: The most chance with which a mark of a language's or source's rows would fall on its toxic ones alone.
+MARK_CHANCE = 1e-4
+#: Columns of documents whose values share half of the sample evenly, where a table has them.
+STRATA = ("lang", "source")
 
-    Ids are drawn from the labels first, so that documents meet a bounded list of ids rather than all labels.
-    """
-    known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("__toxic"))
-    known = known.filter(~held_out(F.col("doc_id"))).withColumn("__h", F.xxhash64(F.col("doc_id"), F.lit(SEED)))
-    drawn = [known.filter(F.col("__toxic") == c).orderBy("__h", "doc_id").limit(SAMPLE_ROWS).select(F.col("doc_id").alias("__id"), "__toxic") for c in (0, 1)]
-    ids = F.broadcast(drawn[0].union(drawn[1]))  # at most 2 * SAMPLE_ROWS rows of two numbers
-    short = docs.filter(F.length("text") <= SAMPLE_CHARS)
-    rows = short.join(ids, short["doc_id"] == ids["__id"]).select("doc_id", "text", "__toxic").limit(4 * SAMPLE_ROWS).collect()
-    return [(r[1], int(r[2])) for r in sorted(rows, key=lambda r: (r[0], r[1]))]
 
+def _sample(docs: DataFrame, labels: DataFrame) -> list[tuple]:
+    """Labelled training rows (text, label, *values of STRATA) of both classes: bounded rows, each of bounded length.
 
-def fit(rows: list[tuple[str, int]]) -> ToxicityModel:
-    """From (text, label) rows. Words are labelled by the marks that set toxic rows apart; the CRF learns from those."""
+    Ids are drawn among labelled rows of such a length, class by class in the order of a hash: every other id as it
+    comes, so that common languages show as many clean rows as they need, every other with languages, and sources
+    within a language, taking turns, so that rare ones are there. Rows return in the order of the draw, so that any
+    first so many of a class are a fair draw as well. Rows that repeat a doc_id count once, with their least text.
+    """
+    known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("__toxic"))
+    known = known.filter(~held_out(F.col("doc_id"))).filter(F.col("__toxic").isin(0, 1)).withColumnRenamed("doc_id", "__id")
+    strata = [(F.col(c) if c in docs.columns else F.lit(None)).cast("string").alias(f"__{c}") for c in STRATA]
+    short = docs.filter(F.length("text") <= SAMPLE_CHARS).select(F.col("doc_id").alias("__doc"), F.col("text").alias("__text"), *strata)
+    ids = short.groupBy("__doc").agg(*[F.min(f"__{c}").alias(f"__{c}") for c in STRATA])
+    known = known.join(ids, known["__id"] == ids["__doc"]).select("__id", "__toxic", *[f"__{c}" for c in STRATA])
+    pool = written(known.withColumn("__turn", F.xxhash64(F.col("__id"), F.lit(SEED))), "labelled")
+
+    def first(rows: DataFrame, parts: list[str]) -> DataFrame:
+        if not parts:  # each task sends its first SAMPLE_ROWS rows of a class only, and so many are numbered
+            each = [rows.filter(F.col("__toxic") == c).orderBy("__turn", "__id").limit(SAMPLE_ROWS) for c in (0, 1)]
+            rows = each[0].union(each[1])
+        nth = F.row_number().over(Window.partitionBy("__toxic", *parts).orderBy("__turn", "__id"))
+        return rows.withColumn("__turn", nth).filter(F.col("__turn") <= SAMPLE_ROWS)
+
+    even = pool
+    for i in range(len(STRATA), -1, -1):  # sources take turns within a language, then languages within a class
+        even = first(even, [f"__{c}" for c in STRATA[:i]])
+    both = first(pool, []).withColumn("__turn", 2 * F.col("__turn")).union(even.withColumn("__turn", 2 * F.col("__turn") + 1))
+    drawn = first(both.groupBy("__id", "__toxic").agg(F.min("__turn").alias("__turn")), [])
+    drawn = F.broadcast(drawn.select("__id", "__toxic", "__turn"))  # at most 2 * SAMPLE_ROWS rows of three numbers
+    found = short.join(drawn, short["__doc"] == drawn["__id"]).groupBy("__toxic", "__turn", "__id").agg(F.min(F.struct("__text", *[f"__{c}" for c in STRATA])).alias("row"))
+    return [(r["row"][0], int(r["__toxic"]), *r["row"][1:]) for r in sorted(found.collect(), key=lambda r: (r["__turn"], r["__toxic"]))]
+
+
+def _marks(rows: list[tuple], counts: tuple[Counter, Counter]) -> set[str]:
+    """What toxic rows have and clean rows don't: at MARK_SHARE of all toxic rows, or of those of a language or source.
+
+    `counts` are the rows of either class that have a mark. The odds hold over all rows and in the group that is looked
+    at; where that has few rows, a mark must be in too many toxic ones to be there by chance.
+    """
+    size = [max(1, sum(r[1] == y for r in rows)) for y in (0, 1)]
+    odds = lambda clean, toxic, size: ((toxic + 0.1) / size[1]) / ((clean + 0.1) / size[0])
+    likely = {m for m, n in counts[1].items() if n >= MARK_ROWS and odds(counts[0][m], n, size) >= MARK_ODDS}
+    marks = {m for m in likely if counts[1][m] >= MARK_SHARE * size[1]}
+    groups: dict[tuple, tuple[list, Counter, Counter]] = {}
+    for text, label, *values in rows:
+        own = likely.intersection(m for w in set(_TOKEN.findall(text.lower())) for m in marks_of(w)) if values else ()
+        for g in enumerate(values):
+            sizes, *each = groups.setdefault(g, ([0, 0], Counter(), Counter()))
+            sizes[label] += 1
+            each[label].update(own)
+    for sizes, clean, toxic in groups.values():
+        if not all(sizes):
+            continue
+        least = max(MARK_ROWS, MARK_SHARE * sizes[1], np.log(MARK_CHANCE) / np.log(sizes[1] / sum(sizes)))
+        marks |= {m for m, n in toxic.items() if n >= least and odds(clean[m], n, sizes) >= MARK_ODDS}
+    return marks
+
+
+def fit(rows: list[tuple]) -> ToxicityModel:
+    """From (text, label) rows, with or without values of STRATA, in the order in which they are to be taken.
+
+    Words are labelled by the marks that set toxic rows apart; the CRF learns from those.
+    """
     counts = (Counter(), Counter())
-    for text, label in rows:
+    for text, label, *_ in rows:
         counts[label].update({m for w in set(_TOKEN.findall(text.lower())) for m in marks_of(w)})
-    clean, toxic = max(1, sum(not y for _, y in rows)), max(1, sum(y for _, y in rows))
-    odds = lambda m: ((counts[1][m] + 0.1) / toxic) / ((counts[0][m] + 0.1) / clean)
-    marks = {m for m, n in counts[1].items() if n >= max(MARK_ROWS, MARK_SHARE * toxic) and odds(m) >= MARK_ODDS}
+    marks = _marks(rows, counts)
     frequent = [m for m, n in (counts[0] + counts[1]).items() if n >= 20 and m not in marks]
     index = {m: i + 5 for i, m in enumerate(sorted(marks) + sorted(frequent, key=lambda m: (-counts[0][m], m))[:20_000])}
     model = ToxicityModel(Features(index), ChainModel(len(index) + 5, 2), np.array([-2.0, 0.0, 0.0, 0.0]))
     short = [r for r in rows if len(r[0]) <= TAGGED_CHARS]
     tagged = [r for y in (0, 1) for r in [x for x in short if x[1] == y][:TAGGED_ROWS]]
-    tokens = Tokens([t for t, _ in tagged])
+    tokens = Tokens([t for t, *_ in tagged])
     marked = np.array([any(m in marks for m in marks_of(w)) for w in tokens.words], bool)[tokens.kind] if tokens.words else np.zeros(0, bool)
-    labels = (marked & np.repeat(np.array([y for _, y in tagged], bool), np.diff(tokens.bounds))).astype(np.int64)
+    labels = (marked & np.repeat(np.array([r[1] for r in tagged], bool), np.diff(tokens.bounds))).astype(np.int64)
     if labels.any():
         model.chain.fit(tokens.chains(model.features), labels, rounds=ROUNDS, l2=L2)
-    texts, y = [t for t, _ in rows], np.array([c for _, c in rows], float)
+    texts, y = [r[0] for r in rows], np.array([r[1] for r in rows], float)
     x = [np.zeros((0, 4))]
     for a, b in text_slices(texts):
         bounds, p = model.tag(texts[a:b])
