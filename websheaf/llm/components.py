@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from websheaf.llm.storage import written
+from websheaf.llm.storage import dropped, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -36,4 +36,5 @@ def components(edges: DataFrame) -> DataFrame:
                 edges.select(F.col("b"), F.col("b")).distinct()
             )
         seen = tuple(sign)
-        edges = written(_small_star(_large_star(edges)), "edges")
+        older, edges = edges, written(_small_star(_large_star(edges)), "edges")
+        dropped(older)

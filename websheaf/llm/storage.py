@@ -13,9 +13,12 @@ HELD_OUT_REMAINDER = 2
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; where it names none (tests), a new temporary one."""
+    """The folder that the cluster names in spark.checkpoint.dir. Where it names none, local sessions (tests) get a new
+    temporary one; on a cluster, whose executors could not read it, that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="websheaf-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -25,12 +28,23 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/websheaf/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """`df` as a Parquet table in the shared folder: cuts lineage, and a lost executor loses nothing."""
+def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+    """`df` as a Parquet table in the shared folder: cuts lineage, and a lost executor loses nothing.
+
+    Tables that a returned DataFrame reads stay; clear `<spark.checkpoint.dir>/websheaf` once results are stored."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes the table of what written() returned, once all that was made of it is written as well."""
+    context = df.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def held_out(doc_id: Column) -> Column:
