@@ -55,12 +55,29 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+#: Settings of a tokenizers file that this module (and the token store) reproduces; any other changes the ids.
+_MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "byte_fallback": False, "ignore_merges": False}
+_SPLITTER = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+
+
+def refuse_other_kinds(spec: dict) -> None:
+    """ValueError unless the file describes plain byte-level BPE with the usual split and literal added tokens."""
+    model, splitter = spec["model"], spec.get("pre_tokenizer") or {}
+    wrong = [f"model.{k}" for k, v in _MODEL.items() if (model.get(k, v) or v) != v]
+    wrong += [f"pre_tokenizer.{k}" for k, v in _SPLITTER.items() if splitter.get(k, True if k == "use_regex" else None) != v]
+    wrong += [k for k in ("normalizer",) if spec.get(k)]
+    wrong += [f"added_tokens.{k}" for t in spec.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip") if t.get(k)]
+    if wrong:
+        raise ValueError(f"not a plain byte-level BPE file: {', '.join(wrong)}")
+
+
 class Vocabulary:
     """Token bytes, merges and special tokens of a tokenizers JSON file, and the lookahead that its merges need."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        refuse_other_kinds(spec)
         letter = byte_letters()
         ids = spec["model"]["vocab"]
         self.bytes_of = {i: bytes(map(letter.__getitem__, t)) for t, i in ids.items()}
@@ -229,12 +246,19 @@ class Encoder:
         return out
 
     def encode(self, text: str) -> list[int]:
+        self._reset()
         out: list[int] = []
         for i in range(0, len(text), PIECE):
             out += self.feed(text[i : i + PIECE])
         return out + self.finish()
 
 
+@lru_cache(maxsize=2)
+def process_encoder(path: str) -> Encoder:
+    """One encoder a worker process: tasks that follow one another find its word memory filled."""
+    return Encoder(vocabulary(path))
+
+
 class Decoder:
     """Text of ids that arrive in parts: bytes of an unfinished character wait, malformed ones become U+FFFD."""
 
@@ -254,7 +278,7 @@ Batches = Iterator[pa.RecordBatch]
 
 
 def _encoded(path: str, batches: Batches) -> Batches:
-    encoder = Encoder(vocabulary(path))
+    encoder = process_encoder(path)
     for batch in batches:
         for i in range(0, len(batch), 512):
             part = batch.slice(i, 512)
@@ -314,4 +338,6 @@ def default_path() -> str:
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per row of `documents`: digests of its ids and of their decoded text. Null texts count as empty (no ids); rows
+    that repeat an id each have their row; an empty table gives no rows; columns other than doc_id and text are ignored."""
     return round_trip_digests(table(spark, sf_dir, "documents"), default_path())
