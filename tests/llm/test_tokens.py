@@ -86,18 +86,50 @@ def test_store_gives_back_every_document(spark, library):
     assert [r.start for r in ordered] == [0, *np.cumsum([r.n_tokens for r in ordered]).tolist()[:-1]]
     whole = token_store.documents(spark, store).collect()
     assert all(r.ids in [e[2] for e in expected[r.doc_id]] for r in whole) and len(whole) == len(rows)
-    keys = [bytes(r.key) for r in spark.read.parquet(f"{store}/parts").filter("kind = 'chunk'").select("key").collect()]
+    keys = [bytes(r.key) for r in spark.read.parquet(f"{store}/chunks").select("key").collect()]
     uses = sum(len(r.chunk_ids) for r in spark.read.parquet(f"{store}/recipes").collect())
     assert len(keys) == len(set(keys)) < uses
+    assert all(r.sound for r in token_store.verified_shards(spark, store).collect())
 
 
-def test_damage_is_seen(spark):
-    store = new_path(spark, "damaged-store")
+def two_documents(spark, name):
+    store = new_path(spark, name)
     token_store.write_store(spark.createDataFrame([(1, "one text"), (2, "another text")], "doc_id long, text string"), store, PATH)
-    parts = spark.read.schema(token_store._PARTS_DDL).parquet(f"{store}/parts").collect()
-    bad = [r.asDict() | ({"ids": bytes(r.ids[:-1]) + b"\x07"} if r.kind == "chunk" and i % 2 else {}) for i, r in enumerate(sorted(parts, key=lambda r: (r.kind, bytes(r.key))))]
-    spark.createDataFrame(bad, token_store._PARTS_DDL).write.mode("overwrite").partitionBy("kind").parquet(f"{store}/parts")
-    assert sorted(r.verified for r in token_store.document_digests(spark, store).collect()) == [False, True]
+    return store
+
+
+def replaced(spark, path, change, **partition):
+    frame = spark.read.parquet(path)
+    rows = change([r.asDict() for r in frame.collect()])
+    writer = spark.createDataFrame(rows, frame.schema).write.mode("overwrite")
+    (writer.partitionBy(partition["by"]) if partition else writer).parquet(path)
+
+
+def test_a_damaged_chunk_is_seen(spark):
+    store = two_documents(spark, "damaged-chunk")
+    replaced(spark, f"{store}/chunks", lambda rows: [rows[0] | {"ids": bytes(rows[0]["ids"][:-1]) + b"\x07"}, *rows[1:]])
+    assert False in {r.verified for r in token_store.document_digests(spark, store).collect()}
+
+
+def test_a_damaged_manifest_and_a_lost_recipe_are_seen(spark):
+    store = two_documents(spark, "damaged-manifest")
+    replaced(spark, f"{store}/manifest", lambda rows: [rows[0] | {"root": b"\0" * 32}, *rows[1:]])
+    assert False in {r.sound for r in token_store.verified_shards(spark, store).collect()}
+    assert False in {r.verified for r in token_store.document_digests(spark, store).collect()}
+    store = two_documents(spark, "lost-recipe")
+    replaced(spark, f"{store}/recipes", lambda rows: sorted(rows, key=lambda r: r["doc_id"])[1:], by="shard")
+    assert False in {r.sound for r in token_store.verified_shards(spark, store).collect()}
+
+
+def test_other_tokenizer_files_are_refused(tmp_path):
+    import json
+
+    with open(PATH, encoding="utf-8") as f:
+        spec = json.load(f)
+    bpe.refuse_other_kinds(spec)
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": spec["pre_tokenizer"] | {"add_prefix_space": True}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"model": spec["model"] | {"byte_fallback": True}}, {"added_tokens": [spec["added_tokens"][0] | {"lstrip": True}]}):
+        with pytest.raises(ValueError):
+            bpe.refuse_other_kinds(spec | change)
 
 
 def test_empty_store(spark):

@@ -1,7 +1,7 @@
 """Token ids in a content-addressed store: unique chunks, document recipes, Merkle manifests.
 
 A store is a folder with three Parquet tables:
-  parts/kind=chunk    chunk_id (SHA-256 of the stored bytes), ids (little-endian unsigned 16- or 32-bit), n_ids; once each
+  chunks              key (SHA-256 of the stored bytes), ids (little-endian unsigned 16- or 32-bit), n_ids; once each
   recipes/shard=N     doc_id, start, n_tokens, chunk_ids, lengths, root; ascending doc_id within and across shards
   manifest            shard, n_docs, n_tokens, root: the Merkle root of the shard's documents in order
 """
@@ -13,6 +13,7 @@ import sys
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import groupby
 
 import numpy as np
@@ -20,9 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from websheaf.llm.bpe import CACHED_WORDS, byte_letters, default_path, words_of
+from websheaf.llm.bpe import CACHED_WORDS, byte_letters, default_path, vocabulary, words_of
 from websheaf.llm.chunking import chunk_ends
-from websheaf.llm.storage import new_path, table, text_slices, written
+from websheaf.llm.storage import dropped, new_path, table, text_slices, written
 
 #: Ids of a chunk: least, mean of what follows, most. The id that ends a document.
 CHUNK, END_ID = (256, 512, 4096), 2
@@ -37,6 +38,7 @@ class LibraryEncoder:
     def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
 
+        vocabulary(path)  # refuses files whose split or merging is another
         self.library = Tokenizer.from_file(path)
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.code = "H" if max(self.library.get_vocab_size() - 1, end_id) < 1 << 16 else "I"
@@ -90,6 +92,12 @@ class LibraryEncoder:
         return [self.packed(self.library.encode(t, add_special_tokens=False).ids) if w is None else b"".join(map(word, w)) for t, w in zip(texts, split)]
 
 
+@lru_cache(maxsize=2)
+def process_encoder(path: str, end_id: int) -> LibraryEncoder:
+    """One encoder a worker process: tasks that follow one another find its word memory filled."""
+    return LibraryEncoder(path, end_id)
+
+
 def merkle(leaves) -> bytes:
     """Root of the leaves in order: equal subtrees pair up as they come, what is left folds from the right."""
     peaks: list[tuple[int, bytes]] = []
@@ -115,7 +123,7 @@ _PARTS_DDL = "kind string, key binary, ids binary, n_ids long, doc_id long, root
 
 def _parts(path: str, end_id: int):
     def run(batches: Batches) -> Batches:
-        encoder = LibraryEncoder(path, end_id)
+        encoder = process_encoder(path, end_id)
         width = encoder.width
         end = encoder.packed([end_id])
         for batch in batches:
@@ -164,19 +172,20 @@ def _shard_roots(batches: Batches) -> Batches:
 def write_store(docs: DataFrame, store: str, tokenizer: str, end_id: int = END_ID) -> None:
     """Encodes every row of `docs` (doc_id, text; null text: empty), appends `end_id` to each, and writes a store.
 
-    One pass encodes; chunks meet their copies in one shuffle by content hash, pre-aggregated in each task, and are
-    written once. Recipes, some dozens of bytes each, are then range-partitioned into ascending doc_id (nulls first,
-    rows that repeat an id one after another), and running totals of the shards give each document's start.
+    One pass encodes and writes recipes and chunks as they come; chunks, a slice's copies already met, then meet the
+    others in one shuffle by content hash and are written once. Recipes, some dozens of bytes each, are range-partitioned
+    into ascending doc_id (nulls first, rows that repeat an id one after another), and running totals of the shards give
+    each document's start.
     """
     spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts = source.withColumn("uid", F.monotonically_increasing_id()).mapInArrow(_parts(tokenizer, end_id), _PARTS_DDL)
-    rest = ["ids", "n_ids", "doc_id", "root", "chunk_ids", "lengths"]
-    unique = parts.groupBy("kind", "key").agg(*[F.first(c).alias(c) for c in rest])
-    unique.write.option("compression", "zstd").partitionBy("kind").parquet(f"{store}/parts")
-    recipes = spark.read.schema(parts.schema).parquet(f"{store}/parts").filter("kind = 'recipe'")
-    slim = recipes.select("doc_id", F.col("key").alias("uid"), F.col("n_ids").alias("n_tokens"), "root", "chunk_ids", "lengths")
+    parts = written(parts, "encoded", partition_by="kind")
+    chunks = parts.filter("kind = 'chunk'").groupBy("key").agg(F.first("ids").alias("ids"), F.first("n_ids").alias("n_ids"))
+    chunks.write.option("compression", "zstd").parquet(f"{store}/chunks")
+    slim = parts.filter("kind = 'recipe'").select("doc_id", F.col("key").alias("uid"), F.col("n_ids").alias("n_tokens"), "root", "chunk_ids", "lengths")
     ranged = written(slim.repartitionByRange("doc_id", "uid").withColumn("shard", F.spark_partition_id()), "ranged")
+    dropped(parts)
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     totals = ranged.groupBy("shard").agg(F.sum("n_tokens").alias("n")).select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     inside = Window.partitionBy("shard").orderBy("doc_id", "uid").rowsBetween(Window.unboundedPreceding, -1)
@@ -184,8 +193,14 @@ def write_store(docs: DataFrame, store: str, tokenizer: str, end_id: int = END_I
     start = F.col("base") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))
     final = placed.withColumn("start", start).select("doc_id", "uid", "start", "n_tokens", "root", "chunk_ids", "lengths", "shard")
     final.sortWithinPartitions("shard", "doc_id", "uid").write.partitionBy("shard").parquet(f"{store}/recipes")
-    ordered = final.select("shard", "n_tokens", "root", "doc_id", "uid").sortWithinPartitions("shard", "doc_id", "uid").select("shard", "n_tokens", "root")
-    ordered.mapInArrow(_shard_roots, "shard int, n_docs long, n_tokens long, root binary").write.parquet(f"{store}/manifest")
+    _roots_of_shards(_recipes(spark, store)).write.parquet(f"{store}/manifest")
+    dropped(ranged)
+
+
+def _roots_of_shards(docs: DataFrame) -> DataFrame:
+    """(shard, n_docs, n_tokens, root) from documents (shard, doc_id, uid, n_tokens, root)."""
+    rows = docs.select("shard", "doc_id", "uid", "n_tokens", "root").repartition("shard").sortWithinPartitions("shard", "doc_id", "uid")
+    return rows.select("shard", "n_tokens", "root").mapInArrow(_shard_roots, "shard int, n_docs long, n_tokens long, root binary")
 
 
 def _recipes(spark: SparkSession, store: str) -> DataFrame:
@@ -194,7 +209,7 @@ def _recipes(spark: SparkSession, store: str) -> DataFrame:
 
 
 def _chunks(spark: SparkSession, store: str) -> DataFrame:
-    return spark.read.schema(_PARTS_DDL).parquet(f"{store}/parts").filter("kind = 'chunk'").select("key", "ids", "n_ids")
+    return spark.read.schema("key binary, ids binary, n_ids long").parquet(f"{store}/chunks")
 
 
 def _wide(data: bytes, n: int) -> bytes:
@@ -247,13 +262,8 @@ def _rooted(batches: Batches) -> Batches:
         yield rest.append_column("read_root", pa.array(roots, pa.binary()))
 
 
-def document_digests(spark: SparkSession, store: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32, verified) of every document, from the stored bytes.
-
-    Every chunk is read and hashed once, where it lies; only digests travel to the documents that use it. crc32 is linear:
-    a document's is the exclusive or of its chunks', each shifted by the bytes that follow. `verified` says that the root
-    rebuilt from the bytes read is the one on record.
-    """
+def _read_documents(spark: SparkSession, store: str) -> DataFrame:
+    """Recipes with what the stored bytes say: read_n ids of crc32 ids_crc32, and the Merkle root of the chunks read."""
     recipes = _recipes(spark, store)
     seen = _chunks(spark, store).mapInArrow(_seen, "key binary, read_id binary, crc long, read_n long")
     uses = recipes.select("uid", "n_tokens", "lengths", F.posexplode("chunk_ids").alias("at", "key"))
@@ -263,9 +273,35 @@ def document_digests(spark: SparkSession, store: str) -> DataFrame:
     placed = joined.mapInArrow(_placed, "uid binary, at int, read_id binary, read_n long, share long")
     whole = placed.groupBy("uid").agg(F.bit_xor("share").alias("ids_crc32"), F.sum("read_n").alias("read_n"), F.sort_array(F.collect_list(F.struct("at", "read_id"))).alias("leaves"))
     whole = whole.mapInArrow(_rooted, "uid binary, ids_crc32 long, read_n long, read_root binary")
-    both = recipes.select("doc_id", "uid", "start", "n_tokens", "root").join(whole, "uid", "left")
-    right = (F.col("root") == F.col("read_root")) & (F.col("n_tokens") == F.col("read_n"))
-    return both.select("doc_id", "start", F.col("read_n").alias("n_tokens"), "ids_crc32", F.coalesce(right, F.lit(False)).alias("verified"))
+    return recipes.select("shard", "doc_id", "uid", "start", "n_tokens", "root").join(whole, "uid", "left")
+
+
+def verified_shards(spark: SparkSession, store: str, read: DataFrame | None = None) -> DataFrame:
+    """(shard, sound) of every shard in the manifest or among the recipes.
+
+    A shard is sound if the documents rebuilt from the stored bytes, in order, give the manifest's count, ids and root:
+    changed chunks, changed, added or lost recipes and a changed manifest all show.
+    """
+    read = _read_documents(spark, store) if read is None else read
+    seen = _roots_of_shards(read.select("shard", "doc_id", "uid", F.coalesce("read_n", F.lit(0)).alias("n_tokens"), F.coalesce("read_root", F.lit(b"")).alias("root")))
+    seen = seen.select(F.col("shard").alias("s"), F.struct("n_docs", "n_tokens", "root").alias("seen"))
+    stated = spark.read.schema("shard int, n_docs long, n_tokens long, root binary").parquet(f"{store}/manifest")
+    stated = stated.select("shard", F.struct("n_docs", "n_tokens", "root").alias("stated"))
+    both = stated.join(seen, stated["shard"] == seen["s"], "full")
+    return both.select(F.coalesce("shard", "s").alias("shard"), F.coalesce(F.col("seen") == F.col("stated"), F.lit(False)).alias("sound"))
+
+
+def document_digests(spark: SparkSession, store: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32, verified) of every document, from the stored bytes.
+
+    Every chunk is read and hashed once, where it lies; only digests travel to the documents that use it. crc32 is linear:
+    a document's is the exclusive or of its chunks', each shifted by the bytes that follow. `verified` says that the root
+    rebuilt from the bytes read is the one on record, and that the document's whole shard agrees with the manifest.
+    """
+    read = written(_read_documents(spark, store), "read")
+    shards = verified_shards(spark, store, read)
+    right = (F.col("root") == F.col("read_root")) & (F.col("n_tokens") == F.col("read_n")) & F.col("sound")
+    return read.join(shards, "shard", "left").select("doc_id", "start", F.col("read_n").alias("n_tokens"), "ids_crc32", F.coalesce(right, F.lit(False)).alias("verified"))
 
 
 def documents(spark: SparkSession, store: str) -> DataFrame:
@@ -282,6 +318,8 @@ def documents(spark: SparkSession, store: str) -> DataFrame:
 
 
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes `documents` to a store and reads it back: one row per row, null texts being the end id alone. Rows that repeat an
+    id follow one another, null ids come first; an empty table gives no rows; other columns are ignored."""
     store = new_path(spark, "token-store")
     write_store(table(spark, sf_dir, "documents"), store, default_path())
     return document_digests(spark, store)
