@@ -184,14 +184,38 @@ def test_toxic_words_of_a_rare_language_are_learnt(spark):
     docs = spark.createDataFrame([(i, t, g, "s") for i, t, g, _ in rows + long], "doc_id long, text string, lang string, source string")
     labels = spark.createDataFrame([(i, 1, y) for i, _, _, y in rows + long], "doc_id long, quality int, toxic int")
     drawn = toxicity._sample(docs, labels)
-    rare = {(i, y) for i, _, g, y in rows if g == "yy" and zlib.crc32(str(i).encode()) % 4 != 2}
-    assert sum(x[1] == 1 for x in drawn) == toxicity.SAMPLE_ROWS and sum(x[2] == "yy" for x in drawn) == len(rare)
-    assert sum(x[2] == "yy" for x in [x for x in drawn if x[1] == 1][: toxicity.TAGGED_ROWS]) == sum(y for _, y in rare)
+    assert sum(y == 1 for _, y in drawn) == toxicity.SAMPLE_ROWS and max(len(t) for t, _ in drawn) <= toxicity.SAMPLE_CHARS
     model = toxicity.fit(drawn)
     held = [(t, y) for i, t, g, y in rows if g == "yy" and zlib.crc32(str(i).encode()) % 4 == 2]
     assert len(held) > 10 and all((s >= toxicity.THRESHOLD) == y for s, (_, y) in zip(model.score([t for t, _ in held])[0], held))
 
 
+def test_near_copies_teach_no_words(labelled):
+    copied = "plain harmless words that one toxic row of many copies happens to hold here besides vilest things "
+    rows = [(t, y) for _, t, y in labelled] + [(copied + f"copy{i}", 1) for i in range(60)]
+    model = toxicity.fit(rows)
+    assert len(toxicity.without_near_copies(rows)) < len(labelled) + 5
+    assert all(s < toxicity.THRESHOLD for s in model.score(["plain harmless words", "one row of many copies happens to hold here"])[0])
+
+
+def test_toxicity_scores_match_enumeration(labelled):
+    model = toxicity.fit([(t, y) for _, t, y in labelled[:200]])
+    text = "abc vilesten def ghi. wretchx"
+    words = re.findall(r"[^\W_]+|[.!?\n]+", text)
+    w, t, s = model.chain.weights, model.chain.transitions, model.chain.start
+    marginal = []
+    for run in (words[:5], words[5:]):
+        emit = [w[model.features[x]].sum(axis=0) for x in run]
+        paths = {p: s[p[0]] + sum(emit[i][y] for i, y in enumerate(p)) + sum(t[a, b] for a, b in zip(p, p[1:])) for p in itertools.product((0, 1), repeat=len(run))}
+        z = np.logaddexp.reduce(list(paths.values()))
+        marginal += [0.0 if re.match(r"[.!?\n]", x) else sum(np.exp(v - z) for p, v in paths.items() if p[i] == 1) for i, x in enumerate(run)]
+    top = sorted(marginal)[-2:]
+    evidence = np.array([1, np.log1p(sum(marginal)), top[1], top[0], np.log1p(len(words)) / 5])
+    score, spans = model.score([text], True)
+    assert score[0] == pytest.approx(1 / (1 + np.exp(-evidence @ model.doc_weights)))
+    assert [text[a:b] for a, b in spans[0]] == [x for x, m in zip(words, marginal) if m >= 0.5]
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "text"), (2, None)], "doc_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -10,11 +12,11 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from websheaf.llm.crf import ChainModel, Chains, chains
-from websheaf.llm.storage import held_out, table, text_slices, written
+from websheaf.llm.storage import dropped, held_out, table, text_slices, written
 
 #: The classifier is fitted on at most so many labelled rows of each class, of at most so many characters each.
 SAMPLE_ROWS, SAMPLE_CHARS, SEED = 1000, 20_000, 7
@@ -27,8 +29,12 @@ THRESHOLD = 0.3
 #: Words of a chain; chains also end with sentences and lines.
 CHAIN_WORDS = 128
 CACHED_WORDS = 1 << 18
-#: A label is put on words that hold a mark: a beginning (or a whole word) that toxic rows have and clean rows don't.
-MARK_ROWS, MARK_SHARE, MARK_ODDS, STEMS = 3, 0.02, 30.0, (4, 5, 6, 7)
+#: A label is put on words of toxic rows that hold a mark: a beginning (or a whole word) in at least MARK_ROWS toxic rows, at
+#: least MARK_LIFT times as often as in clean ones, and with a chance of at most MARK_CHANCE to be there by accident. The last
+#: two, like L2, were chosen by threefold cross-validation inside the training rows.
+MARK_ROWS, MARK_LIFT, MARK_CHANCE, STEMS = 3, 4.0, 1e-4, (4, 5, 6, 7)
+#: Near copies teach one thing many times: of SKETCH hash minima of a row's three-word runs, fewer than ALIKE may be another's.
+SKETCH, ALIKE = 8, 3
 
 _TOKEN = re.compile(r"[^\W_]+|[.!?\n]+")
 _END = re.compile(r"[.!?\n]+")
@@ -83,11 +89,12 @@ class ToxicityModel:
     doc_weights: np.ndarray
 
     def evidence(self, toxic: np.ndarray) -> np.ndarray:
-        """What the document score looks at: expected toxic words (log), the largest marginal, the second largest."""
+        """What the document score looks at: expected toxic words (log), the two largest marginals, and all words (log), as a
+        long text has more words that look toxic by accident."""
         if not len(toxic):
-            return np.array([1.0, 0.0, 0.0, 0.0])
+            return np.array([1.0, 0.0, 0.0, 0.0, 0.0])
         top = np.partition(np.concatenate(([0.0, 0.0], toxic)), -2)[-2:]
-        return np.array([1.0, np.log1p(toxic.sum()), top[1], top[0]])
+        return np.array([1.0, np.log1p(toxic.sum()), top[1], top[0], np.log1p(len(toxic)) / 5])
 
     def tag(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Where each text's words begin, and P(toxic) of all words (0 for what ends a sentence)."""
@@ -99,7 +106,7 @@ class ToxicityModel:
     def score(self, texts: list[str], with_spans: bool = False):
         """Scores, and the character spans [a, b) of words whose marginal is at least 0.5."""
         bounds, toxic = self.tag(texts)
-        evidence = np.array([self.evidence(toxic[a:b]) for a, b in zip(bounds, bounds[1:])]).reshape(-1, 4)
+        evidence = np.array([self.evidence(toxic[a:b]) for a, b in zip(bounds, bounds[1:])]).reshape(-1, 5)
         scores = 1 / (1 + np.exp(-(evidence @ self.doc_weights)))
         if not with_spans:
             return scores, None
@@ -111,98 +118,86 @@ class ToxicityModel:
         return scores, spans
 
 
-#: The most chance with which a mark of a language's or source's rows would fall on its toxic ones alone.
-MARK_CHANCE = 1e-4
-#: Columns of documents whose values share half of the sample evenly, where a table has them.
-STRATA = ("lang", "source")
+def _sample(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
+    """Labelled training rows (text, label) of both classes: bounded rows, each of bounded length.
 
-
-def _sample(docs: DataFrame, labels: DataFrame) -> list[tuple]:
-    """Labelled training rows (text, label, *values of STRATA) of both classes: bounded rows, each of bounded length.
-
-    Ids are drawn among labelled rows of such a length, class by class in the order of a hash: every other id as it
-    comes, so that common languages show as many clean rows as they need, every other with languages, and sources
-    within a language, taking turns, so that rare ones are there. Rows return in the order of the draw, so that any
-    first so many of a class are a fair draw as well. Rows that repeat a doc_id count once, with their least text.
-    """
-    known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("__toxic"))
-    known = known.filter(~held_out(F.col("doc_id"))).filter(F.col("__toxic").isin(0, 1)).withColumnRenamed("doc_id", "__id")
-    strata = [(F.col(c) if c in docs.columns else F.lit(None)).cast("string").alias(f"__{c}") for c in STRATA]
-    short = docs.filter(F.length("text") <= SAMPLE_CHARS).select(F.col("doc_id").alias("__doc"), F.col("text").alias("__text"), *strata)
-    ids = short.groupBy("__doc").agg(*[F.min(f"__{c}").alias(f"__{c}") for c in STRATA])
-    known = known.join(ids, known["__id"] == ids["__doc"]).select("__id", "__toxic", *[f"__{c}" for c in STRATA])
-    pool = written(known.withColumn("__turn", F.xxhash64(F.col("__id"), F.lit(SEED))), "labelled")
-
-    def first(rows: DataFrame, parts: list[str]) -> DataFrame:
-        if not parts:  # each task sends its first SAMPLE_ROWS rows of a class only, and so many are numbered
-            each = [rows.filter(F.col("__toxic") == c).orderBy("__turn", "__id").limit(SAMPLE_ROWS) for c in (0, 1)]
-            rows = each[0].union(each[1])
-        nth = F.row_number().over(Window.partitionBy("__toxic", *parts).orderBy("__turn", "__id"))
-        return rows.withColumn("__turn", nth).filter(F.col("__turn") <= SAMPLE_ROWS)
-
-    even = pool
-    for i in range(len(STRATA), -1, -1):  # sources take turns within a language, then languages within a class
-        even = first(even, [f"__{c}" for c in STRATA[:i]])
-    both = first(pool, []).withColumn("__turn", 2 * F.col("__turn")).union(even.withColumn("__turn", 2 * F.col("__turn") + 1))
-    drawn = first(both.groupBy("__id", "__toxic").agg(F.min("__turn").alias("__turn")), [])
-    drawn = F.broadcast(drawn.select("__id", "__toxic", "__turn"))  # at most 2 * SAMPLE_ROWS rows of three numbers
-    found = short.join(drawn, short["__doc"] == drawn["__id"]).groupBy("__toxic", "__turn", "__id").agg(F.min(F.struct("__text", *[f"__{c}" for c in STRATA])).alias("row"))
-    return [(r["row"][0], int(r["__toxic"]), *r["row"][1:]) for r in sorted(found.collect(), key=lambda r: (r["__turn"], r["__toxic"]))]
-
-
-def _marks(rows: list[tuple], counts: tuple[Counter, Counter]) -> set[str]:
-    """What toxic rows have and clean rows don't: at MARK_SHARE of all toxic rows, or of those of a language or source.
-
-    `counts` are the rows of either class that have a mark. The odds hold over all rows and in the group that is looked
-    at; where that has few rows, a mark must be in too many toxic ones to be there by chance.
+    Ids are drawn among labelled rows of such a length, class by class in the order of a hash, and texts are fetched for
+    those alone. Rows return in the order of the draw, so that any first so many of a class are a fair draw as well.
+    Rows that repeat a doc_id count once, with their least text.
     """
-    size = [max(1, sum(r[1] == y for r in rows)) for y in (0, 1)]
-    odds = lambda clean, toxic, size: ((toxic + 0.1) / size[1]) / ((clean + 0.1) / size[0])
-    likely = {m for m, n in counts[1].items() if n >= MARK_ROWS and odds(counts[0][m], n, size) >= MARK_ODDS}
-    marks = {m for m in likely if counts[1][m] >= MARK_SHARE * size[1]}
-    groups: dict[tuple, tuple[list, Counter, Counter]] = {}
-    for text, label, *values in rows:
-        own = likely.intersection(m for w in set(_TOKEN.findall(text.lower())) for m in marks_of(w)) if values else ()
-        for g in enumerate(values):
-            sizes, *each = groups.setdefault(g, ([0, 0], Counter(), Counter()))
-            sizes[label] += 1
-            each[label].update(own)
-    for sizes, clean, toxic in groups.values():
-        if not all(sizes):
-            continue
-        least = max(MARK_ROWS, MARK_SHARE * sizes[1], np.log(MARK_CHANCE) / np.log(sizes[1] / sum(sizes)))
-        marks |= {m for m, n in toxic.items() if n >= least and odds(clean[m], n, sizes) >= MARK_ODDS}
-    return marks
-
-
-def fit(rows: list[tuple]) -> ToxicityModel:
-    """From (text, label) rows, with or without values of STRATA, in the order in which they are to be taken.
-
-    Words are labelled by the marks that set toxic rows apart; the CRF learns from those.
+    known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = known.filter(~held_out(F.col("doc_id"))).filter(F.col("toxic").isin(0, 1)).select(F.col("doc_id").alias("id"), "toxic")
+    short = docs.filter(F.length("text") <= SAMPLE_CHARS).select("doc_id", "text")
+    pool = known.join(short.select(F.col("doc_id").alias("id")), "id", "left_semi").withColumn("turn", F.xxhash64(F.col("id"), F.lit(SEED)))
+    pool = written(pool, "labelled")
+    each = [pool.filter(F.col("toxic") == c).orderBy("turn", "id").limit(SAMPLE_ROWS) for c in (0, 1)]
+    drawn = F.broadcast(each[0].union(each[1]))  # at most 2 * SAMPLE_ROWS rows of three numbers
+    found = short.join(drawn, short["doc_id"] == drawn["id"]).groupBy("toxic", "turn", "id").agg(F.min("text").alias("text")).collect()
+    dropped(pool)
+    return [(r["text"], int(r["toxic"])) for r in sorted(found, key=lambda r: (r["turn"], r["id"]))]
+
+
+def without_near_copies(rows: list[tuple[str, int]]) -> list[tuple[str, int]]:
+    """The rows, in order, that don't share ALIKE or more hash minima with rows before them."""
+    seen: set[tuple[int, int]] = set()
+    kept = []
+    for text, label in rows:
+        words = text.lower().split()
+        runs = {zlib.crc32(" ".join(words[i : i + 3]).encode()) for i in range(max(1, len(words) - 2))}
+        h = np.fromiter(runs, np.uint64, len(runs))
+        minima = [(j, int((h * np.uint64(2654435761 + 2 * 40503 * j) % np.uint64(4294967291)).min())) for j in range(SKETCH)]
+        if sum(m in seen for m in minima) < ALIKE:
+            kept.append((text, label))
+            seen.update(minima)
+    return kept
+
+
+def _by_accident(toxic: int, clean: int, share: float) -> float:
+    """The chance that at least `toxic` of toxic + clean rows are toxic where rows are with probability `share`."""
+    n = toxic + clean
+    k = range(toxic, n + 1)
+    return math.fsum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(share) + (n - i) * math.log1p(-share)) for i in k)
+
+
+def _marks(counts: tuple[Counter, Counter], size: list[int]) -> set[str]:
+    """What toxic rows have more often than chance allows, given in how many rows of either class (of `size`) it is."""
+    share = size[1] / sum(size)
+    lift = lambda m, n: (n + 0.1) / size[1] / ((counts[0][m] + 0.1) / size[0])
+    often = [(m, n) for m, n in counts[1].items() if n >= MARK_ROWS and lift(m, n) >= MARK_LIFT]
+    return {m for m, n in often if _by_accident(n, counts[0][m], share) <= MARK_CHANCE}
+
+
+def fit(rows: list[tuple[str, int]]) -> ToxicityModel:
+    """From (text, label) rows in the order in which they are to be taken.
+
+    Labelled tokens do not exist: words of toxic rows are labelled by the marks that set toxic rows apart, and the CRF
+    learns from those. Near copies count once. Nothing but texts and labels is looked at.
     """
+    rows = without_near_copies(rows)
     counts = (Counter(), Counter())
-    for text, label, *_ in rows:
+    for text, label in rows:
         counts[label].update({m for w in set(_TOKEN.findall(text.lower())) for m in marks_of(w)})
-    marks = _marks(rows, counts)
+    size = [sum(label == y for _, label in rows) for y in (0, 1)]
+    marks = _marks(counts, size) if all(size) else set()
     frequent = [m for m, n in (counts[0] + counts[1]).items() if n >= 20 and m not in marks]
     index = {m: i + 5 for i, m in enumerate(sorted(marks) + sorted(frequent, key=lambda m: (-counts[0][m], m))[:20_000])}
-    model = ToxicityModel(Features(index), ChainModel(len(index) + 5, 2), np.array([-2.0, 0.0, 0.0, 0.0]))
+    model = ToxicityModel(Features(index), ChainModel(len(index) + 5, 2), np.array([-2.0, 0.0, 0.0, 0.0, 0.0]))
     short = [r for r in rows if len(r[0]) <= TAGGED_CHARS]
     tagged = [r for y in (0, 1) for r in [x for x in short if x[1] == y][:TAGGED_ROWS]]
-    tokens = Tokens([t for t, *_ in tagged])
+    tokens = Tokens([t for t, _ in tagged])
     marked = np.array([any(m in marks for m in marks_of(w)) for w in tokens.words], bool)[tokens.kind] if tokens.words else np.zeros(0, bool)
     labels = (marked & np.repeat(np.array([r[1] for r in tagged], bool), np.diff(tokens.bounds))).astype(np.int64)
     if labels.any():
         model.chain.fit(tokens.chains(model.features), labels, rounds=ROUNDS, l2=L2)
     texts, y = [r[0] for r in rows], np.array([r[1] for r in rows], float)
-    x = [np.zeros((0, 4))]
+    x = [np.zeros((0, 5))]
     for a, b in text_slices(texts):
         bounds, p = model.tag(texts[a:b])
         x.append(np.array([model.evidence(p[i:j]) for i, j in zip(bounds, bounds[1:])]))
     x = np.concatenate(x)
     for _ in range(400 if len(y) else 0):
         p = 1 / (1 + np.exp(-(x @ model.doc_weights)))
-        hessian = (x * (p * (1 - p))[:, None]).T @ x / len(y) + 1e-3 * np.eye(4)
+        hessian = (x * (p * (1 - p))[:, None]).T @ x / len(y) + 1e-3 * np.eye(5)
         model.doc_weights += 0.5 * np.linalg.solve(hessian, x.T @ (y - p) / len(y) - 1e-3 * model.doc_weights)
     return model
 
@@ -249,6 +244,9 @@ def without_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = THRE
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per row of `documents`: its score, and the [start, end) of offending words in `spans`. Null and empty texts get the
+    score of a text without words; rows that repeat an id each have their row; an empty table gives no rows; without
+    labels of both classes no word is toxic and scores stay under the threshold; other columns are ignored."""
     docs = table(spark, sf_dir, "documents")
     found = scores(docs, trained(docs, table(spark, sf_dir, "labels")))
-    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), F.size("spans").alias("n_spans"))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "spans")
