@@ -9,16 +9,18 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from websheaf.llm.chunking import chunk_ends
-from websheaf.llm.storage import table, text_slices, written
+from websheaf.llm.storage import fresh, table, text_slices, written
 
 #: Fixed value: the characters that normalisation deletes, [\x20\x09-\x0D].
 DELETED = b"\x20\x09\x0a\x0b\x0c\x0d"
 #: Bytes of a chunk: least, mean of what follows, most.
 CHUNK = (1024, 2048, 16384)
+#: Groups of more than one in LARGE of all rows (so fewer than LARGE groups) meet their rows by broadcast.
+LARGE = 500
 
 _RECIPES = "uid long, doc_id long, n_points long, text_sha256 string, fps array<long>, digests array<binary>"
 
@@ -70,36 +72,51 @@ def exact_duplicates(docs: DataFrame, *, fingerprint_bits: int = 64) -> DataFram
     points in its original text stays, then the smallest doc_id (null last); of repeated rows exactly one stays.
 
     Each text is read and cut once; only 40 bytes a chunk move. Groups form on identifier lists with partial
-    aggregation, and the join that follows is one that adaptive execution splits when a group is large.
-    `fingerprint_bits` under 64 exists to test collisions.
+    aggregation. What a group decides then meets its rows: fewer than LARGE large groups by broadcast, so that no task
+    gets a large group's rows, the others in a join. `fingerprint_bits` under 64 exists to test collisions.
     """
+    recipes, groups = _grouped(docs, fingerprint_bits)
+    large = F.col("group_size") > F.lit(max(1, recipes.count() // LARGE))
+    hot, rest = F.broadcast(groups.filter(large)), groups.filter(~large)
+    joined = recipes.join(hot, "recipe").unionByName(recipes.join(hot.select("recipe"), "recipe", "left_anti").join(rest, "recipe"))
+    return joined.select("doc_id", "keep_id", "group_size", (F.col("uid") == F.col("keep_uid")).alias("kept"), "text_sha256", "uid")
+
+
+def _grouped(docs: DataFrame, fingerprint_bits: int = 64) -> tuple[DataFrame, DataFrame]:
+    """Two written tables: a row for each row of `docs`, and a row for each group of equal texts."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     cut = source.withColumn("uid", F.monotonically_increasing_id()).mapInArrow(_recipes(fingerprint_bits), _RECIPES)
     recipes = _with_verified_ids(written(cut, "recipes"))
-    best = F.max(F.struct("n_points", (-F.col("doc_id")).alias("neg"), (-F.col("uid")).alias("neg_uid"))).alias("best")
-    groups = recipes.groupBy("recipe").agg(best, F.count("*").alias("group_size")).select("recipe", "group_size", (-F.col("best.neg")).alias("keep_id"), (-F.col("best.neg_uid")).alias("keep_uid"))
-    return recipes.join(groups, "recipe").select("doc_id", "keep_id", "group_size", (F.col("uid") == F.col("keep_uid")).alias("kept"), "text_sha256", "uid")
+    best = F.max(F.struct("n_points", (-F.col("doc_id")).alias("neg"), (-F.col("uid")).alias("neg_uid"), "text_sha256")).alias("best")
+    groups = recipes.groupBy("recipe").agg(best, F.count("*").alias("group_size"))
+    groups = groups.select("recipe", "group_size", (-F.col("best.neg")).alias("keep_id"), (-F.col("best.neg_uid")).alias("keep_uid"), F.col("best.n_points").alias("keep_points"), F.col("best.text_sha256").alias("keep_sha"))
+    return recipes, written(groups, "groups")
+
+
+def normalised_sha(text: Column) -> Column:
+    return F.sha2(F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), r"[\x20\x09-\x0D]+", "").cast("binary"), 256)
 
 
 def without_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` that stay, all columns unchanged.
+    """The rows of `docs` that stay, all columns unchanged, whatever their names and types.
 
-    The documents meet only the ids that stay. Rows that repeat a doc_id are told apart by text, and of rows that
-    repeat both one stays.
+    The documents meet only the ids that stay. Rows that repeat a doc_id (null ids among them) are told apart by text; of
+    rows that repeat id, text without white space and length, one stays.
     """
-    found = written(exact_duplicates(docs).select("doc_id", "kept", "text_sha256"), "decisions")
-    kept = found.filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    same_id = docs["doc_id"].eqNullSafe(kept["__id"])
-    if found.groupBy("doc_id").count().filter("count > 1").isEmpty():
+    recipes, groups = _grouped(docs)
+    kept = groups.select(F.col("keep_id").alias("id"), F.col("keep_sha").alias("sha"), F.col("keep_points").alias("points"))
+    same_id = docs["doc_id"].cast("long").eqNullSafe(kept["id"])
+    if recipes.groupBy("doc_id").count().filter("count > 1").isEmpty():
         return docs.join(kept, same_id, "left_semi")
-    sha = F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", "").cast("binary"), 256)
-    own = docs.withColumn("__own", sha)
-    matched = own.join(kept, own["doc_id"].eqNullSafe(kept["__id"]) & (own["__own"] == kept["__sha"]), "left_semi")
-    nth = F.row_number().over(Window.partitionBy("doc_id", "__own").orderBy(F.length("text").desc_nulls_last(), *docs.columns))
-    return matched.withColumn("__nth", nth).filter("__nth = 1").select(*docs.columns)
+    own, size = fresh(docs, "own_sha"), fresh(docs, "own_points")
+    named = docs.withColumn(own, normalised_sha(F.col("text"))).withColumn(size, F.coalesce(F.length(F.col("text").cast("string")), F.lit(0)))
+    same = named["doc_id"].cast("long").eqNullSafe(kept["id"]) & (named[own] == kept["sha"]) & (named[size] == kept["points"])
+    return named.join(kept, same, "left_semi").dropDuplicates(["doc_id", own]).drop(own, size)
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per row of `documents`. Null texts count as empty, and all empty ones are a group; ties go to the smaller doc_id,
+    null last; of repeated rows one is kept; an empty table gives no rows; other columns are ignored."""
     return exact_duplicates(table(spark, sf_dir, "documents")).drop("uid")
 
 
