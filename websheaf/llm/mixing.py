@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from websheaf.llm.storage import table
+from websheaf.llm.storage import fresh, table, written
 
 #: Sources in code point order (null last) weigh these in turn; no source is repeated more often than MAX_REPEATS.
 WEIGHTS, MAX_REPEATS, SEED = (1, 2, 3), 3, "mix-1"
@@ -13,10 +13,15 @@ WEIGHTS, MAX_REPEATS, SEED = (1, 2, 3), 3, "mix-1"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def coin(doc_id: Column, seed: str = SEED) -> Column:
-    """A number in [0, 1) that depends on the seed and the doc_id alone, so that reruns and retries agree."""
-    key = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null")))
-    return F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(float(2**32))
+def coin(doc_id: Column, text: Column, seed: str = SEED) -> Column:
+    """A number in [0, 1) that depends on the seed and the doc_id alone (on the text where that is null), so that reruns and
+    retries agree."""
+    name = F.coalesce(doc_id.cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary"))))
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), name).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(float(2**32))
+
+
+def words(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text.cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def source_targets(sizes: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
@@ -41,37 +46,53 @@ def source_targets(sizes: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, max_
     return levels.select("source", "source_size", F.round(target, 6).alias("target"))
 
 
+def _goals(sized: DataFrame, weights: tuple[int, ...], max_repeats: int) -> DataFrame:
+    """A written table of (goal_of, source_size, target, rate), a row a source, from (source, size): Spark knows its size, so
+    it is sent to the documents, or shuffled, as that size asks."""
+    sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    goals = source_targets(sizes, weights=weights, max_repeats=max_repeats)
+    rate = F.when(F.col("source_size") > 0, F.least(F.lit(float(max_repeats)), F.col("target") / F.col("source_size"))).otherwise(0.0)
+    return written(goals.select(F.col("source").alias("goal_of"), "source_size", "target", rate.alias("rate")), "goals")
+
+
+def _copies(rate: Column, coin: Column) -> Column:
+    return (F.floor(rate) + (coin < rate - F.floor(rate)).cast("int")).cast("int")
+
+
 def mixed(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, seed: str = SEED) -> DataFrame:
-    """`docs` (doc_id, source, text; any others) with __size, __source_size, __target and __copies added.
+    """One row per row of `docs` (doc_id, source, text; others are ignored): doc_id, source, size, source_size, target, copies.
 
     A document is taken floor(target / source_size) times, and once more if its coin is under the fraction. Size is the
     number of words (null and empty texts: 0). Nulls in source are one source, the last. An empty source's rate is 0.
-    Sizes are summed per source with partial aggregation; a large source never gathers in one task.
+    Texts are read once; sizes are summed per source with partial aggregation, so a large source never gathers in one task.
     """
-    sized = docs.withColumn("__size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
-    sizes = sized.groupBy("source").agg(F.sum("__size").alias("source_size"))
-    goals = source_targets(sizes, weights=weights, max_repeats=max_repeats)
-    goals = goals.select(F.col("source").alias("__s"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"))
-    rate = F.least(F.lit(float(max_repeats)), F.when(F.col("__source_size") > 0, F.col("__target") / F.col("__source_size")).otherwise(0.0))
-    extra = (coin(F.col("doc_id"), seed) < rate - F.floor(rate)).cast("int")
-    joined = sized.join(goals, sized["source"].eqNullSafe(goals["__s"])).drop("__s")
-    return joined.withColumn("__copies", (F.floor(rate) + extra).cast("int"))
+    sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), words(F.col("text")).alias("size"), coin(F.col("doc_id"), F.col("text"), seed).alias("coin"))
+    sized = written(sized, "sizes")
+    goals = _goals(sized, weights, max_repeats)
+    joined = sized.join(goals, sized["source"].eqNullSafe(goals["goal_of"]))
+    return joined.select("doc_id", "source", "size", "source_size", "target", _copies(F.col("rate"), F.col("coin")).alias("copies"))
 
 
-def mixture(docs: DataFrame) -> DataFrame:
-    """The documents of the mix, each as often as it is taken, with the columns of `docs`."""
-    taken = mixed(docs).filter("__copies > 0")
-    return taken.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+def mixture(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, seed: str = SEED) -> DataFrame:
+    """The documents of the mix, each as often as mixed() takes it, with the columns of `docs`, whatever their names."""
+    goals = _goals(docs.select(F.col("source").cast("string").alias("source"), words(F.col("text")).alias("size")), weights, max_repeats)
+    joined = docs.join(goals, docs["source"].cast("string").eqNullSafe(goals["goal_of"]))
+    times = _copies(goals["rate"], coin(docs["doc_id"], docs["text"], seed))
+    again = fresh(docs, "again")
+    return joined.select(*[docs[f"`{c}`"] for c in docs.columns], F.explode(F.array_repeat(F.lit(True), times)).alias(again)).drop(again)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mixed(docs).select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__copies") * F.col("__size")).alias("taken"))
+    """One row per row of `documents` and what the mix takes of it. Null and empty texts have size 0, null sources are the last
+    source, null ids are told apart by text, rows that repeat an id share its coin; an empty table gives no rows."""
+    found = mixed(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 OP9_SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+    coalesce(doc_id::VARCHAR, 'null:' || md5(coalesce(text, ''))) AS name FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source
 ), w AS (
@@ -85,7 +106,7 @@ WITH d AS (
 ), r AS (
   SELECT d.doc_id, d.size, t.source_size, t.target,
          least(3.0::DOUBLE, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END) AS rate,
-         ('0x' || substr(md5('mix-1:' || coalesce(d.doc_id::VARCHAR, 'null')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS coin
+         ('0x' || substr(md5('mix-1:' || d.name), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS coin
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 )
 SELECT doc_id, size, source_size, target, (floor(rate)::BIGINT + (coin < rate - floor(rate))::BIGINT) * size AS taken FROM r
