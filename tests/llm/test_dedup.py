@@ -208,14 +208,45 @@ def test_mixture_repeats_documents_near_their_target(spark):
     plan = mixing.mixed(docs).collect()
     by = {}
     for r in plan:
-        assert 0 <= r["__copies"] <= 3
-        by.setdefault(r.source, [0, r["__target"]])[0] += r["__copies"] * r["__size"]
+        assert 0 <= r["copies"] <= 3
+        by.setdefault(r.source, [0, r["target"]])[0] += r["copies"] * r["size"]
     assert all(abs(taken - target) < 0.1 * target for taken, target in by.values())
     mix = mixing.mixture(docs)
-    assert mix.columns == docs.columns and mix.count() == sum(r["__copies"] for r in plan)
+    assert mix.columns == docs.columns and mix.count() == sum(r["copies"] for r in plan)
     assert sorted(map(str, mix.collect())) == sorted(map(str, mixing.mixture(docs.repartition(5)).collect()))
 
 
+def clashing(spark, rows):
+    """Documents with a map and with columns named like those that operators make for themselves."""
+    names = ["size", "target", "copies", "source_size", "rate", "goal_of", "again", "col", "__s", "__size", "own_sha", "own_points", "id", "sha", "points", "fp", "uid", "recipe", "shard", "kind", "turn", "toxic"]
+    frame = docs_of(spark, rows)
+    return frame.select("*", *[F.lit("theirs").alias(n) for n in names], F.create_map(F.lit("k"), F.col("doc_id")).alias("map"))
+
+
+def test_clashing_columns_and_maps_pass_through(spark, mixed_rows):
+    frame = clashing(spark, mixed_rows)
+    for stage, plain in ((exact_dedup.without_exact_duplicates, None), (simhash.one_of_each_group, None), (mixing.mixture, None)):
+        out = stage(frame)
+        assert out.columns == frame.columns
+        assert sorted(str((r.doc_id, norm(r.text))) for r in out.collect()) == sorted(str((r.doc_id, norm(r.text))) for r in stage(docs_of(spark, mixed_rows)).collect())
+        assert {r["size"] for r in out.select("size").collect()} == {"theirs"}
+    assert exact_dedup.exact_duplicates(frame).count() == simhash.near_duplicates(frame).count() == mixing.mixed(frame).count() == len(mixed_rows)
+
+
+def test_null_ids_have_coins_of_their_own(spark):
+    docs = docs_of(spark, [(None, f"word{i} " * 10, "a") for i in range(400)] + [(i, "w " * 10, "b") for i in range(400)])
+    taken = [r.copies for r in mixing.mixed(docs).collect() if r.source == "a"]
+    assert len(set(taken)) == 2
+
+
+def test_a_group_of_a_third_of_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "LARGE", 5)
+    rows = [(i, "the same text", "s") for i in range(300)] + [(1000 + i, f"text {i % 250}", "s") for i in range(600)]
+    found = {r.doc_id: r for r in exact_dedup.exact_duplicates(docs_of(spark, rows)).collect()}
+    assert len(found) == 900 and all(found[i].keep_id == 0 and found[i].group_size == 300 for i in range(300))
+    assert all(found[1000 + i].keep_id == 1000 + i % 250 for i in range(600))
+
+
 def test_empty_tables(spark):
     empty = docs_of(spark, [])
     assert exact_dedup.exact_duplicates(empty).count() == 0

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from websheaf.llm.components import components
-from websheaf.llm.storage import table, text_slices, written
+from websheaf.llm.storage import fresh, table, written
 
 #: Contract of the fingerprint: words a shingle, hash seed, and bits in which linked fingerprints may differ.
 SHINGLE_WORDS, SEED, MAX_BITS = 3, 42, 2
@@ -117,18 +117,21 @@ def one_of_each_group(docs: DataFrame) -> DataFrame:
     doc_id and text: null and repeated doc_ids stand for as many documents as they have components. Of rows that
     repeat both (a null text counts as empty) one stays.
     """
-    own = docs.withColumn("__own", F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256)))
-    source = own.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("__own").alias("sha"))
+    own = fresh(docs, "own_sha")
+    named = docs.withColumn(own, F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256)))
+    source = named.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(own).alias("sha"))
     found = written(source.mapInArrow(_fingerprints(SHINGLE_WORDS), "doc_id long, sha binary, fp long"), "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "sha")).alias("least")
     rooted = _rooted(found.groupBy("fp").agg(first), MAX_BITS, PAIRS_UP_TO)
     best = rooted.groupBy("root").agg(F.min("least").alias("least"))
-    stay = written(best.select(F.col("least.doc_id").alias("__id"), F.col("least.sha").alias("__sha")), "stay")
-    kept = own.join(stay, own["doc_id"].eqNullSafe(stay["__id"]) & (own["__own"] == stay["__sha"]), "left_semi")
+    stay = written(best.select(F.col("least.doc_id").alias("id"), F.col("least.sha").alias("sha")), "stay")
+    kept = named.join(stay, named["doc_id"].cast("long").eqNullSafe(stay["id"]) & (named[own] == stay["sha"]), "left_semi")
     repeats = found.groupBy("doc_id", "sha").count().filter("count > 1")
-    return (kept if repeats.isEmpty() else kept.dropDuplicates(["doc_id", "__own"])).drop("__own")
+    return (kept if repeats.isEmpty() else kept.dropDuplicates(["doc_id", own])).drop(own)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per row of `documents`. Null and wordless texts have fingerprint zero and are linked like any other; rows that
+    repeat an id each have their row; ties need no rule; an empty table gives no rows; other columns are ignored."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
