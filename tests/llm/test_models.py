@@ -107,6 +107,41 @@ def test_extraction_of_driver_pages(spark, sf_dir, extractor):
         assert r.text == "\n\n".join(b for b in blocks if b)
 
 
+#: Pages of shapes that the templates do not draw, with their main texts marked by hand.
+HAND_MADE = [
+    ("<html><body><div id=masthead><a href=/>Daily</a> <a href=/w>World</a> <a href=/s>Sport</a></div><div class=article-body><h1>Ferry service resumes after storm</h1><p>The ferry between the two islands resumed on Monday after four days of strong wind.</p>"
+     "<div class='ad-slot'>Buy new boots today.</div><p>Passengers had waited in the harbour since Thursday, the operator said.</p></div><div class=sidebar><h3>Most read</h3><ul><li><a href=/1>One</a><li><a href=/2>Two</a></ul></div><div class=footer>&copy; 2020 Daily</div></body></html>",
+     ["Ferry service resumes after storm", "The ferry between the two islands resumed on Monday after four days of strong wind.", "Passengers had waited in the harbour since Thursday, the operator said."]),
+    ("<!doctype html><title>x</title><header><nav><a href=/>Home</a> <a href=/about>About</a></nav></header><main><h1>How to keep bees</h1><p>Bees need water, shelter and flowers within a short flight of the hive.</p><h2>Tools</h2><ul><li>A smoker and a veil for every visit.</li><li>A hive tool made of steel.</li></ul>"
+     "<p>Visit the hive on warm days only, when most of the bees are out.</p></main><section class='comments'><h2>Comments</h2><p>Great read, thanks a lot for this!</p></section><footer><p>All rights reserved. Imprint</p></footer>",
+     ["How to keep bees", "Bees need water, shelter and flowers within a short flight of the hive.", "Tools", "A smoker and a veil for every visit.", "A hive tool made of steel.", "Visit the hive on warm days only, when most of the bees are out."]),
+]
+
+
+@pytest.mark.parametrize("page, expected", HAND_MADE)
+def test_hand_made_pages(extractor, page, expected):
+    assert extractor.content([extractor.blocks(page)])[0] == expected
+
+
+def test_deep_nesting_takes_linear_memory(extractor):
+    import time
+    import tracemalloc
+
+    took, peak = [], []
+    for n in (10_000, 100_000):
+        page = "".join(f"<div class='deep n{chr(97 + i % 26)}x{chr(97 + i // 26 % 26)}'>word{i}" for i in range(n)) + "<p>end</x></b>" * n
+        tracemalloc.start()
+        began = time.time()
+        found = extractor.blocks(page)
+        took.append(time.time() - began)
+        peak.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert len(found) == 2 * n
+    assert peak[1] < 20 * peak[0] and took[1] < 40 * took[0] + 5
+    odd = "".join(f"<t{i}><table><td><button>x" for i in range(3000)) + "<div>y" * 3000 + "<p>z"
+    assert len(extractor.blocks(odd)) == 6001
+
+
 def test_extraction_of_odd_pages(spark, extractor):
     rows = [(1, None, None), (2, "u", ""), (None, None, "<p>" * 3000 + "deep"), (4, "u", "plain text"), (5, "u", "<article>" + "<p>long words here.</p>" * 5000)]
     frame = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, text string")

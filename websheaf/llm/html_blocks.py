@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import html
 import re
-from dataclasses import dataclass, field
+from collections import Counter
+from collections.abc import Collection
+from dataclasses import dataclass
 
 #: Tags that take no end, tags whose content is no text, and tags that begin and end blocks.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -21,59 +23,99 @@ CLOSES |= {"tr": ({"tr", "td", "th", "p"}, frozenset({"table"})), "td": ({"td",
 #: Tags that a head can hold; any other tag, and text, ends it (its end tag and the body's tags are optional).
 IN_HEAD = frozenset("head base link meta title style script noscript template".split())
 
+#: Tags that say what part of a page this is.
+SECTIONS = frozenset("article main nav header footer aside form section figure".split())
+#: The distinct rules of CLOSES, each a scope in which an open element is looked for.
+_RULES = list({(frozenset(c), h): None for c, h in CLOSES.values()})
+_RULE_OF = {t: _RULES.index((frozenset(c), h)) for t, (c, h) in CLOSES.items()}
+_SCOPED = frozenset().union(*(c | h for c, h in _RULES))
+
 _MARKUP = re.compile(r"<(?:!--(?P<comment>.*?(?:-->|\Z))|[!?][^>]*>?|(?P<end>/)?(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*)(?:>|\Z))", re.S)
 _NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORDS = re.compile(r"[^a-z]+")
 _SPACE = re.compile(r"\s+")
+_END_OF = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
+
+
+class Node:
+    """An open element with what is above it. Children share their parent's sets unless they add to them, and `at[rule]` is
+    where the element stands that the rule would close, so that deep nesting costs no more than flat."""
+
+    __slots__ = ("tag", "tags", "names", "block", "section", "at")
+
+    def __init__(self, tag: str, names: frozenset[str], up: Node | None, depth: int):
+        self.tag = tag
+        self.tags = up.tags if up and tag in up.tags else (up.tags if up else frozenset()) | {tag}
+        self.names = up.names if up and names <= up.names else (up.names if up else frozenset()) | names
+        self.block = tag if tag in BLOCK else up.block if up else ""
+        self.section = tag if tag in SECTIONS else up.section if up else "none"
+        self.at = up.at if up else (-1,) * len(_RULES)
+        if tag in _SCOPED:
+            self.at = tuple(-1 if tag in holders else depth if tag in closing else old for (closing, holders), old in zip(_RULES, self.at))
 
 
 @dataclass
 class Block:
+    """A run of text, the distinct tags and names above it, the nearest block tag and section, and its characters in links."""
+
     text: str
     tag: str
-    above: tuple[str, ...]
+    tags: frozenset[str]
     names: frozenset[str]
+    section: str
     linked: int
-    order: int = field(default=0)
+    order: int = 0
+
 
+def blocks(page: str, tags: Collection[str] | None = None, names: Collection[str] | None = None) -> list[Block]:
+    """The page's blocks in order, texts with decoded references and white space runs as one space; empty ones left out.
 
-def blocks(page: str) -> list[Block]:
-    """The page's blocks in order, texts with decoded references and white space runs as one space; empty ones left out."""
+    Of tags outside BLOCK and SECTIONS, and of names, only those in `tags` and `names` are kept, where given: memory then
+    follows the page's length whatever it nests.
+    """
     found: list[Block] = []
-    stack: list[tuple[str, frozenset[str]]] = []
+    stack: list[Node] = []
+    open_tags: Counter[str] = Counter()
     parts: list[str] = []
-    linked = 0
-    state: tuple | None = None
+    linked = silent = 0
+    state: Node | None = None
+    spoken = False
+
+    def cut(depth: int) -> None:
+        nonlocal silent
+        for node in stack[depth:]:
+            open_tags[node.tag] -= 1
+            silent -= node.tag in SILENT
+        del stack[depth:]
 
     def flush() -> None:
-        nonlocal linked, state
-        text = _SPACE.sub(" ", html.unescape("".join(parts))).strip() if parts else ""
-        if text and state:
-            above, names = state
-            tag = next((t for t in reversed(above) if t in BLOCK), "")
-            found.append(Block(text, tag, above, names, min(linked, len(text)), len(found)))
-        parts.clear()
-        linked, state = 0, None
+        nonlocal linked, state, spoken
+        if parts:
+            text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
+            if text and spoken:
+                up = state
+                found.append(Block(text, up.block if up else "", up.tags if up else frozenset(), up.names if up else frozenset(), up.section if up else "none", min(linked, len(text)), len(found)))
+            parts.clear()
+        linked, state, spoken = 0, None, False
 
     def leave_head() -> None:
-        nonlocal silent
-        while stack and stack[-1][0] == "head":
-            stack.pop()
-            silent -= 1
+        while stack and stack[-1].tag == "head":
+            cut(len(stack) - 1)
 
     def say(text: str) -> None:
-        nonlocal linked, state
-        if silent and not text.isspace():
+        nonlocal linked, state, spoken
+        blank = text.isspace()
+        if silent and not blank:
             leave_head()
         if silent:
             return
-        if state is None and not text.isspace():
-            state = tuple(t for t, _ in stack), frozenset().union(*(n for _, n in stack))
+        if not spoken and not blank:
+            state, spoken = stack[-1] if stack else None, True
         parts.append(text)
-        if any(t == "a" for t, _ in stack[-3:]):
+        if any(node.tag == "a" for node in stack[-3:]):
             linked += len(text)
 
-    at, silent, size = 0, 0, len(page)
+    at, size = 0, len(page)
     while at < size:
         m = _MARKUP.search(page, at)
         if m is None:
@@ -86,13 +128,13 @@ def blocks(page: str) -> list[Block]:
         if tag is None:
             continue
         tag = tag.lower()
+        if tags is not None and tag not in BLOCK and tag not in SILENT and tag not in tags and tag not in VOID and tag != "a":
+            tag = "span"
         if m["end"]:
             if tag in BLOCK:
                 flush()
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
-            if depth >= 0:
-                silent -= sum(t in SILENT for t, _ in stack[depth:])
-                del stack[depth:]
+            if open_tags[tag] > 0:
+                cut(next(i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == tag))
             continue
         if tag in BLOCK:
             flush()
@@ -102,22 +144,18 @@ def blocks(page: str) -> list[Block]:
             if tag == "br":
                 say(" ")
             continue
-        closing, holders = CLOSES.get(tag, ((), ()))
-        for i in range(len(stack) - 1, -1, -1) if closing else ():
-            if stack[i][0] in holders:
-                break
-            if stack[i][0] in closing:
-                del stack[i:]
-                break
+        if stack and tag in _RULE_OF and (closed := stack[-1].at[_RULE_OF[tag]]) >= 0:
+            cut(closed)
         attrs = m["attrs"]
         if attrs.endswith("/") and tag not in BLOCK and tag not in RAW:
             continue
         if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            end = _END_OF[tag].search(page, at)
             at = end.end() if end else size
             continue
-        names = frozenset(w for a in _NAMES.findall(attrs) for w in _WORDS.split("".join(a).lower()) if w) if attrs else frozenset()
-        stack.append((tag, names))
+        own = frozenset(w for a in _NAMES.findall(attrs) for w in _WORDS.split("".join(a).lower()) if w and (names is None or w in names)) if attrs else frozenset()
+        stack.append(Node(tag, own, stack[-1] if stack else None, len(stack)))
+        open_tags[tag] += 1
         silent += tag in SILENT
     flush()
     return found

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,19 +23,25 @@ PAGES, SEED, ROUNDS, L2 = 800, 1, 150, 1e-5
 def features(b: Block, count: int) -> list[str]:
     """What is above the block (tags, and words of class, id and role), and how its text looks."""
     n = len(b.text)
-    above = dict.fromkeys(b.above)
-    nearest = next((t for t in reversed(b.above) if t in ("article", "main", "nav", "header", "footer", "aside", "form", "section", "figure")), "none")
     share = 4 * b.linked // n
     words = b.text.count(" ") + 1
-    looks = [f"len={min(words.bit_length(), 7)}", f"link={share}", f"stop={b.text[-1] in '.!?:…'}", f"sign={'©' in b.text}", f"tag={b.tag}", f"near={nearest}", f"edge={b.order == 0}{b.order == count - 1}"]
-    return ["any", *looks, *("in=" + t for t in above), *("name=" + w for w in sorted(b.names)), f"tag={b.tag} link={share}", f"named={bool(b.names)}"]
+    looks = [f"len={min(words.bit_length(), 7)}", f"link={share}", f"stop={b.text[-1] in '.!?:…'}", f"sign={'©' in b.text}", f"tag={b.tag}", f"near={b.section}", f"edge={b.order == 0}{b.order == count - 1}"]
+    return ["any", *looks, *("in=" + t for t in sorted(b.tags)), *("name=" + w for w in sorted(b.names)), f"tag={b.tag} link={share}", f"named={bool(b.names)}"]
 
 
-@dataclass
+@dataclass(eq=False)
 class Extractor:
     index: dict[str, int]
     chain: ChainModel
 
+    def blocks(self, page: str) -> list[Block]:
+        """The page's blocks, with those tags and names that the model knows."""
+        return blocks(page, self.known("in="), self.known("name="))
+
+    @cache
+    def known(self, kind: str) -> frozenset[str]:
+        return frozenset(f[len(kind) :] for f in self.index if f.startswith(kind))
+
     def chains_of(self, pages: list[list[Block]]) -> Chains:
         rows: dict[tuple[int, ...], int] = {}
         kind = []
@@ -60,7 +67,9 @@ def fit(pages: list[tuple[str, dict[str, bool]]], rounds: int = ROUNDS) -> Extra
     return model
 
 
+@cache
 def trained() -> Extractor:
+    """The extractor of PAGES generated pages; the same at every call, so made once a process."""
     return fit(labelled_pages(PAGES, SEED))
 
 
@@ -74,7 +83,7 @@ def main_texts(pages: DataFrame, model: Extractor) -> DataFrame:
         for batch in batches:
             for i in range(0, len(batch), 200):
                 part = batch.slice(i, 200)
-                found = model.content([blocks(h or "") for h in part["html"].to_pylist()])
+                found = model.content([model.blocks(h or "") for h in part["html"].to_pylist()])
                 texts = pa.array(["\n\n".join(t) for t in found], pa.string())
                 yield pa.RecordBatch.from_arrays([part["page_id"], part["url"], texts], ["page_id", "url", "text"])
 
@@ -83,5 +92,7 @@ def main_texts(pages: DataFrame, model: Extractor) -> DataFrame:
 
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per row of `pages`. Null and empty pages, and pages without content, have the empty text and n_chars 0; rows that
+    repeat an id each have their row; an empty table gives no rows; other columns are ignored."""
     found = main_texts(table(spark, sf_dir, "pages"), trained())
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
