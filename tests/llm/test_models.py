@@ -171,6 +171,53 @@ def test_language_of_odd_texts(spark):
     assert {r.lang_pred for r in language_id.predictions(odd, nothing).collect()} == {"und"}
 
 
+def plain_grams(text):
+    """Bucket counts, one n-gram at a time."""
+    kept = "".join(c if c.isalpha() or ord(c) > 127 else " " for c in text.lower())
+    data = b" " + " ".join(kept.split(" ")).encode() + b" "
+    while b"  " in data:
+        data = data.replace(b"  ", b" ")
+    counts = {}
+    for n in (2, 3, 4):
+        for i in range(len(data) - n + 1):
+            bucket = ((int.from_bytes(data[i : i + n], "big") + n) * 0x9E3779B1) % 2**32 >> 18
+            counts[bucket] = counts.get(bucket, 0) + 1
+    return counts
+
+
+def test_language_predictions_match_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = language_id.trained(docs)
+    frame = docs.unionByName(docs.limit(3)).withColumn("score", docs.doc_id).withColumn("lang_pred", docs.text).withColumn("rejected", docs.text)
+    found = language_id.predictions(frame, model).collect()
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    assert len(found) == len(texts) + 3
+    for r in found:
+        counts = plain_grams(texts[r.doc_id])
+        weight = {b: (1 + np.log(c)) * model.idf[b] for b, c in counts.items()}
+        norm = np.sqrt(sum(w * w for w in weight.values()))
+        cosines = [sum(w / norm * float(model.centroids[b, j]) for b, w in weight.items()) for j in range(model.centroids.shape[1])]
+        assert r.score == pytest.approx(max(cosines), abs=1e-5)
+        assert cosines[[i for i, o in enumerate(model.owner) if model.languages[o] == r.lang_pred][0]] <= max(cosines)
+        assert max(c for c, o in zip(cosines, model.owner) if model.languages[o] == r.lang_pred) == pytest.approx(max(cosines), abs=1e-5)
+
+
+def test_texts_without_a_letter_are_undetermined(spark):
+    train = spark.createDataFrame([(i, f"the {i} house", "en") for i in range(20)], "doc_id long, text string, lang string")
+    odd = ["½ ²", "Ⅷ", "123", "!?", "_", "\u0301", "🙂"]
+    frame = spark.createDataFrame(list(enumerate([*odd, "½ a", "ⅷ ñ"])), "doc_id long, text string")
+    found = {r.doc_id: r.lang_pred for r in language_id.predictions(frame, language_id.trained(train)).collect()}
+    assert [found[i] for i in range(len(odd))] == ["und"] * len(odd) and found[len(odd)] == found[len(odd) + 1] == "en"
+
+
+def test_no_language_is_left_out(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "SAMPLE_TOTAL", 1200)
+    rows = [(1000 * i + j, f"lang{chr(97 + i % 26)}{chr(97 + i // 26)} words here", f"l{i}") for i in range(600) for j in range(4)]
+    rows += [(None, "the same text", "zz")] * 50
+    model = language_id.trained(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.languages) == 601
+
+
 @pytest.fixture(scope="module")
 def labelled():
     r = random.Random(9)

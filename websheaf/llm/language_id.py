@@ -2,26 +2,27 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from websheaf.llm.storage import held_out, table
+from websheaf.llm.storage import dropped, held_out, table, written
 
-#: The classifier is fitted on at most so many labelled rows of each language, drawn by hash, of at most so many characters.
-SAMPLE_ROWS, SAMPLE_CHARS, SEED = 800, 50_000, 11
+#: The classifier is fitted on about so many labelled rows of each language, drawn by hash, of at most so many characters, and
+#: on about SAMPLE_TOTAL rows of all languages: where there are many languages, each gives fewer.
+SAMPLE_ROWS, SAMPLE_TOTAL, SAMPLE_CHARS, SEED = 800, 40_000, 50_000, 11
 #: Hashed features; n-grams are of so many bytes; centroids a language; rounds of clustering.
 BUCKETS, GRAMS, CENTROIDS, ROUNDS = 1 << 14, (2, 3, 4), 4, 12
 #: Texts farther than this (1 - cosine) from every centroid are marked as rejected.
 MAX_DISTANCE = 0.85
 UNDETERMINED = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 #: ASCII that isn't a letter separates words.
 _PLAIN = bytes(b if chr(b).isalpha() or b > 127 else 32 for b in range(256))
 _MIX = np.uint32(0x9E3779B1)
@@ -104,23 +105,27 @@ def _gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [gram_counts(t or "") for t in batch["text"].to_pylist()]
         packed = [pa.array([x.astype(kind).tobytes() for x in part], pa.binary()) for part, kind in zip(zip(*found), ("<u2", "<u4"))] if found else [pa.array([], pa.binary())] * 2
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["lang"], *packed], ["doc_id", "lang", "at", "counts"])
+        yield pa.RecordBatch.from_arrays([batch["turn"], batch["lang"], *packed], ["turn", "lang", "at", "counts"])
 
 
 def trained(docs: DataFrame) -> LanguageModel:
     """From rows with a language whose crc32(doc_id as text) mod 4 is not 2: a bounded sample of each language.
 
-    Languages are counted over all rows; each then gives about SAMPLE_ROWS rows, those with the smallest hashes of their
-    ids. n-grams are counted on the executors, so the driver holds vectors of bounded size and no text.
+    Languages are counted over all rows; each then gives about SAMPLE_ROWS rows, those with the smallest hashes of id and
+    text (rows that repeat both count once), and one row at least. n-grams are counted on the executors, so the driver
+    holds vectors of bounded size and no text.
     """
-    rows = docs.filter("lang is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
+    rows = docs.filter("lang is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     rows = rows.filter(~held_out(F.col("doc_id")) & (F.length("text") <= SAMPLE_CHARS))
-    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(500).collect()}
-    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, SAMPLE_ROWS / n))]) if sizes else F.lit(None)
-    unit = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 30)) / float(1 << 30)
-    drawn = rows.filter(unit < share[F.col("lang")]) if sizes else rows.limit(0)
-    found = drawn.mapInArrow(_gram_rows, "doc_id long, lang string, at binary, counts binary").limit(2 * SAMPLE_ROWS * max(1, len(sizes))).collect()
-    found.sort(key=lambda r: (r["doc_id"], r["lang"]))
+    rows = rows.withColumn("turn", F.xxhash64("doc_id", "text", F.lit(SEED)))
+    sizes = written(rows.groupBy(F.col("lang").alias("of")).agg(F.count("*").alias("n"), F.min("turn").alias("first")), "languages")
+    each = min(SAMPLE_ROWS, SAMPLE_TOTAL / max(1, sizes.count()))
+    drawn = rows.join(sizes, F.col("lang") == F.col("of"))
+    early = F.pmod("turn", F.lit(1 << 30)) < F.lit(each * (1 << 30)) / F.col("n")
+    drawn = drawn.filter(early | (F.col("turn") == F.col("first"))).dropDuplicates(["turn", "lang"]).select("turn", "lang", "text")
+    found = drawn.mapInArrow(_gram_rows, "turn long, lang string, at binary, counts binary").collect()
+    dropped(sizes)
+    found.sort(key=lambda r: (r["turn"], r["lang"]))
     return fit([(r["lang"], np.frombuffer(r["at"], "<u2"), np.frombuffer(r["counts"], "<u4")) for r in found])
 
 
@@ -142,5 +147,8 @@ def predictions(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per row of `documents`. Null texts and texts without a Unicode letter are `und` with score 0, and so is every text
+    if no row has a language; of equally near centroids the first language by name is predicted; rows that repeat an id
+    each have their row; an empty table gives no rows; other columns are ignored."""
     docs = table(spark, sf_dir, "documents")
     return predictions(docs, trained(docs)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
