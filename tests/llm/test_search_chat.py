@@ -8,8 +8,10 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from websheaf.llm import chat_format, topk_search
+from websheaf.llm.storage import new_path
 
 
 def plain_search(rows, queries, k):
@@ -96,12 +98,22 @@ def test_what_the_grammar_does_not_know_is_an_error(text):
         chat_format.parse(text)
 
 
-def test_conversations(spark):
+def read_from(spark, frame, part_chars=chat_format.PART_CHARS):
+    path = new_path(spark, "test-chat")
+    chat_format.write_conversations(chat_format.formatted(frame), path, part_chars)
+    return spark.read.parquet(path), chat_format.read_back(spark, path)
+
+
+@pytest.mark.parametrize("part_chars", [1, 7, 1 << 20])
+def test_conversations(spark, part_chars):
     r = random.Random(4)
     rows = [(c, t, r.choice(["user", "assistant", "system", "tool"]), "".join(r.choices(MARKS, k=6))) for c in range(40) for t in range(r.randint(1, 9))]
-    rows += [(50, 0, None, None), (51, None, "user", "x"), (52, 1, "assistant", "same"), (52, 1, "assistant", "same")] + [(60, t, "assistant", "hot") for t in range(4000)]
-    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(7)
-    found = {x.conv_id: x for x in chat_format.read_back(chat_format.formatted(frame)).collect()}
+    rows += [(50, 0, None, None), (51, None, "user", "x"), (52, 1, "assistant", "same"), (52, 1, "assistant", "same"), (None, 0, "user", "no id"), (None, 1, "assistant", "")]
+    rows += [(60, t, "assistant", "hot") for t in range(4000 if part_chars > 1 else 40)] + [(61, 0, "user", "</s> long " * 30_000 * (part_chars > 7)), (61, 1, "assistant", "y" * 500)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("piece", F.lit("x")).withColumn("part", F.lit("x")).withColumn("loss_start", F.lit("x")).repartition(7)
+    parts, out = read_from(spark, frame, part_chars)
+    assert max(len(p.text) for p in parts.collect()) <= part_chars
+    found = {x.conv_id: x for x in out.collect()}
     by = {}
     for c, t, role, text in rows:
         by.setdefault(c, []).append((-1 if t is None else t, role or "", text or ""))
@@ -112,4 +124,14 @@ def test_conversations(spark):
         assert found[c].n_turns == len(turns)
         assert found[c].turns_sha256 == hashlib.sha256("".join(f"{role}\n{text}\n" for _, role, text in turns).encode()).hexdigest()
         assert (found[c].loss_chars, found[c].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
-    assert chat_format.read_back(chat_format.formatted(frame.limit(0))).count() == 0
+        assert found[c].formatted_chars == sum(len(chat_format.render_turn(role, text)[0]) for _, role, text in turns)
+    assert read_from(spark, frame.limit(0))[1].count() == 0
+
+
+def test_a_broken_output_is_an_error(spark):
+    frame = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "b")], "conv_id long, turn long, role string, text string")
+    parts, _ = read_from(spark, frame)
+    path = new_path(spark, "broken-chat")
+    parts.withColumn("text", F.expr("left(text, length(text) - 1)")).write.parquet(path)
+    with pytest.raises(Exception, match="no turn begins|no '"):
+        chat_format.read_back(spark, path).collect()

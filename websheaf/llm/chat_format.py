@@ -7,6 +7,9 @@ The grammar, one piece a turn (a conversation is its pieces end to end):
   any other  "[ROLE]" role "[/ROLE] " text " [/TURN]"
 A text never holds a control string. Where a source text does, or holds one that looks escaped, a backslash goes behind
 the first character of each; the parser takes one away.
+
+Conversations are written as parts of bounded length, cut anywhere, and read back from those alone: the parser goes over a
+conversation's whole text and finds the boundaries between turns by the grammar.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from websheaf.llm.storage import table
+from websheaf.llm.storage import new_path, table
 
 #: The control strings of the template, without their first character, in SQL's and Python's pattern form.
 CONTROL = r"([<\[])(\\*)(s>|/s>|INST\]|/INST\]|<SYS>>|</SYS>>|ROLE\]|/ROLE\]|/TURN\])"
@@ -106,48 +109,143 @@ def formatted(conversations: DataFrame) -> DataFrame:
     return rows.mapInArrow(_rendered, "conv_id long, turn long, piece string, loss_start int, loss_end int")
 
 
+#: Characters of a part of a formatted conversation.
+PART_CHARS = 1 << 20
+_PARTS = pa.schema([("conv_id", pa.int64()), ("part", pa.int64()), ("text", pa.string()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64()))])
+_PARTS_DDL = "conv_id long, part long, text string, starts array<long>, ends array<long>"
 _DIGESTS = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Parses pieces that come sorted by conversation; keeps two running hashes, whatever a conversation's length."""
-    current: list | None = None
+class _Writer:
+    """Joins a conversation's pieces and gives them out in parts; loss spans count from the conversation's first character."""
+
+    def __init__(self, conv: int | None, size: int):
+        self.conv, self.size, self.part, self.at, self.held, self.text, self.spans = conv, size, 0, 0, 0, [], []
+
+    def add(self, piece: str, a: int | None, b: int | None) -> Iterator[tuple]:
+        if a is not None:
+            self.spans.append((self.at + a, self.at + b))
+        self.text.append(piece)
+        self.at, self.held = self.at + len(piece), self.held + len(piece)
+        if self.held >= self.size:
+            yield from self.give(False)
+
+    def give(self, final: bool) -> Iterator[tuple]:
+        text = "".join(self.text)
+        cut = 0
+        while len(text) - cut >= self.size or final and (cut < len(text) or self.spans):
+            yield self.conv, self.part, text[cut : cut + self.size], [a for a, _ in self.spans], [b for _, b in self.spans]
+            self.part, cut, self.spans = self.part + 1, cut + self.size, []
+        self.text, self.held = [text[cut:]], max(0, len(text) - cut)
+
+
+def _parted(part_chars: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        writer: _Writer | None = None
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _PARTS)], schema=_PARTS)
+
+        for batch in batches:
+            rows, size = [], 0
+            for conv, piece, a, b in zip(*(batch[c].to_pylist() for c in ("conv_id", "piece", "loss_start", "loss_end"))):
+                if writer is None or writer.conv != conv:
+                    rows += writer.give(True) if writer else ()
+                    writer = _Writer(conv, part_chars)
+                for row in writer.add(piece, a, b):
+                    rows.append(row)
+                    size += part_chars
+                    if size > 1 << 23:
+                        yield batch_of(rows)
+                        rows, size = [], 0
+            if rows:
+                yield batch_of(rows)
+        if writer and (rows := list(writer.give(True))):
+            yield batch_of(rows)
+
+    return run
+
+
+class _Reader:
+    """Takes a conversation's parts in order and hashes each turn as soon as the grammar says that it is whole."""
+
+    def __init__(self, conv: int | None):
+        self.conv, self.text, self.at, self.tried = conv, "", 0, 0
+        self.spans: list[tuple[int, int]] = []
+        self.turns, self.loss, self.n, self.loss_chars = hashlib.sha256(), hashlib.sha256(), 0, 0
+
+    def feed(self, text: str, spans: Iterator[tuple[int, int]], final: bool = False) -> None:
+        self.text += text
+        self.spans += spans
+        if not final and len(self.text) < 2 * self.tried:  # a long turn is tried again once twice as much is there
+            return
+        at = 0
+        while at < len(self.text):
+            try:
+                role, content, _, end = parse_turn(self.text, at)
+            except ValueError:
+                if final:
+                    raise
+                break
+            self.n += 1
+            self.turns.update(f"{role}\n{content}\n".encode())
+            while self.spans and self.spans[0][1] <= self.at + end:
+                a, b = self.spans.pop(0)
+                masked = unescape(self.text[a - self.at : b - self.at])
+                self.loss_chars += len(masked)
+                self.loss.update(masked.encode())
+            at = end
+        self.text, self.at = self.text[at:], self.at + at
+        self.tried = len(self.text)
+
+    def row(self) -> tuple:
+        self.feed("", (), True)
+        if self.spans:
+            raise ValueError(f"conversation {self.conv}: a loss span outside its text")
+        return self.conv, self.n, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.at
 
-    def row(c: list) -> list:
-        return [c[0], c[1], c[2].hexdigest(), c[3], c[4].hexdigest(), c[5]]
 
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parses parts that come sorted by conversation; holds one turn and one batch, whatever a conversation's length."""
+    reader: _Reader | None = None
     for batch in batches:
         done = []
-        for conv, piece, a, b in zip(*(batch[c].to_pylist() for c in ("conv_id", "piece", "loss_start", "loss_end"))):
-            if current is None or current[0] != conv:
-                if current is not None:
-                    done.append(row(current))
-                current = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-            for role, text, _ in parse(piece):
-                current[1] += 1
-                current[2].update(f"{role}\n{text}\n".encode())
-            if a is not None:
-                masked = unescape(piece[a:b])
-                current[3] += len(masked)
-                current[4].update(masked.encode())
-            current[5] += len(piece)
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done), _DIGESTS)], schema=_DIGESTS) if done else pa.RecordBatch.from_pylist([], _DIGESTS)
-    if current is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row(current), _DIGESTS)], schema=_DIGESTS)
-
-
-def read_back(pieces: DataFrame) -> DataFrame:
-    """One row a conversation, from its formatted pieces alone. A conversation is hashed turn by turn in one task, which
-    its digests ask for, with memory for one batch; rendering, before the shuffle, is spread over all tasks."""
+        for conv, text, starts, ends in zip(*(batch[c].to_pylist() for c in ("conv_id", "text", "starts", "ends"))):
+            if reader is None or reader.conv != conv:
+                done += [reader.row()] if reader else []
+                reader = _Reader(conv)
+            reader.feed(text, zip(starts, ends))
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done), _DIGESTS)], schema=_DIGESTS)
+    if reader:
+        yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(reader.row(), _DIGESTS)], schema=_DIGESTS)
+
+
+def write_conversations(pieces: DataFrame, path: str, part_chars: int = PART_CHARS) -> None:
+    """Writes the formatted conversations: conv_id, part, text, and the loss spans [start, end) that begin in the part, counted
+    from the conversation's first character. Rendering, before the shuffle, is spread over all tasks; a conversation's
+    pieces then pass through one task in order, as its text is one sequence, with memory for one part."""
     placed = pieces.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "piece")
-    return placed.mapInArrow(_read, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    placed.mapInArrow(_parted(part_chars), _PARTS_DDL).write.parquet(path)
+
+
+def read_back(spark: SparkSession, path: str) -> DataFrame:
+    """One row a conversation, from the written parts alone. A conversation is parsed and hashed in one task, which its digests
+    ask for, with memory for one turn."""
+    parts = spark.read.schema(_PARTS_DDL).parquet(path).repartition("conv_id").sortWithinPartitions("conv_id", "part")
+    return parts.mapInArrow(_read, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a conversation of `conversations` and one for -1, read back from the written output. Null texts and roles count as
+    empty, null conv_ids are one conversation, rows that share a turn come in the order of their rendered text, null
+    turns first; an empty table gives the row of -1; other columns are ignored."""
     hard = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-1, 0, "user", hard), (-1, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    return read_back(formatted(rows))
+    path = new_path(spark, "chat")
+    write_conversations(formatted(rows), path)
+    return read_back(spark, path)
 
 
 OP6_SQL = r"""
