@@ -44,14 +44,29 @@ def test_search_matches_brute_force(spark, block, query_block):
 
 def test_bound_stops_before_the_lists_end():
     r = np.random.default_rng(2)
-    points = np.floor(r.normal(0, 4, (3000, 6)))
-    points[:20] *= 200
+    turn = np.linalg.qr(r.normal(size=(24, 24)))[0]
+    points = np.floor(r.normal(0, 1, (3000, 24)) * 400 * 0.6 ** np.arange(24) @ turn)  # few directions, hidden by a turn
     ids = np.arange(3000)
-    queries = points[:5].copy()
-    found = topk_search.top_k(queries, points, ids, ids[:5], 5)
-    for q, i, (at, scores) in zip(queries, range(5), found):
-        expected = plain_search(dict(enumerate(points)), {i: q}, 5)[i]
+    queries = points[:40].copy()
+    found = topk_search.top_k(queries, points, ids, ids[:40], 5)
+    for i, (at, scores, _) in enumerate(found):
+        expected = plain_search(dict(enumerate(points)), {i: queries[i]}, 5)[i]
         assert [(int(a), int(s)) for a, s in zip(at, scores)] == expected
+    assert max(depth for *_, depth in found) < 3000 and np.median([depth for *_, depth in found]) <= 750
+
+
+def test_repeated_rows_agree_with_sql(spark, tmp_path):
+    import duckdb
+
+    rows = [(i, [float(i % 7), 1.0, -0.5 * i]) for i in range(120)]
+    rows += [rows[50], rows[50], rows[51], (100, [9.0, 9.0, 9.0]), (52, [1.0, 2.0]), (53, []), (54, None), (None, [1.0, 2.0, 3.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    frame.write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    found = topk_search.op1_topk_search(spark, str(tmp_path)).collect()
+    key = ["query_id", "rank", "vec_id", "score"]
+    assert sorted(tuple(r[c] for c in key) for r in found) == sorted(map(tuple, con.execute(topk_search.OP1_SQL).fetchall()))
 
 
 def test_fewer_candidates_than_k(spark):

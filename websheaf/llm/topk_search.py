@@ -13,77 +13,70 @@ from websheaf.llm.storage import table
 K, QUERY_STEP, SCALE = 5, 50, 256
 #: Candidates and queries that meet in one task.
 CANDIDATES, QUERIES = 8192, 4096
-#: The first depth of the lists; it quadruples until the bound stops a query or half of the candidates have been seen.
+#: Ranks by which the lists are read further, at first; each later step reads as much as all before.
 FIRST_DEPTH = 8
-#: Candidates scored at a time once a query reads its lists to the end.
-TAIL_ROWS = 1024
 
-_OUT = "query_id long, vec_id long, score long"
+_OUT = "query_id long, vec_id long, score long, depth int"
 
 
-def top_k(queries: np.ndarray, points: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each query the indices and scores of its k best points, best first, ties to the smaller id.
+def top_k(queries: np.ndarray, points: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """For each query the indices and scores of its k best points, best first, ties to the smaller id, and the depth read.
 
     `points` (n x d) and `queries` hold integers, of a type in which their products are exact; a point with the query's own
-    id takes no part. Fagin's threshold algorithm: the d lists of points, each sorted by one component (from the top where the
-    query's is positive, from the bottom where negative), are read in step. Points met so far are scored whole; no
-    unmet point can score more than the sum of the products at the depth reached. Once that is under the kth score
-    (not equal: a tie could hold a smaller id), the query is done. Queries that the bound doesn't stop while half of the
-    points are unmet read on to the end of their lists, all together, as matrix products.
+    id takes no part. Fagin's threshold algorithm: both sides are turned to the points' principal axes, which leaves inner
+    products as they are and puts as much as possible of them into few coordinates. The d lists of points, each sorted by
+    one coordinate (from the top where the query's is positive, from the bottom where negative), are read in step. Points
+    met for the first time are scored whole, with the integers; no unmet point can score more than the sum of the products
+    at the depth reached. Once that, with a margin for the turn's rounding, is under the kth score (not equal: a tie could
+    hold a smaller id), the query is done. Nothing else ends a query but the lists' end.
     """
     n, d = points.shape
-    order = np.argsort(points, axis=0, kind="stable")
-    out: list[tuple[np.ndarray, np.ndarray]] = [None] * len(queries)  # type: ignore[list-item]
-
-    def best(at: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if len(at) > k:
-            cut = np.partition(scores, len(scores) - k)[len(scores) - k]
-            at, scores = at[scores >= cut], scores[scores >= cut]
-        first = np.lexsort((ids[at], -scores))[:k]
-        return at[first], scores[first]
-
-    open_ = list(range(len(queries)))
-    depth = FIRST_DEPTH
-    while open_ and depth * d < 4 * n and depth < n:
-        going = []
-        top, bottom = order[n - depth :], order[:depth]
-        for i in open_:
-            q = queries[i]
-            up = q > 0
-            met = np.unique(np.concatenate((top[:, up].ravel(), bottom[:, q < 0].ravel())))
-            if 2 * len(met) >= n:
-                going.append(i)
-                continue
-            at, scores = best(met[ids[met] != own[i]], points[met[ids[met] != own[i]]] @ q)
-            edge = np.where(up, points[order[n - depth], np.arange(d)], points[order[depth - 1], np.arange(d)])
-            if len(scores) == k and edge @ q < scores[-1]:
-                out[i] = (at, scores)
-            else:
-                going.append(i)
-        open_, depth = going, depth * 4
-    for a in range(0, len(open_), TAIL_ROWS):
-        some = open_[a : a + TAIL_ROWS]
-        found = [(np.zeros(0, np.int64), np.zeros(0, points.dtype))] * len(some)
-        for b in range(0, n, TAIL_ROWS):
-            scores = queries[some] @ points[b : b + TAIL_ROWS].T
-            at = np.arange(b, min(b + TAIL_ROWS, n))
-            for j, i in enumerate(some):
-                row, old = scores[j], found[j]
-                good = ids[at] != own[i]
-                if len(old[1]) == k:
-                    good &= row >= old[1][-1]
-                if good.any():
-                    found[j] = best(np.concatenate((old[0], at[good])), np.concatenate((old[1], row[good])))
-        for j, i in enumerate(some):
-            out[i] = found[j]
+    wide = points.astype(np.float64)
+    axes = np.linalg.eigh(wide.T @ wide)[1]
+    turned, asked = wide @ axes, queries.astype(np.float64) @ axes
+    order = np.argsort(turned, axis=0, kind="stable")
+    ranked = np.take_along_axis(turned, order, axis=0)
+    margin = 1e-12 * d * np.linalg.norm(asked, axis=1) * np.sqrt((wide * wide).sum(axis=1).max())
+    depths = [min(n, FIRST_DEPTH * 2**i) for i in range(n.bit_length()) if FIRST_DEPTH * 2 ** (i - 1) < n]
+    up, down = np.maximum(asked, 0), np.minimum(asked, 0)
+    bounds = np.stack([up @ ranked[n - t] + down @ ranked[t - 1] for t in depths], axis=1) + margin[:, None]
+    out = []
+    for i, q in enumerate(queries):
+        at, scores = np.zeros(0, np.int64), np.zeros(0, points.dtype)
+        unmet = ids != own[i]
+        rising, falling = asked[i] > 0, asked[i] < 0
+        read = 0
+        for step, depth in enumerate(depths):
+            fresh = np.zeros(n, bool)
+            fresh[order[n - depth : n - read, rising]] = True
+            fresh[order[read:depth, falling]] = True
+            if depth == n:
+                fresh[:] = True
+            new = np.flatnonzero(fresh & unmet)
+            unmet[new] = False
+            found = points[new] @ q
+            if len(scores) == k:
+                good = found >= scores[-1]
+                new, found = new[good], found[good]
+            at, scores = np.concatenate((at, new)), np.concatenate((scores, found))
+            first = np.lexsort((ids[at], -scores))[:k] if len(at) <= 4 * k else _first(scores, ids[at], k)
+            at, scores, read = at[first], scores[first], depth
+            if len(scores) == k and bounds[i, step] < scores[-1]:
+                break
+        out.append((at, scores, read))
     return out
 
 
+def _first(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    near = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
+    return near[np.lexsort((ids[near], -scores[near]))[:k]]
+
+
 def _matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Ids and vectors of a group's rows; rows that repeat both id and vector count once."""
+    if "vec_id" not in t.column_names or not t.num_rows:  # a side without rows comes without columns
+        return np.zeros(0, np.int64), np.zeros((0, 0))
     ids = t["vec_id"].to_numpy()
-    if not len(ids):
-        return ids, np.zeros((0, 0))
     flat = t["v"].combine_chunks()
     x = flat.values.to_numpy(zero_copy_only=False).reshape(len(ids), -1)
     keep = np.lexsort((*x.T[::-1], ids))
@@ -104,12 +97,13 @@ def _search(k: int):
         if len(ids) and len(own):
             kind = _exact_type(points, asked)
             points, asked = points.astype(kind), asked.astype(kind)
-        rows = [(own[i], ids[at], scores) for i, (at, scores) in enumerate(top_k(asked, points, ids, own, k))] if len(ids) and len(own) else []
+        rows = [(own[i], ids[at], scores, depth) for i, (at, scores, depth) in enumerate(top_k(asked, points, ids, own, k))] if len(ids) and len(own) else []
         return pa.table(
             {
-                "query_id": pa.array(np.concatenate([np.full(len(a), q) for q, a, _ in rows]) if rows else [], pa.int64()),
-                "vec_id": pa.array(np.concatenate([a for _, a, _ in rows]) if rows else [], pa.int64()),
-                "score": pa.array(np.concatenate([s for *_, s in rows]).astype(np.int64) if rows else [], pa.int64()),
+                "query_id": pa.array(np.concatenate([np.full(len(a), q) for q, a, *_ in rows]) if rows else [], pa.int64()),
+                "vec_id": pa.array(np.concatenate([a for _, a, *_ in rows]) if rows else [], pa.int64()),
+                "score": pa.array(np.concatenate([s for _, _, s, _ in rows]).astype(np.int64) if rows else [], pa.int64()),
+                "depth": pa.array(np.concatenate([np.full(len(a), t) for _, a, _, t in rows]) if rows else [], pa.int32()),
             }
         )
 
@@ -126,7 +120,8 @@ def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
 
 
 def search(candidates: DataFrame, queries: DataFrame, *, k: int = K, block: int = CANDIDATES, query_block: int = QUERIES) -> DataFrame:
-    """(query_id, rank, vec_id, score): each query's k best candidates other than itself, ties to the smaller vec_id.
+    """(query_id, rank, vec_id, score, depth): each query's k best candidates other than itself, ties to the smaller vec_id;
+    depth is how far the lists of the candidate's block were read.
 
     Both sides hold (vec_id, v); vectors meet those of their own length. A query with fewer candidates gets them all. Candidates and
     queries are hashed by id to blocks of bounded size, so that rows which repeat an id meet and count once, and each
@@ -143,22 +138,26 @@ def search(candidates: DataFrame, queries: DataFrame, *, k: int = K, block: int
     right = spread(queries, "qb", groups, "cb", blocks).groupBy("cb", "qb", "d")
     found = left.cogroup(right).applyInArrow(_search(k), _OUT)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "depth")
 
 
 def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best of `embeddings` for each vector whose vec_id is divisible by 50. Rows with a null id, a null vector, null or
+    non-finite components take no part; rows that repeat id and vector count once, those that share an id only are
+    several vectors, none of which is a candidate of the others; ties go to the smaller vec_id; an empty table gives no
+    rows; other columns are ignored."""
     vectors = quantised(table(spark, sf_dir, "embeddings"))
-    return search(vectors, vectors.filter(F.col("vec_id") % QUERY_STEP == 0))
+    return search(vectors, vectors.filter(F.col("vec_id") % QUERY_STEP == 0)).drop("depth")
 
 
 OP1_SQL = """
 WITH e AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
   SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
-  FROM e q JOIN e c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+  FROM e q JOIN e c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
 ), r AS (
   SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM s
 )
