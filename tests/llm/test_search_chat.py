@@ -69,6 +69,12 @@ def test_repeated_rows_agree_with_sql(spark, tmp_path):
     assert sorted(tuple(r[c] for c in key) for r in found) == sorted(map(tuple, con.execute(topk_search.OP1_SQL).fetchall()))
 
 
+def test_unused_result_columns_change_nothing(spark):
+    vectors = topk_search.quantised(vectors_of(spark, [(i, [float(i), 1.0], "") for i in range(60)]))
+    found = topk_search.search(vectors, vectors.filter("vec_id % 50 = 0"))
+    assert found.count() == len(found.select("score").collect()) == len(found.collect()) == 10
+
+
 def test_fewer_candidates_than_k(spark):
     vectors = topk_search.quantised(vectors_of(spark, [(0, [1.0, 0.0], ""), (1, [0.5, 0.0], "")]))
     assert [(x.vec_id, x["rank"]) for x in topk_search.search(vectors, vectors.filter("vec_id = 0")).collect()] == [(1, 1)]

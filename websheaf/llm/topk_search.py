@@ -131,7 +131,8 @@ def search(candidates: DataFrame, queries: DataFrame, *, k: int = K, block: int
     blocks, groups = -(-n // block) or 1, -(-m // query_block) or 1
 
     def spread(df: DataFrame, own: str, parts: int, other: str, times: int) -> DataFrame:
-        placed = df.select("vec_id", "v", F.size("v").alias("d"), F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int").alias(own))
+        # aliases, as a cogroup of a table with a part of itself loses columns of the right side once a result column is unused
+        placed = df.select(F.col("vec_id").alias("vec_id"), F.col("v").alias("v"), F.size("v").alias("d"), F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int").alias(own))
         return placed.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
 
     left = spread(candidates, "cb", blocks, "qb", groups).groupBy("cb", "qb", "d")
