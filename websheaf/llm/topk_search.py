@@ -37,7 +37,9 @@ def top_k(queries: np.ndarray, points: np.ndarray, ids: np.ndarray, own: np.ndar
     order = np.argsort(turned, axis=0, kind="stable")
     ranked = np.take_along_axis(turned, order, axis=0)
     margin = 1e-12 * d * np.linalg.norm(asked, axis=1) * np.sqrt((wide * wide).sum(axis=1).max())
-    depths = [min(n, FIRST_DEPTH * 2**i) for i in range(n.bit_length()) if FIRST_DEPTH * 2 ** (i - 1) < n]
+    depths = [min(n, FIRST_DEPTH)]
+    while depths[-1] < n:
+        depths.append(min(n, 2 * depths[-1]))
     up, down = np.maximum(asked, 0), np.minimum(asked, 0)
     bounds = np.stack([up @ ranked[n - t] + down @ ranked[t - 1] for t in depths], axis=1) + margin[:, None]
     out = []
