@@ -2,19 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _written(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="websheaf-")
-    path = f"{base.rstrip('/')}/crawl-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from websheaf.operators.shared import written
 
 
 def breadth_first(edges: DataFrame, seeds: DataFrame, max_depth: int, *, fetched: DataFrame | None = None) -> DataFrame:
@@ -22,7 +15,8 @@ def breadth_first(edges: DataFrame, seeds: DataFrame, max_depth: int, *, fetched
 
     `edges` holds (src, dst), `seeds` holds (node), `fetched` holds (node, status): a status of 429 or of 400 and more is
     not found and leads nowhere; a null one (the fetch failed) counts as found. Nodes at the last depth don't expand.
-    Each level is one join and one anti join on tables that are written, so lineage stays one level long.
+    Each level is one join and one anti join on tables that are written, so lineage stays one level long; a level is written
+    once, and the visited nodes are the levels' tables read together.
     """
     def judged(nodes: DataFrame) -> DataFrame:
         if fetched is None:
@@ -30,16 +24,15 @@ def breadth_first(edges: DataFrame, seeds: DataFrame, max_depth: int, *, fetched
         status = fetched.groupBy("node").agg(F.max("status").alias("status"))
         return nodes.join(status, "node", "left").withColumn("found", F.coalesce(F.col("status") < 400, F.lit(True))).drop("status")
 
-    visited = _written(judged(seeds.select("node").distinct().withColumn("depth", F.lit(0))))
-    frontier = visited
+    levels = [written(judged(seeds.select("node").distinct().withColumn("depth", F.lit(0))), "level")]
     for depth in range(1, max_depth + 1):
-        sources = frontier.filter("found").select(F.col("node").alias("src"))
+        visited = reduce(DataFrame.unionByName, levels)
+        sources = levels[-1].filter("found").select(F.col("node").alias("src"))
         fresh = edges.join(sources, "src", "left_semi").select(F.col("dst").alias("node")).distinct().join(visited.select("node"), "node", "left_anti")
-        frontier = _written(judged(fresh.withColumn("depth", F.lit(depth))))
-        if frontier.isEmpty():
+        levels.append(written(judged(fresh.withColumn("depth", F.lit(depth))), "level"))
+        if levels[-1].isEmpty():
             break
-        visited = _written(visited.unionByName(frontier))
-    return visited
+    return reduce(DataFrame.unionByName, levels)
 
 
 def crawl_stats(found: DataFrame, links: DataFrame) -> DataFrame:

@@ -195,5 +195,5 @@ def allocation(strata: DataFrame, total: int, floor: int = 5) -> DataFrame:
 
 
 def hash_sample(rows: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
-    """n rows by the hash of their key and a seed: the same rows whatever the partitions."""
-    return rows.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)).limit(n)
+    """n rows by the MD5 of a seed and their key: the same rows whatever the partitions."""
+    return rows.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary")), F.col(key)).limit(n)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from websheaf.operators.shared import written
+
 RRF_K, BM25_K1, BM25_B = 60, 1.2, 0.75
 
 
@@ -55,46 +57,54 @@ def representation(title: Column, snippet: Column, title_weight: int = 1) -> Col
     return F.concat_ws(" ", *[title] * title_weight, snippet)
 
 
+def _term_counts(docs: DataFrame, queries: DataFrame, stopwords: list[str] | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Tokenised documents (query_id, url, t, dl), corpus sizes (query_id, avgdl, n_docs), and what each query's terms count in
+    each document (query_id, url, dl, term, times, tf, avgdl, n_docs).
+
+    Texts are tokenised once, to a written table. The queries' terms are written too: Spark sends them to the documents
+    where they are small, so that only terms that a query asks for are shuffled.
+    """
+    asked = queries.select("query_id", F.explode(tokens(F.col("query"), stopwords)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    rows = written(docs.select("query_id", "url", tokens(F.col("text"), stopwords).alias("t")).withColumn("dl", F.size("t")), "tokens")
+    sizes = rows.groupBy("query_id").agg(F.avg("dl").alias("avgdl"), F.count("*").alias("n_docs"))
+    asked = written(asked.join(sizes, "query_id"), "asked")
+    every = rows.select("query_id", "url", "dl", F.explode("t").alias("term"))
+    hits = every.join(asked, ["query_id", "term"]).groupBy("query_id", "url", "dl", "term", "times", "avgdl", "n_docs").agg(F.count("*").alias("tf"))
+    return rows, sizes, hits
+
+
+def _bm25_part(k1: Column | float, b: Column | float, idf: Column) -> Column:
+    norm = F.col("tf") + F.lit(k1) * (1 - F.lit(b) + F.lit(b) * F.col("dl") / F.col("avgdl"))
+    return F.col("times") * idf * F.col("tf") * (F.lit(k1) + 1) / norm
+
+
 def bm25(docs: DataFrame, queries: DataFrame, *, k1: float = BM25_K1, b: float = BM25_B, idf: str = "uniform", stopwords: list[str] | None = None) -> DataFrame:
     """(query_id, url, score) of each pool row (query_id, url, text) against its query (query_id, query); a query's pool
     is its corpus.
 
     idf `uniform` counts every term of the corpus 1; `okapi` is log((N - n + 0.5) / (n + 0.5)) with negative values
-    replaced by a quarter of the corpus' mean. Only the query's terms are counted, so documents never explode whole.
+    replaced by a quarter of the corpus' mean, for which all terms of the corpus are counted.
     """
-    wanted = queries.select("query_id", F.explode(tokens(F.col("query"), stopwords)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    rows = docs.select("query_id", "url", tokens(F.col("text"), stopwords).alias("t")).withColumn("dl", F.size("t"))
-    sizes = rows.groupBy("query_id").agg(F.avg("dl").alias("avgdl"), F.count("*").alias("n_docs"))
-    hits = rows.select("query_id", "url", "dl", F.explode("t").alias("term")).join(wanted, ["query_id", "term"]).groupBy("query_id", "url", "dl", "term", "times").agg(F.count("*").alias("tf"))
+    rows, sizes, hits = _term_counts(docs, queries, stopwords)
+    weight = F.lit(1.0)
     if idf == "okapi":
-        every = rows.select("query_id", "url", F.explode(F.array_distinct("t")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("df")).join(sizes, "query_id")
-        every = every.withColumn("raw", F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+        every = rows.select("query_id", F.explode(F.array_distinct("t")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("df")).join(sizes, "query_id")
+        raw = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        every = written(every.select("query_id", "term", raw.alias("raw")), "terms")
         floor = every.groupBy("query_id").agg((0.25 * F.avg("raw")).alias("floor"))
-        weights = every.join(floor, "query_id").select("query_id", "term", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
-        hits = hits.join(weights, ["query_id", "term"])
-    else:
-        hits = hits.withColumn("idf", F.lit(1.0))
-    norm = F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))
-    part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / norm
-    scored = hits.join(sizes, "query_id").groupBy("query_id", "url").agg(F.sum(part).alias("score"))
-    return docs.select("query_id", "url").join(scored, ["query_id", "url"], "left").select("query_id", "url", F.round(F.coalesce("score", F.lit(0.0)), 6).alias("score"))
-
-
-def bm25_sweep(docs: DataFrame, queries: DataFrame, grid: list[tuple[float, float]]) -> DataFrame:
-    """BM25 for every (k1, b): term counts are made once and meet the small grid, not the documents."""
-    base = bm25_counts(docs, queries)
-    configs = F.array(*[F.struct(F.lit(float(k)).alias("k1"), F.lit(float(b)).alias("b")) for k, b in grid])
-    rows = base.withColumn("c", F.explode(configs)).select("*", "c.k1", "c.b")
-    norm = F.col("tf") + F.col("k1") * (1 - F.col("b") + F.col("b") * F.col("dl") / F.col("avgdl"))
-    return rows.groupBy("query_id", "url", "k1", "b").agg(F.round(F.sum(F.col("times") * F.col("tf") * (F.col("k1") + 1) / norm), 6).alias("score"))
+        hits = hits.join(every, ["query_id", "term"]).join(floor, "query_id")
+        weight = F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw"))
+    scored = hits.groupBy("query_id", "url").agg(F.sum(_bm25_part(k1, b, weight)).alias("score"))
+    return rows.select("query_id", "url").join(scored, ["query_id", "url"], "left").select("query_id", "url", F.round(F.coalesce("score", F.lit(0.0)), 6).alias("score"))
 
 
-def bm25_counts(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    wanted = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    rows = docs.select("query_id", "url", tokens(F.col("text")).alias("t")).withColumn("dl", F.size("t"))
-    sizes = rows.groupBy("query_id").agg(F.avg("dl").alias("avgdl"))
-    hits = rows.select("query_id", "url", "dl", F.explode("t").alias("term")).join(wanted, ["query_id", "term"]).groupBy("query_id", "url", "dl", "term", "times").agg(F.count("*").alias("tf"))
-    return hits.join(sizes, "query_id")
+def bm25_sweep(docs: DataFrame, queries: DataFrame, grid: list[tuple[float, float]], *, stopwords: list[str] | None = None) -> DataFrame:
+    """BM25 for every (k1, b): term counts are made once and meet the small grid, not the documents. `stopwords` and other
+    representations of the texts are further sweeps."""
+    *_, hits = _term_counts(docs, queries, stopwords)
+    configs = F.array(*[F.struct(F.lit(float(k)).alias("k1"), F.lit(float(b)).alias("b")) for k, b in grid])
+    rows = hits.withColumn("c", F.explode(configs)).select("*", "c.k1", "c.b")
+    return rows.groupBy("query_id", "url", "k1", "b").agg(F.round(F.sum(_bm25_part(F.col("k1"), F.col("b"), F.lit(1.0))), 6).alias("score"))
 
 
 def engine_inverse(scored: DataFrame, pool: DataFrame) -> DataFrame:

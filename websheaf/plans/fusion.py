@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from websheaf.functions.text import STOPWORDS
 from websheaf.operators import fusion, ranking
+from websheaf.operators.shared import written
 from websheaf.plans.fixtures import DERIVED, ENGINES, load, results, sql
 
+#: The sweep's values of b (with k1 1.2) and of k1 (with b 0.75).
+SWEEP_B, SWEEP_K1 = (0.0, 0.4, 0.75, 1.0), (0.5, 0.8, 1.6, 2.0)
 CLASSES = [("academic", ["crossref", "openalex", "semantic_scholar"]), ("qa", ["stack_exchange", "lobsters"])]
 
 DERIVED |= {
@@ -27,8 +33,8 @@ DERIVED |= {
     count(last_snippet) AS snippets, sum(1.0::DOUBLE / (best + 60)) AS rrf FROM by_engine GROUP BY ALL) e USING (query_id, url)""",
     "listed": "SELECT * FROM (SELECT query_id, url, row_number() OVER (PARTITION BY query_id ORDER BY n_engines DESC, min_position, seq) AS rank FROM buckets) l WHERE rank <= 10",
     "rrf_listed": "SELECT * FROM (SELECT query_id, url, round(rrf, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 9) DESC, seq) AS rank FROM buckets) l WHERE rank <= 10",
-    "pool_docs": "SELECT b.query_id, b.url, b.seq, b.min_position, left(d.text, 600) AS text FROM buckets b JOIN documents d ON d.doc_id = b.min_position * 7 + (b.query_id + length(b.url)) % 100",
-    "query_texts": "SELECT doc_id AS query_id, left(text, 40) AS query FROM documents WHERE doc_id < 200",
+    "pool_docs": "SELECT b.query_id, b.url, b.seq, b.min_position, d.text FROM buckets b JOIN documents d ON d.doc_id = b.seq // 100000 % (SELECT count(*) FROM documents)",
+    "query_texts": "SELECT query_id, arg_min(text, seq) AS query FROM pool_docs GROUP BY query_id",
     "doc_tokens": r"SELECT query_id, url, regexp_extract_all(lower(text), '[\p{L}\p{N}\p{M}_]+') AS t FROM pool_docs",
     "doc_sizes": "SELECT query_id, avg(len(t)) AS avgdl, count(*) AS n_docs FROM doc_tokens GROUP BY query_id",
     "wanted": r"SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest(regexp_extract_all(lower(query), '[\p{L}\p{N}\p{M}_]+')) AS term FROM query_texts) q GROUP BY ALL",
@@ -52,13 +58,20 @@ def _pairs(m) -> F.Column:
 
 
 def pool_docs(s: SparkSession, d: str) -> DataFrame:
-    doc = load(s, d, "documents").select("doc_id", F.substring("text", 1, 600).alias("text"))
-    own = F.col("min_position") * 7 + (F.col("query_id") + F.length("url")) % 100
-    return _buckets(s, d).withColumn("doc_id", own).join(doc, "doc_id").select("query_id", "url", "seq", "min_position", "engines", "text")
+    """Every bucket with the whole text of a document; documents are dealt to buckets over their whole table."""
+    docs = load(s, d, "documents").select("doc_id", "text")
+    own = F.expr("seq div 100000") % F.lit(docs.count())
+    return _buckets(s, d).withColumn("doc_id", own).join(docs, "doc_id").select("query_id", "url", "seq", "min_position", "engines", "text")
+
+
+def query_texts(pool: DataFrame) -> DataFrame:
+    """A query's text is the whole text of its first pool row."""
+    return pool.groupBy("query_id").agg(F.min_by("text", "seq").alias("query"))
 
 
-def query_texts(s: SparkSession, d: str) -> DataFrame:
-    return load(s, d, "documents").filter("doc_id < 200").select(F.col("doc_id").alias("query_id"), F.substring("text", 1, 40).alias("query"))
+def _pool_and_queries(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    pool = written(pool_docs(s, d), "pool")
+    return pool, query_texts(pool)
 
 
 def a01(s: SparkSession, d: str) -> DataFrame:
@@ -76,16 +89,31 @@ def a07(s: SparkSession, d: str) -> DataFrame:
 
 
 def _bm25(s: SparkSession, d: str) -> DataFrame:
-    return ranking.bm25(pool_docs(s, d), query_texts(s, d))
+    return ranking.bm25(*_pool_and_queries(s, d))
 
 
 def _rrf_scores(s: SparkSession, d: str) -> DataFrame:
     return ranking.rrf_ranking(_buckets(s, d)).select("query_id", "url", "score")
 
 
-def _capped_docs(s: SparkSession, d: str) -> DataFrame:
+def r08(s: SparkSession, d: str) -> DataFrame:
     kept = fusion.raw_cap(results(s, d)).select("query_id", "url").distinct()
-    return pool_docs(s, d).join(kept, ["query_id", "url"], "left_semi")
+    pool, asked = _pool_and_queries(s, d)
+    return ranking.bm25(pool.join(kept, ["query_id", "url"], "left_semi"), asked)
+
+
+def r07(s: SparkSession, d: str) -> DataFrame:
+    """16 of (b, stopwords, representation) and 4 of k1."""
+    pool, asked = _pool_and_queries(s, d)
+    titled = pool.withColumn("text", ranking.representation(F.col("url"), F.col("text"), 3))
+    wide = [(1.2, b) for b in SWEEP_B]
+    out = []
+    for name, docs in (("text", pool), ("titled", titled)):
+        for stop in (False, True):
+            grid = wide + [(k, 0.75) for k in SWEEP_K1] * (name == "text" and not stop)
+            found = ranking.bm25_sweep(docs, asked, grid, stopwords=STOPWORDS if stop else None)
+            out.append(found.withColumn("representation", F.lit(name)).withColumn("stopwords", F.lit(stop)))
+    return reduce(DataFrame.unionByName, out)
 
 
 def j16(s: SparkSession, d: str) -> DataFrame:
@@ -144,10 +172,10 @@ QUERIES = {
     "r02_rrf": lambda s, d: ranking.rrf_ranking(_buckets(s, d)).select("query_id", "url", "score", "rank"),
     "r03_url_penalty": lambda s, d: ranking.penalty_ranking(_buckets(s, d)).select("query_id", "url", "penalty", "rank"),
     "r04_bm25": _bm25,
-    "r05_bm25_okapi": lambda s, d: ranking.bm25(pool_docs(s, d), query_texts(s, d), idf="okapi"),
+    "r05_bm25_okapi": lambda s, d: ranking.bm25(*_pool_and_queries(s, d), idf="okapi"),
     "r06_engine_inverse": lambda s, d: ranking.engine_inverse(_rrf_scores(s, d), _buckets(s, d)),
-    "r07_bm25_sweep": lambda s, d: ranking.bm25_sweep(pool_docs(s, d), query_texts(s, d), [(1.2, 0.0), (1.2, 0.4), (1.2, 0.75), (1.2, 1.0), (0.8, 0.75), (2.0, 0.75)]),
-    "r08_bm25_capped": lambda s, d: ranking.bm25(_capped_docs(s, d), query_texts(s, d)),
+    "r07_bm25_sweep": r07,
+    "r08_bm25_capped": r08,
     "r09_cosine": r09,
     "r11_min_max": lambda s, d: ranking.min_max(_bm25(s, d)).select("query_id", "url", F.round("scaled", 6).alias("scaled")),
     "r12_hybrid": lambda s, d: ranking.hybrid(_rrf_scores(s, d), _bm25(s, d)),
@@ -172,6 +200,26 @@ def _breakdown_sql(table: str, names: str) -> str:
   CROSS JOIN (VALUES {names}) e(nth, engine) LEFT JOIN {table} p ON p.query_id = q.query_id AND p.owner = e.engine GROUP BY ALL"""
 
 
+_STOP = "[" + ", ".join(f"'{w}'" for w in STOPWORDS) + "]"
+_SWEEPS = {}
+for _name, _text in (("text", "text"), ("titled", "url || ' ' || url || ' ' || url || ' ' || text")):
+    for _stop in (False, True):
+        _k = f"{_name}_{int(_stop)}"
+        _words = lambda x, stop=_stop: rf"regexp_extract_all(lower({x}), '[\p{{L}}\p{{N}}\p{{M}}_]+')" if not stop else rf"list_filter(regexp_extract_all(lower({x}), '[\p{{L}}\p{{N}}\p{{M}}_]+'), lambda w: NOT list_contains({_STOP}, w))"
+        _SWEEPS[f"toks_{_k}"] = f"SELECT query_id, url, {_words(_text)} AS t FROM pool_docs"
+        _SWEEPS[f"sizes_{_k}"] = f"SELECT query_id, avg(len(t)) AS avgdl FROM toks_{_k} GROUP BY query_id"
+        _SWEEPS[f"asked_{_k}"] = f"SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest({_words('query')}) AS term FROM query_texts) q GROUP BY ALL"
+        _SWEEPS[f"hits_{_k}"] = f"SELECT query_id, url, dl, term, count(*) AS tf FROM (SELECT query_id, url, len(t) AS dl, unnest(t) AS term FROM toks_{_k}) x GROUP BY ALL"
+
+
+def _sweep_sql(name: str, stop: bool) -> str:
+    k = f"{name}_{int(stop)}"
+    grid = [(1.2, b) for b in SWEEP_B] + [(k1, 0.75) for k1 in SWEEP_K1] * (name == "text" and not stop)
+    values = ", ".join(f"({a}::DOUBLE, {b}::DOUBLE)" for a, b in grid)
+    return f"""SELECT query_id, url, k1, b, round(sum(times * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))), 6) AS score, '{name}' AS representation, {str(stop).lower()} AS stopwords FROM hits_{k} JOIN asked_{k} USING (query_id, term)
+  JOIN sizes_{k} USING (query_id) CROSS JOIN (VALUES {values}) g(k1, b) GROUP BY ALL"""
+
+
 SQL = {
     "a01_engine_pools": sql("SELECT * FROM pools"),
     "a02_pool_cap": sql("SELECT query_id, owner, url, position, rank, cap FROM capped"),
@@ -209,8 +257,7 @@ SQL = {
         raws="SELECT query_id, term, ln((n_docs - df + 0.5) / (df + 0.5)) AS raw FROM (SELECT query_id, term, count(*) AS df FROM term_hits GROUP BY ALL) x JOIN doc_sizes USING (query_id)",
         idfs="SELECT query_id, term, CASE WHEN raw < 0 THEN 0.25 * avg(raw) OVER (PARTITION BY query_id) ELSE raw END AS idf FROM raws"),
     "r06_engine_inverse": sql("SELECT query_id, url, round(score * weight, 6) AS score FROM rrf_listed JOIN (SELECT query_id, url, sum(1.0::DOUBLE / n) AS weight FROM by_engine JOIN slots USING (query_id, engine) GROUP BY ALL) w USING (query_id, url)"),
-    "r07_bm25_sweep": sql("""SELECT query_id, url, k1, b, round(sum(times * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))), 6) AS score FROM term_hits JOIN wanted USING (query_id, term) JOIN doc_sizes USING (query_id)
-  CROSS JOIN (VALUES (1.2::DOUBLE, 0.0::DOUBLE), (1.2, 0.4), (1.2, 0.75), (1.2, 1.0), (0.8, 0.75), (2.0, 0.75)) g(k1, b) GROUP BY ALL"""),
+    "r07_bm25_sweep": sql(" UNION ALL ".join(_sweep_sql(name, stop) for name in ("text", "titled") for stop in (False, True)), **_SWEEPS),
     "r08_bm25_capped": sql("""SELECT d.query_id, d.url, round(coalesce(s.score, 0), 6) AS score FROM cd d LEFT JOIN (
   SELECT h.query_id, h.url, sum(times * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score FROM term_hits h SEMI JOIN cd USING (query_id, url) JOIN wanted USING (query_id, term) JOIN cs USING (query_id) GROUP BY ALL) s USING (query_id, url)""",
         cd="""SELECT * FROM pool_docs SEMI JOIN (SELECT query_id, url FROM results JOIN (SELECT query_id, CASE WHEN count(*) FILTER (engine = 'google') > 0 THEN count(*) FILTER (engine = 'google') ELSE 10 END AS cap FROM results GROUP BY query_id) c USING (query_id) WHERE position <= cap) k USING (query_id, url)""",

@@ -70,9 +70,9 @@ def _json_ld(s: SparkSession, d: str) -> DataFrame:
 
 def _titled(s: SparkSession, d: str) -> DataFrame:
     n = F.col("doc_id")
-    flat = F.regexp_replace(F.substring("text", 1, 900), r"[\s#|\[\]!*_`()]+", " ")
+    flat = F.regexp_replace("text", r"[\s#|\[\]!*_`()]+", " ")
     md = F.concat(F.lit("<!-- source: https://x/ -->\n[a](b)\n# Nav\n* [c](d)\n# Title "), n.cast("string"), F.lit("\n"), flat, F.lit("\n# Later\nend"))
-    return load(s, d, "documents").filter(F.length("text") >= 900).select("doc_id", md.alias("md"), flat.alias("flat"))
+    return load(s, d, "documents").select("doc_id", md.alias("md"), flat.alias("flat"))
 
 
 def _pick_works(s: SparkSession, d: str) -> DataFrame:
@@ -148,15 +148,16 @@ QUERIES = {
     "p33_entries": lambda s, d: evaluate.entry_rows(entries(s, d).select(F.when(F.col("seq") % 4 > 0, F.regexp_replace("url", "https://news.example.org", "")).alias("pathname"), F.lit("t").alias("title"), F.when(F.col("seq") % 5 > 0, F.concat("publication_date", F.lit("T11:22:33Z"))).otherwise("soon").alias("date")), "https://n.example"),
     "r10_external_scores": lambda s, d: ranking.scored_externally(fused._buckets(s, d), fused._bm25(s, d)).select("query_id", "url", "score", "rank"),
     "w12_hash_sample": lambda s, d: ingest.hash_sample(entries(s, d), "seq", 100).select("seq"),
-    "t01_t03_t07_text": lambda s, d: load(s, d, "documents").select("doc_id", text.strip_bloat(F.concat(F.lit("&lt;b&gt; "), F.substring("text", 1, 200))).alias("s"), F.round(text.usefulness(F.substring("text", 1, 300)), 4).alias("usefulness")),
-    "t10_t11_html": lambda s, d: load(s, d, "documents").select("doc_id", text.strip_html(F.concat(F.lit("<p>A &amp;amp; "), F.substring("text", 1, 50), F.lit("</p>"))).alias("stripped"), text.unescape_all(F.lit("&amp;amp;lt;")).alias("all")),
-    "c09_article_clean": lambda s, d: load(s, d, "documents").select("doc_id", pages.article_clean(F.concat(F.regexp_replace(F.substring("text", 1, 200), r"\s+", " "), F.lit("\n© 2023 The Block. All Rights Reserved\n_subscribe to the x newsletter_\n[l](https://a/b)  \n\n\n\nend"))).alias("body")),
+    "t01_t03_t07_text": lambda s, d: load(s, d, "documents").select("doc_id", text.strip_bloat(F.concat(F.lit("&lt;b&gt; "), F.col("text"))).alias("s"), F.round(text.usefulness(F.col("text")), 4).alias("usefulness")),
+    "t10_t11_html": lambda s, d: load(s, d, "documents").select("doc_id", text.strip_html(F.concat(F.lit("<p>A &amp;amp; "), F.col("text"), F.lit("</p>"))).alias("stripped"), text.unescape_all(F.lit("&amp;amp;lt;")).alias("all")),
+    "c09_article_clean": lambda s, d: load(s, d, "documents").select("doc_id", pages.article_clean(F.concat(F.regexp_replace("text", r"\s+", " "), F.lit("\n© 2023 The Block. All Rights Reserved\n_subscribe to the x newsletter_\n[l](https://a/b)  \n\n\n\nend"))).alias("body")),
 }
 
 _DOMAIN = r"regexp_replace(lower(regexp_extract(url, '^https?://([^/?#]*)', 1)), '^www\.', '')"
-_FLAT = r"regexp_replace(left(text, 900), '[\s#|\[\]!*_`()]+', ' ', 'g')"
+_FLAT = r"regexp_replace(text, '[\s#|\[\]!*_`()]+', ' ', 'g')"
 
 SQL = {
+    "w12_hash_sample": sql("SELECT seq FROM entries ORDER BY md5('0:' || seq), seq LIMIT 100"),
     "a14_shares": sql("""SELECT engine, round(actual, 4) AS actual, round(uniform, 4) AS uniform, round(adjusted, 4) AS adjusted, round(actual - uniform, 4) AS vs_uniform, round(actual - adjusted, 4) AS vs_adjusted FROM (
   SELECT engine, 100 * total / sum(total) OVER () AS actual, 100.0::DOUBLE / count(*) OVER () AS uniform, 100 * ok / sum(ok) OVER () AS adjusted FROM (SELECT engine, count(*) AS total FROM by_engine GROUP BY engine) a LEFT JOIN (SELECT engine, count(*) FILTER (status = 'OK') AS ok FROM runs GROUP BY engine) b USING (engine)) x"""),
     "a20_variant_domains": sql(f"SELECT domain, count(*) AS n, count(*) FILTER (position <= 2) AS in_base, count(*) FILTER (position <= 2) = 0 AS new FROM (SELECT *, {_DOMAIN} AS domain FROM results) x GROUP BY domain ORDER BY n DESC, domain LIMIT 15"),
@@ -180,12 +181,12 @@ SQL = {
     "t21_items_renumbered": sql("SELECT query_id, url, title, snippet, (row_number() OVER (PARTITION BY query_id ORDER BY seq))::INTEGER AS position FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY seq) AS n FROM (SELECT query_id, seq, CASE WHEN seq % 4 = 0 THEN '' ELSE url END AS url, title, snippet FROM results WHERE engine = 'bing') b) x WHERE n <= 10 AND url <> ''"),
     "t15_works": "SELECT doc_id, (['arxiv', 'doi', 'id'])[(doc_id % 3 + 1)::INTEGER] || doc_id AS url, CASE WHEN doc_id % 2 = 0 THEN '2020-01-02' WHEN doc_id % 5 > 0 THEN '2019' END AS date, 'abstract' || CASE WHEN doc_id % 90 > 50 THEN ' (Cited ' || (doc_id % 90) || '×)' ELSE '' END AS snippet, doc_id % 25 + 1 AS position FROM documents WHERE doc_id % 7 > 0",
     "c08_json_ld": "SELECT page_id, '<p>' || url || '</p>' AS body, '2024-05-01' AS date FROM pages WHERE page_id % 4 < 3",
-    "c14_title": f"SELECT doc_id, '<!-- source: https://x/ -->' || chr(10) || chr(10) || '# Title ' || doc_id || chr(10) || {_FLAT} || chr(10) || '# Later' || chr(10) || 'end' AS body FROM documents WHERE length(text) >= 900",
+    "c14_title": f"SELECT doc_id, '<!-- source: https://x/ -->' || chr(10) || chr(10) || CASE WHEN length(trim(flat)) >= 200 THEN '' ELSE '# Nav' || chr(10) || '* [c](d)' || chr(10) END || '# Title ' || doc_id || chr(10) || flat || chr(10) || '# Later' || chr(10) || 'end' AS body FROM (SELECT doc_id, {_FLAT} AS flat FROM documents) x",
     "c19_rules": """SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN s || '# T' || n || 'keep ' || doc_id || n || '## More' || n || 'body' WHEN 1 THEN s || '# T' || n || 'keep ' || doc_id || n || 'Edit this page' || n || '## See also' || n || 'links'
   ELSE '<!-- source: https://x/ -->' || n || 'nav' || n || '# T' || n || 'keep ' || doc_id || n || 'Edit this page' || n || '## See also' || n || 'links' || n || '## More' || n || 'View for:' || n || 'Windows' || n || 'body' END AS body FROM (SELECT doc_id, chr(10) AS n, '<!-- source: https://x/ -->' || chr(10) || chr(10) AS s FROM documents) x""",
     "p07_frontier": sql("SELECT DISTINCT url FROM results WHERE (url LIKE 'https://site35.example.org/%' AND url LIKE '%search%') OR (url LIKE 'https://site10.example.org/%' AND url NOT LIKE '%search%')"),
     "p33_entries": sql("SELECT 'https://n.example' || replace(url, 'https://news.example.org', '') AS url, publication_date || 'T00:00:00Z' AS lastmod, publication_date, 't' AS title FROM entries WHERE seq % 4 > 0 AND seq % 5 > 0"),
     "r10_external_scores": sql("SELECT query_id, url, score, rank FROM (SELECT b.query_id, b.url, m.score, row_number() OVER (PARTITION BY b.query_id ORDER BY m.score DESC, b.seq) AS rank FROM buckets b JOIN bm25 m USING (query_id, url)) x WHERE rank <= 10"),
-    "t10_t11_html": r"SELECT doc_id, trim(regexp_replace('A &amp; ' || left(text, 50), '\s+', ' ', 'g')) AS stripped, '<' AS \"all\" FROM documents".replace('\\"', '"'),
-    "c09_article_clean": r"SELECT doc_id, trim(trim(regexp_replace(left(text, 200), '\s+', ' ', 'g')) || repeat(chr(10), 2) || 'l' || repeat(chr(10), 2) || 'end') AS body FROM documents",
+    "t10_t11_html": r"SELECT doc_id, left(trim(regexp_replace('A &amp; ' || text, '\s+', ' ', 'g')), 500) AS stripped, '<' AS \"all\" FROM documents".replace('\\"', '"'),
+    "c09_article_clean": r"SELECT doc_id, trim(trim(regexp_replace(text, '\s+', ' ', 'g')) || repeat(chr(10), 2) || 'l' || repeat(chr(10), 2) || 'end') AS body FROM documents",
 }

@@ -30,9 +30,9 @@ def _pick_sql(values: list[str], number: str) -> str:
 
 
 DERIVED |= {
-    "snips": f"SELECT doc_id, {_pick_sql(_BEFORE, 'doc_id')} || left(text, 700) || {_pick_sql(_AFTER, 'doc_id')} AS s FROM documents",
+    "snips": f"SELECT doc_id, {_pick_sql(_BEFORE, 'doc_id')} || text || {_pick_sql(_AFTER, 'doc_id')} AS s FROM documents",
     "crawled": f"SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN {_pick_sql(_PAGES, 'doc_id // 3')} ELSE text END AS md FROM documents",
-    "marked_up": """SELECT doc_id, '<!-- source: https://x/' || doc_id || ' -->' || chr(10) || 'nav' || chr(10) || '# Title ' || doc_id || chr(10) || 'By [A](b)' || chr(10) || replace(left(text, 400), '. ', '.' || chr(10)) || chr(10) || '![i](j)' || chr(10) || '[a](b)[c](d)' || chr(10) ||
+    "marked_up": """SELECT doc_id, '<!-- source: https://x/' || doc_id || ' -->' || chr(10) || 'nav' || chr(10) || '# Title ' || doc_id || chr(10) || 'By [A](b)' || chr(10) || replace(text, '. ', '.' || chr(10)) || chr(10) || '![i](j)' || chr(10) || '[a](b)[c](d)' || chr(10) ||
     'see [link](https://y/z) here  ' || chr(10) || '[Skip to content](#m)' || chr(10) || '```' || chr(10) || 'x' || chr(10) || CASE WHEN doc_id % 2 = 0 THEN '```' ELSE '' END || chr(10) || '## Comments' || chr(10) || 'More For You' || chr(10) || 'rest' AS md FROM documents""",
     "stripped": r"""SELECT doc_id, trim(regexp_replace(s10, '\s+', ' ', 'g')) AS s FROM (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(s,
     '^Web results', ''), '^Featured snippet from the web', ''), '\bRead more.*', '', 'g'), '\d[\d,.]*[Kk]?\+? *(likes|comments|answers|posts) *·[^\n]*', '', 'g'), '\S*›\S*', '', 'g'), '\d{1,2} [\p{L}\d_]{3,9} \d{4} — ', '', 'g'), '&[a-z]+;|&#\d+;', '', 'g'), 'Tagged with [\w, ]+\.?$', '') AS s9,
@@ -43,7 +43,7 @@ DERIVED |= {
 
 
 def snips(s: SparkSession, d: str) -> DataFrame:
-    return load(s, d, "documents").select("doc_id", F.concat(_pick(_BEFORE, "doc_id"), F.substring("text", 1, 700), _pick(_AFTER, "doc_id")).alias("s"))
+    return load(s, d, "documents").select("doc_id", F.concat(_pick(_BEFORE, "doc_id"), F.col("text"), _pick(_AFTER, "doc_id")).alias("s"))
 
 
 def crawled(s: SparkSession, d: str) -> DataFrame:
@@ -52,7 +52,7 @@ def crawled(s: SparkSession, d: str) -> DataFrame:
 
 
 def marked_up(s: SparkSession, d: str) -> DataFrame:
-    body = F.replace(F.substring("text", 1, 400), F.lit(". "), F.lit(".\n"))
+    body = F.replace(F.col("text"), F.lit(". "), F.lit(".\n"))
     n = F.col("doc_id").cast("string")
     md = F.concat(F.lit("<!-- source: https://x/"), n, F.lit(" -->\nnav\n# Title "), n, F.lit("\nBy [A](b)\n"), body, F.lit("\n![i](j)\n[a](b)[c](d)\nsee [link](https://y/z) here  \n[Skip to content](#m)\n```\nx\n"), F.when(F.col("doc_id") % 2 == 0, "```").otherwise(""), F.lit("\n## Comments\nMore For You\nrest"))
     return load(s, d, "documents").select("doc_id", md.alias("md"))
@@ -91,7 +91,7 @@ def _line_f1(s: SparkSession, d: str) -> DataFrame:
 
 
 def _abstract(s: SparkSession, d: str) -> DataFrame:
-    words = F.slice(F.split(F.substring("text", 1, 300), r"[\s]+"), 1, 20)
+    words = F.split("text", r"[\s]+")
     flat = load(s, d, "documents").select("doc_id", F.posexplode(words).alias("at", "w"))
     index = flat.groupBy("doc_id", "w").agg(F.collect_list("at").alias("ats")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "ats"))).alias("index"))
     return index.select("doc_id", t.abstract(F.col("index")).alias("abstract"))
@@ -139,7 +139,6 @@ QUERIES = {
     "t28_indexed_counts": lambda s, d: snips(s, d).select("doc_id", t.indexed_counts(F.concat(F.lit("Done: "), F.col("doc_id").cast("string"), F.lit(" files indexed (7 chunks)"))).alias("x")).select("doc_id", "x.*"),
 }
 
-_PARAS = "replace(left(text, 400), '. ', '.' || chr(10))"
 SQL = {
     "a16_snippet_stats": sql(r"""SELECT doc_id % 14 AS source, count(*) AS n, round(avg(length(n.s)), 4) AS mean_len, median(length(n.s))::DOUBLE AS median_len, round(100 * avg((len(m.marks) > 0)::INTEGER), 4) AS marked_pct, round(avg(length(c.s)), 4) AS clean_len, round(avg(d.d), 6) AS density
   FROM snips n JOIN stripped c USING (doc_id) JOIN density d USING (doc_id) JOIN marks m USING (doc_id) GROUP BY 1""", marks=r"SELECT doc_id, list_filter([CASE WHEN contains(s, '›') THEN 'B1' END, CASE WHEN regexp_matches(s, '\bRead more\b') THEN 'B2' END, CASE WHEN s LIKE 'Web results%' THEN 'B3' END, CASE WHEN s LIKE 'Featured snippet from the web%' THEN 'B4' END, CASE WHEN regexp_matches(s, '\d[\d,.]*[Kk]?\+? *(likes|comments|answers|posts) *·') THEN 'B5' END, CASE WHEN regexp_matches(s, '&[a-z]+;|&#\d+;') THEN 'B8' END, CASE WHEN regexp_matches(s, 'Tagged with [\w, ]+\.?$') THEN 'B9' END], lambda x: x IS NOT NULL) AS marks FROM snips"),
@@ -163,7 +162,7 @@ SQL = {
     "t14_t20_dates": """SELECT doc_id, CASE WHEN m IS NOT NULL THEN '2024-' || m || '-' || lpad((doc_id % 28 + 1)::VARCHAR, 2, '0') END AS german, CASE WHEN m IS NOT NULL THEN '2023-' || m || '-' || lpad((doc_id % 28 + 1)::VARCHAR, 2, '0') END AS english,
   '2020' || CASE WHEN doc_id % 3 > 0 THEN '-' || lpad((doc_id % 12 + 1)::VARCHAR, 2, '0') ELSE '' END || CASE WHEN doc_id % 3 > 1 THEN '-' || lpad((doc_id % 28 + 1)::VARCHAR, 2, '0') ELSE '' END AS "partial",
   strftime(DATE '1970-01-01' + (doc_id * 7)::INTEGER, '%Y-%m-%d') AS day, '2024-05-0' || (doc_id % 9 + 1) AS iso FROM (SELECT doc_id, (['05', '03', '10', '12', NULL, '06'])[(doc_id % 6 + 1)::INTEGER] AS m FROM documents) x""",
-    "t16_abstract": r"SELECT doc_id, array_to_string(regexp_split_to_array(left(text, 300), '\s+')[1:20], ' ') AS abstract FROM documents",
+    "t16_abstract": r"SELECT doc_id, array_to_string(regexp_split_to_array(text, '\s+'), ' ') AS abstract FROM documents",
     "t23_page_title": r"""SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title, len(regexp_extract_all(html, 'href="([^"]*)"')) AS links FROM pages""",
     "t27_prompt_item": sql("SELECT doc_id, (doc_id % 20) || '. A title | ' || left(replace(s, chr(10), ' '), 200) AS item FROM snips"),
     "t28_indexed_counts": "SELECT doc_id, doc_id::INTEGER AS files, 7 AS chunks FROM documents",
