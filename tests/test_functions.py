@@ -111,11 +111,15 @@ def test_redirects(spark):
 @pytest.mark.parametrize("n", [1, 2, 5, 19, 40])
 def test_quantiles(spark, n):
     values = [float((i * 37) % 101) for i in range(n)]
-    row = spark.createDataFrame([(v,) for v in values], "v double").agg(quantiles.exclusive(F.col("v"), 19, 20).alias("e"), quantiles.inclusive(F.col("v"), 0.9).alias("i"), quantiles.nearest_rank(F.col("v"), 95).alias("r")).first()
+    rows = spark.createDataFrame([("g", v) for v in values] + [("g", None), ("none", None), ("one", 5.0)] + [("same", 3.0)] * 40, "g string, v double")
+    row = rows.filter("g = 'g'").agg(quantiles.inclusive(F.col("v"), 0.9).alias("i")).first()
+    cut = {r.g: r.e for r in quantiles.exclusive(rows, ["g"], F.col("v"), 19, 20, "e").collect()}
+    near = {r.g: r.p95 for r in quantiles.nearest_rank(rows, ["g"], F.col("v"), [50, 95]).collect()}
     ordered = sorted(values)
-    assert row.e == pytest.approx(statistics.quantiles(values, n=20)[18] if n > 1 else values[0])
+    assert set(cut) == set(near) == {"g", "one", "same"} and cut["one"] == near["one"] == 5.0 and cut["same"] == near["same"] == 3.0
+    assert cut["g"] == pytest.approx(statistics.quantiles(values, n=20)[18] if n > 1 else values[0])
     assert row.i == pytest.approx(statistics.quantiles(values, n=10, method="inclusive")[8] if n > 1 else values[0])
-    assert row.r == ordered[min(int(n * 95 / 100), n - 1)]
+    assert near["g"] == ordered[min(int(n * 95 / 100), n - 1)]
 
 
 def test_ties_do_not_depend_on_partitions(spark):

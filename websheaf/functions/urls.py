@@ -247,9 +247,19 @@ def outcome(status: Column, n_bytes: Column, error: Column | None = None) -> Col
     return out if error is None else F.when(error.isNotNull(), "error").otherwise(out)
 
 
-def gate(status: Column, body: Column, marker: str) -> Column:
-    """dead for 404 and 410; fail for other than 200 or without the marker in the first 500 characters; else ok."""
-    return F.when(status.isin(404, 410), "dead").when(status != 200, "fail").when(~F.substring(body, 1, 500).contains(marker), "fail").otherwise("ok")
+def gate(status: Column, body: Column, markers: list[str], *, ignore_case: bool = False) -> Column:
+    """dead for 404 and 410; fail for other than 200 or without any of the markers in the first 500 bytes (html is searched
+    without regard to case, by lower-case markers); else ok. A null body has no marker."""
+    head = F.hex(F.substring(body.cast("binary"), 1, 500))
+    # case is that of ASCII letters, bytes 41 to 5A; two hex digits a byte, so a marker is looked for at even places only
+    head = F.regexp_replace(head, "(..)", "$1 ")
+    if ignore_case:
+        head = F.regexp_replace(F.regexp_replace(head, "4([1-9A-F]) ", "6$1 "), "5([0-9A]) ", "7$1 ")
+    code = lambda m: "".join(f"{b:02X} " for b in (m.lower() if ignore_case else m).encode())
+    held = F.lit(False)
+    for m in markers:
+        held = held | head.contains(code(m))
+    return F.when(status.isin(404, 410), "dead").when(status != 200, "fail").when(F.coalesce(held, F.lit(False)), "ok").otherwise("fail")
 
 
 def has_signal(text: Column, signals: list[str]) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from websheaf.functions.pages import citation_pdf, has_any
+from websheaf.operators.quantiles import nearest_rank
 
 #: What a paywalled page says.
 PAYWALL = (
@@ -44,9 +45,9 @@ def shape_medians(pages: DataFrame) -> DataFrame:
 
 def methods(scores: DataFrame) -> DataFrame:
     """Per method and mode: pairs, mean Jaccard, mean and nearest-rank 90 % latency."""
-    from websheaf.operators.quantiles import nearest_rank
-
-    return scores.groupBy("method", "mode").agg(F.count("*").alias("n"), F.round(F.avg("jaccard"), 6).alias("mean_jaccard"), F.round(F.avg("ms"), 4).alias("mean_ms"), nearest_rank(F.col("ms"), 90).alias("p90_ms"))
+    keys = ["method", "mode"]
+    means = scores.groupBy(*keys).agg(F.count("*").alias("n"), F.round(F.avg("jaccard"), 6).alias("mean_jaccard"), F.round(F.avg("ms"), 4).alias("mean_ms"))
+    return means.join(nearest_rank(scores, keys, F.col("ms"), [90]).withColumnRenamed("p90", "p90_ms"), keys, "left")
 
 
 def download_outcome(status: Column, content_type: Column, body: Column) -> Column:

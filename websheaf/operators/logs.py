@@ -108,10 +108,8 @@ def reliability(runs: DataFrame, known: list[str]) -> DataFrame:
     status = F.when(F.col("status").isin(known), F.col("status")).otherwise("ERROR_OTHER")
     rows = runs.withColumn("k", status)
     ms = F.when(F.col("status") == "OK", F.col("search_ms"))
-    return rows.groupBy("engine").agg(
-        F.count("*").alias("n"), *[F.bround(100 * count_if(F.col("k") == k) / F.count("*")).alias(k.lower()) for k in known],
-        F.bround(F.avg(ms)).alias("mean_ms"), F.bround(exclusive(ms, 19, 20)).alias("p95_ms"),
-    )
+    counted = rows.groupBy("engine").agg(F.count("*").alias("n"), *[F.bround(100 * count_if(F.col("k") == k) / F.count("*")).alias(k.lower()) for k in known], F.bround(F.avg(ms)).alias("mean_ms"))
+    return counted.join(exclusive(rows, ["engine"], ms, 19, 20, "p95"), "engine", "left").withColumn("p95_ms", F.bround("p95")).drop("p95")
 
 
 def timing_ablation(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -241,14 +239,15 @@ def guard(jobs: DataFrame, by: list[str], share: float = 0.2) -> DataFrame:
     return out.withColumn("stops", F.col("regwalled") / F.col("n") >= share)
 
 
-def until_stop(jobs: DataFrame, size: int = 200, share: float = 0.2) -> DataFrame:
-    """Chunks of `size` rows in log order, up to and including the first that stops the job, with running totals."""
-    rows = numbered(jobs, F.floor(F.col("seq") / 10_000_000_000_000), ["seq"]).withColumn("chunk", F.floor((F.col("nth") - 1) / size))
+def until_stop(jobs: DataFrame, size: int = 200, share: float = 0.2, *, bucket: Column | None = None) -> DataFrame:
+    """Chunks of `size` rows in log order, up to and including the first that stops the job, with running totals.
+
+    `bucket` is a coarse, monotonic function of `seq` with some thousand rows a value, by default seq div 10000 (line numbers)."""
+    rows = numbered(jobs, F.expr("seq div 10000") if bucket is None else bucket, ["seq"]).withColumn("chunk", F.floor((F.col("nth") - 1) / size))
     chunks = guard(rows, ["chunk"], share)
     first = chunks.agg(F.min(F.when(F.col("stops"), F.col("chunk"))).alias("first"), F.lit(1).alias("__one"))  # one row
-    total = F.sum("n").over(Window.orderBy("chunk"))
     kept = chunks.withColumn("__one", F.lit(1)).join(first, "__one").filter("first is null or chunk <= first")
-    return kept.withColumn("total", total).select("chunk", "n", "regwalled", "stops", "total")
+    return numbered(kept.drop("first", "__one"), F.expr("chunk div 10000"), ["chunk"], "total", F.col("n")).select("chunk", "n", "regwalled", "stops", "total")
 
 
 def retry_outcomes(jobs: DataFrame) -> DataFrame:

@@ -1,29 +1,54 @@
-"""The three quantile definitions that reports use, each under its own name."""
+"""The three quantile definitions that reports use, each under its own name.
+
+`inclusive` is an aggregate. The others pick values by rank with `at_ranks`: equal values are counted, the counts' range is cut
+into BINS parts, and only the parts that hold a wanted rank are put in order, so no group is ever one array or one sort.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Parts of a group's value range.
+BINS = 1024
+
 
 def inclusive(value: Column, p: float) -> Column:
     """Linear interpolation between the smallest and the largest value; one value is every quantile, none is null."""
     return F.percentile(value, F.lit(p))
 
 
-def nearest_rank(value: Column, p: float) -> Column:
-    """sorted[min(int(n * p / 100), n - 1)] with p in percent."""
-    found = F.sort_array(F.collect_list(value))
-    at = F.least(F.floor(F.size(found) * p / 100), F.size(found) - 1)
-    return F.when(F.size(found) > 0, F.element_at(found, (at + 1).cast("int")))
-
-
-def exclusive(value: Column, k: int, n: int) -> Column:
-    """The kth of n - 1 cut points at positions k * (m + 1) / n of m sorted values, interpolated, also beyond the ends'
-    neighbours; one value is itself."""
-    found = F.sort_array(F.collect_list(value.cast("double")))
-    m = F.size(found)
-    j = F.least(F.greatest(F.floor(F.lit(k) * (m + 1) / n), F.lit(1)), m - 1).cast("int")
+def at_ranks(rows: DataFrame, by: list[str], value: Column, ranks: dict[str, Column]) -> DataFrame:
+    """(*by, n, and a column for each of `ranks`): the values of those ranks (from 1, as expressions of the group's number
+    `n` of values that are not null) in ascending order. Groups without a value have no row."""
+    counts = rows.select(*by, value.alias("v")).filter("v is not null").groupBy(*by, "v").agg(F.count("*").alias("c"))
+    ends = counts.groupBy(*by).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.sum("c").alias("n"))
+    wide = F.greatest(F.col("high").cast("double") - F.col("low"), F.lit(1e-300))
+    binned = counts.join(ends, by).withColumn("bin", F.least(F.floor((F.col("v").cast("double") - F.col("low")) / wide * BINS), F.lit(BINS - 1)))
+    sums = binned.groupBy(*by, "bin").agg(F.sum("c").alias("own"))  # at most BINS rows a group
+    upto = F.sum("own").over(Window.partitionBy(*by).orderBy("bin"))
+    sums = sums.withColumn("base", upto - F.col("own")).withColumn("top", upto)
+    asked = ends.select(*by, "n", F.explode(F.array(*[F.struct(F.lit(k).alias("name"), r.cast("long").alias("rank")) for k, r in ranks.items()])).alias("a")).select(*by, "n", "a.name", "a.rank")
+    held = asked.join(sums, by).filter("rank > base and rank <= top").select(*by, "n", "name", "rank", "bin", "base")
+    inside = binned.drop("n").join(held, [*by, "bin"])
+    reach = F.col("base") + F.sum("c").over(Window.partitionBy(*by, "name").orderBy("v"))
+    found = inside.withColumn("reach", reach).filter("reach >= rank").groupBy(*by, "n", "name").agg(F.min("v").alias("v"))
+    return found.groupBy(*by, "n").agg(*[F.max(F.when(F.col("name") == k, F.col("v"))).alias(k) for k in ranks])
+
+
+def nearest_rank(rows: DataFrame, by: list[str], value: Column, percents: list[int]) -> DataFrame:
+    """(*by, p50, ...): sorted[min(int(n * p / 100), n - 1)] with p in percent."""
+    n = F.col("n")
+    found = at_ranks(rows, by, value, {f"p{p}": F.least(F.floor(n * p / 100), n - 1) + 1 for p in percents})
+    return found.select(*by, *[f"p{p}" for p in percents])
+
+
+def exclusive(rows: DataFrame, by: list[str], value: Column, k: int, n: int, name: str) -> DataFrame:
+    """(*by, name): the kth of n - 1 cut points at positions k * (m + 1) / n of m sorted values, interpolated, also beyond the
+    ends' neighbours; one value is itself."""
+    m = F.col("n")
+    j = F.greatest(F.least(F.greatest(F.floor(F.lit(k) * (m + 1) / n), F.lit(1)), m - 1), F.lit(1))
+    found = at_ranks(rows, by, value, {"lower": j, "upper": F.least(j + 1, m)})
     delta = F.lit(k) * (m + 1) - j * n
-    between = (F.element_at(found, j) * (n - delta) + F.element_at(found, j + 1) * delta) / n
-    return F.when(m == 1, F.element_at(found, F.lit(1))).when(m > 1, between)
+    between = (F.col("lower") * (n - delta) + F.col("upper") * delta) / n
+    return found.select(*by, F.when(m == 1, F.col("lower")).otherwise(between).alias(name))

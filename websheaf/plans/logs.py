@@ -69,6 +69,12 @@ def w03b(s: SparkSession, d: str) -> DataFrame:
     return n.filter(F.col("nth") % 97 == 1).select("seq", "nth")
 
 
+def _page_metrics(s: SparkSession, d: str) -> DataFrame:
+    m = manifest(s, d)
+    rest = m.groupBy("status").agg(F.max("char_count").alias("most"), F.floor(F.stddev_samp("elapsed_s") * 1000).alias("std_ms"), F.count("*").alias("n"))
+    return nearest_rank(m, ["status"], F.col("char_count"), [50, 95, 99]).join(rest, "status")
+
+
 QUERIES = {
     "a08_bottleneck": lambda s, d: logs.bottlenecks(runs(s, d).withColumn("query_id", F.floor(F.col("seq") / 14)), "query_id"),
     "a09_engine_health": lambda s, d: _rounded(_health(s, d), "success_rate", "silent_rate"),
@@ -78,17 +84,17 @@ QUERIES = {
     "a12_top_skips": lambda s, d: logs.top_counts(runs(s, d).filter("status = 'RATE_SKIP'"), "engine"),
     "a25_job_stats": lambda s, d: logs.job_stats(manifest(s, d), ["run_id"]),
     "a26_regwall_guard": lambda s, d: _rounded(logs.guard(manifest(s, d), ["run_id"], 0.25).withColumn("share", F.col("regwalled") / F.col("n")), "share"),
-    "a27_until_stop": lambda s, d: logs.until_stop(manifest(s, d), 200, 0.35),
+    "a27_until_stop": lambda s, d: logs.until_stop(manifest(s, d), 200, 0.35, bucket=F.expr("seq div 10000000000000")),
     "a28_retry_outcomes": lambda s, d: logs.retry_outcomes(manifest(s, d)),
     "a29_time_quantiles": lambda s, d: logs.time_quantiles(manifest(s, d), "elapsed_s", ["run_id"]),
-    "a34_page_metrics": lambda s, d: manifest(s, d).groupBy("status").agg(*[nearest_rank(F.col("char_count"), p).alias(f"p{p}") for p in (50, 95, 99)], F.max("char_count").alias("most"), F.floor(F.stddev_samp("elapsed_s") * 1000).alias("std_ms"), F.count("*").alias("n")),
+    "a34_page_metrics": _page_metrics,
     "a38_write_rate": lambda s, d: logs.rate_stats(attempts(s, d), 7200),
     "p40_timeout_status": p40,
     "p41_empty_diagnosis": p41,
     "p42_rate_waits": lambda s, d: logs.rate_waits(runs(s, d), 10, 3600).groupBy("engine").agg(F.count("*").alias("n"), logs.count_if(F.col("wait_s") > 0).alias("waited"), F.round(F.max("wait_s"), 2).alias("longest")),
     "v01_engine_summary": lambda s, d: logs.engine_summary(_with_mode(s, d), MODES),
     "v10_reliability": lambda s, d: logs.reliability(runs(s, d), KNOWN),
-    "v10_exclusive_p90": lambda s, d: manifest(s, d).groupBy("run_id").agg(F.round(exclusive(F.col("char_count"), 9, 10), 4).alias("p90")),
+    "v10_exclusive_p90": lambda s, d: exclusive(manifest(s, d), ["run_id"], F.col("char_count"), 9, 10, "p90").withColumn("p90", F.round("p90", 4)),
     "v11_timing_ablation": lambda s, d: logs.timing_ablation(_tens(s, d, 0), _tens(s, d, 1)),
     "w01_attempt_windows": lambda s, d: logs.attempt_windows(attempts(s, d)),
     "w02_sample_windows": lambda s, d: logs.sample_windows(runs(s, d).select((F.col("seq") * 7.5).alias("elapsed_s"), F.col("result_count").alias("n"))),

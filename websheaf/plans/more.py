@@ -20,7 +20,19 @@ def _html(s: SparkSession, d: str) -> DataFrame:
         F.when(n % 5 == 0, '<script type="application/ld+json">{"datePublished": "2024-05-01T10:00:00Z"}</script>').when(n % 5 == 1, '<meta property="article:published_time" content="2023-04-02T00:00">')
         .when(n % 5 == 2, '<meta content="2022-03-03" name="date">').when(n % 5 == 3, '<time datetime="2021-02-04">').otherwise("")
     )
-    return load(s, d, "pages").select("page_id", F.concat(meta, F.lit('<script type="application/json">{"a": {"href": "/x'), n.cast("string"), F.lit('", "b": [{"href":"/y"}]}}</script>'), F.regexp_replace("html", "<time[^>]*>", "")).alias("html"))
+    return load(s, d, "pages").select("page_id", F.concat(meta, F.regexp_replace("html", "<time[^>]*>", "")).alias("html"))
+
+
+#: A page's embedded data: a tree of pages below a page of its own, addresses with escapes, other sites, and links outside trees.
+_TREE = ['{"href": "/no", "props": {"tree": {"href": "/en/p', '", "childPages": [{"href": "\\/en\\/a\\u0062/', '", "childPages": [{"href": "/en/deep"}, {"href": "https://x"}]}, {"title": "t"}, {"href": "/fr/', '", "childPages": []}]}}}']
+
+
+def _page_trees(s: SparkSession, d: str) -> DataFrame:
+    n = (F.col("page_id") % 50).cast("string")
+    data = F.concat(F.lit(_TREE[0]), n, F.lit(_TREE[1]), n, F.lit(_TREE[2]), n, F.lit(_TREE[3]))
+    data = F.when(F.col("page_id") % 9 == 0, F.lit("{broken")).otherwise(data)
+    html = F.concat("html", F.lit('<script id="__NEXT_DATA__" type="application/json">'), data, F.lit("</script>"))
+    return readers.embedded_links(load(s, d, "pages").withColumn("html", html), "https://d")
 
 
 def _navigated(s: SparkSession, d: str) -> DataFrame:
@@ -80,9 +92,17 @@ QUERIES = {
     "j03_drilldowns": _drilldowns,
     "a19_selection_totals": _selection,
     "v03_printed_urls": _printed,
-    "v08_embedded_links": lambda s, d: readers.embedded_links(_html(s, d)),
+    "v08_embedded_links": _page_trees,
+    "v08_categories": lambda s, d: readers.category_counts(_page_trees(s, d), "https://d/"),
+    "t22_engine_caps": lambda s, d: readers.capped_results(results(s, d).withColumn("position", F.col("position") * 4)).groupBy("engine").agg(F.count("*").alias("n"), F.max("position").alias("last")),
 }
 
+_QUOTED = [x.replace("'", "''") for x in _TREE]
+_TREES_SQL = f"""WITH RECURSIVE raw AS (SELECT page_id, '{_QUOTED[0]}' || (page_id % 50) || '{_QUOTED[1]}' || (page_id % 50) || '{_QUOTED[2]}' || (page_id % 50) || '{_QUOTED[3]}' AS data FROM pages WHERE page_id % 9 > 0),
+  nodes AS (SELECT page_id, json_extract(data, '$.props.tree') AS node, 0 AS depth FROM raw UNION ALL
+    SELECT page_id, unnest(from_json(json_extract(node, '$.childPages'), '["json"]')) AS node, depth + 1 FROM nodes WHERE json_extract(node, '$.childPages') IS NOT NULL),
+  found AS (SELECT page_id, 'https://d' || json_extract_string(node, '$.href') AS url, depth FROM nodes WHERE json_extract_string(node, '$.href') LIKE '/%') """
+
 SQL = {
     "p04_config_hash": sql("""SELECT id, left(sha256('{"a": ' || id || ', "b": 1}'), 10) AS hash FROM made"""),
     "p44_page_shape": sql("SELECT id, CASE WHEN contains(d, 'arxiv') THEN 'paper' WHEN contains(d, 'github') THEN 'code' WHEN contains(d, 'docs') THEN 'docs' WHEN contains(d, 'example') THEN 'site' ELSE 'other' END AS shape FROM split"),
@@ -100,5 +120,7 @@ SQL = {
     "j03_drilldowns": sql("SELECT d.seq::VARCHAR AS ts, 'k' || (d.seq % 700) AS search_key, w.seq::VARCHAR AS searched_at FROM (SELECT * FROM runs WHERE seq % 5 = 0) d LEFT JOIN (SELECT * FROM runs WHERE seq % 5 = 1) w ON w.seq % 700 = d.seq % 700"),
     "a19_selection_totals": sql("SELECT engine AS source, cls, count(*) AS n, count(*) FILTER (length(snippet) < 15) AS short_n FROM (SELECT *, CASE WHEN position > 3 THEN 'low' ELSE 'high' END AS cls FROM results) x GROUP BY CUBE (engine, cls)"),
     "v03_printed_urls": sql("SELECT id, 'https://a/' || id || ' https://b' AS urls FROM made"),
-    "v08_embedded_links": "SELECT page_id, href FROM (SELECT page_id, unnest(['/x' || page_id, '/y']) AS href FROM pages) x",
+    "v08_embedded_links": _TREES_SQL + "SELECT page_id, url, depth FROM found",
+    "v08_categories": _TREES_SQL + "SELECT split_part(replace(url, 'https://d/', ''), '/', 1) AS category, count(*) AS n FROM found GROUP BY 1",
+    "t22_engine_caps": sql("SELECT engine, count(*) AS n, max(position * 4)::INTEGER AS last FROM results JOIN (VALUES " + ", ".join(f"('{e}', {n})" for e, n in readers.MAX_RESULTS.items()) + ") c(engine, cap) USING (engine) WHERE position * 4 <= cap GROUP BY engine"),
 }

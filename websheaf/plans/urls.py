@@ -77,8 +77,8 @@ def _proxy(s: SparkSession, d: str) -> DataFrame:
 
 def _outcomes(s: SparkSession, d: str) -> DataFrame:
     status = F.element_at(F.array(*map(F.lit, [200, 429, 404, 500, 403])), (F.col("id") % 5 + 1).cast("int"))
-    body = F.when(F.col("id") % 7 == 0, "x<html>").otherwise("nothing")
-    return made(s, d).select("id", u.outcome(status, F.col("id") % 211, F.when(F.col("id") % 11 == 0, "dns")).alias("outcome"), u.gate(status, body, "<html").alias("gate"))
+    body = F.when(F.col("id") % 7 == 0, "x<HTML>").when(F.col("id") % 7 == 1, F.concat(F.repeat(F.lit("é"), 248), F.lit("<rss>"))).when(F.col("id") % 7 == 2, F.concat(F.repeat(F.lit("é"), 247), F.lit("<rss>"))).otherwise("nothing")
+    return made(s, d).select("id", u.outcome(status, F.col("id") % 211, F.when(F.col("id") % 11 == 0, "dns")).alias("outcome"), u.gate(status, body, ["<html", "<rss>"], ignore_case=True).alias("gate"), u.gate(status, body, ["<html", "<rss>"]).alias("strict"))
 
 
 def _connect_fail(s: SparkSession, d: str) -> DataFrame:
@@ -172,6 +172,8 @@ SQL = {
     "p32_live_blog": sql("SELECT id, contains(url, '/live-') AS live FROM made"),
     "p34_proxy_key": sql("SELECT id, CASE WHEN id % 2 = 0 THEN 'socks5' ELSE 'http' END || '://10.0.0.' || (id % 200) || ':' || (id % 9000 + 1) AS key FROM made"),
     "p36_p37_outcomes": sql("""SELECT id, CASE WHEN id % 11 = 0 THEN 'error' WHEN id % 5 = 1 THEN 'waf_429' WHEN id % 5 > 1 THEN 'http_error' WHEN id % 211 < 100 THEN 'empty' ELSE 'ok' END AS outcome,
-  CASE WHEN id % 5 = 2 THEN 'dead' WHEN id % 5 > 0 THEN 'fail' WHEN id % 7 = 0 THEN 'ok' ELSE 'fail' END AS gate FROM made"""),
+  CASE WHEN id % 5 = 2 THEN 'dead' WHEN id % 5 > 0 THEN 'fail' WHEN regexp_matches(lower(h), '^(..)*(3c68746d6c|3c7273733e)') THEN 'ok' ELSE 'fail' END AS gate,
+  CASE WHEN id % 5 = 2 THEN 'dead' WHEN id % 5 > 0 THEN 'fail' WHEN regexp_matches(lower(g), '^(..)*(3c68746d6c|3c7273733e)') THEN 'ok' ELSE 'fail' END AS strict
+  FROM (SELECT id, hex(lower(b))[1:1000] AS h, hex(b)[1:1000] AS g FROM (SELECT id, CASE id % 7 WHEN 0 THEN 'x<HTML>' WHEN 1 THEN repeat('é', 248) || '<rss>' WHEN 2 THEN repeat('é', 247) || '<rss>' ELSE 'nothing' END AS b FROM made) x) y"""),
     "p39_connect_fail": sql("SELECT id, (['page_timeout', 'net_timed_out', 'proxy_connect', 'proxy_connect', 'other'])[(id % 5 + 1)::INTEGER] AS kind FROM made"),
 }

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from websheaf.functions.pages import lines
 
@@ -105,10 +109,64 @@ def cache_hits(cache: DataFrame, key: str, now: Column, ttl_s: int = 3600) -> Da
     return cache.filter((F.col("search_key") == key) & (age <= ttl_s))
 
 
-def embedded_links(pages: DataFrame) -> DataFrame:
-    """(page_id, href) of all hrefs in a page's embedded JSON, however deep."""
-    data = F.regexp_extract("html", r"(?s)<script[^>]+type=\"application/json\"[^>]*>(.*?)</script>", 1)
-    return pages.select("page_id", F.explode(F.regexp_extract_all(data, F.lit(r'"href"\s*:\s*"([^"]+)"'), 1)).alias("href"))
+@F.pandas_udf(ArrayType(ArrayType(StringType())))
+def _page_trees(data: pd.Series) -> pd.Series:
+    """Of each JSON text, the hrefs that begin with a slash of every node that holds child pages or is one, in page order; with
+    the number of nodes above. Texts that don't parse, or nest deeper than the parser goes, have none."""
+
+    def walk(text: str | None) -> list[list[str]]:
+        try:
+            root = json.loads(text or "null")
+        except (ValueError, RecursionError):
+            return []
+        found, open_nodes = [], [(root, 0, False)]
+        while open_nodes:
+            node, depth, is_page = open_nodes.pop()
+            if isinstance(node, list):
+                open_nodes += [(x, depth, is_page) for x in reversed(node)]
+            elif isinstance(node, dict):
+                pages = node.get("childPages")
+                is_page = is_page or isinstance(pages, list)
+                href = node.get("href")
+                if is_page and isinstance(href, str) and href.startswith("/"):
+                    found.append([href, str(depth)])
+                later = [(x, depth + 1, True) for x in reversed(pages)] if isinstance(pages, list) else []
+                if not is_page:
+                    later += [(x, depth, False) for x in reversed(list(node.values()))]
+                open_nodes += later
+        return found
+
+    return data.map(walk)
+
+
+#: Fixed value: where a server-rendered page keeps its data.
+_PAGE_DATA = r'(?s)<script id="__NEXT_DATA__" type="application/json">(.+?)</script>'
+
+
+def embedded_links(pages: DataFrame, base: str = "") -> DataFrame:
+    """(page_id, url, depth) of the page trees in a page's embedded data: `base` and each href that begins with a slash, of nodes
+    with `childPages` and of those pages, however deep."""
+    found = _page_trees(F.regexp_extract("html", _PAGE_DATA, 1))
+    return pages.select("page_id", F.explode(found).alias("x")).select("page_id", F.concat(F.lit(base), F.col("x")[0]).alias("url"), F.col("x")[1].cast("int").alias("depth"))
+
+
+def category_counts(links: DataFrame, prefix: str) -> DataFrame:
+    """(category, n) of links (url): the first path segment behind `prefix`; urls that are the prefix alone are `?`."""
+    rest = F.replace("url", F.lit(prefix), F.lit(""))
+    return links.groupBy(F.when(rest == "", "?").otherwise(F.split_part(rest, F.lit("/"), F.lit(1))).alias("category")).agg(F.count("*").alias("n"))
+
+
+#: How many results an engine gives at most.
+MAX_RESULTS = {
+    "google": 100, "duckduckgo": 10, "mojeek": 10, "lobsters": 20, "openalex": 200, "crossref": 200, "stack_exchange": 100, "semantic_scholar": 10,
+    "open_library": 100, "startpage": 10, "brave": 10, "bing": 10, "yandex": 10, "marginalia": 10,
+}
+
+
+def capped_results(results: DataFrame, default: int = 10) -> DataFrame:
+    """Rows (engine, position, ...) within their engine's MAX_RESULTS; other engines give `default` at most."""
+    cap = F.coalesce(*[F.when(F.col("engine") == e, F.lit(n)) for e, n in MAX_RESULTS.items()], F.lit(default))
+    return results.filter(F.col("position") <= cap)
 
 
 def json_ld_articles(pages: DataFrame) -> DataFrame:
