@@ -28,13 +28,13 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/websheaf/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+def written(df: DataFrame, name: str, partition_by: str | None = None, compression: str = "snappy") -> DataFrame:
     """`df` as a Parquet table in the shared folder: cuts lineage, and a lost executor loses nothing.
 
     Tables that a returned DataFrame reads stay; clear `<spark.checkpoint.dir>/websheaf` once results are stored."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path)
+    (df.write.partitionBy(partition_by) if partition_by else df.write).option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out

@@ -14,7 +14,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import groupby
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -46,9 +46,6 @@ class LibraryEncoder:
         letter_of = {b: c for c, b in byte_letters().items()}
         self.letters = "".join(letter_of[b] for b in range(256))
         self.width = "<u2" if self.code == "H" else "<u4"
-        self.begins = np.zeros(self.library.get_vocab_size(), bool)
-        for token, i in self.library.get_vocab().items():
-            self.begins[i] = token.startswith(self.letters[32])
         self.young, self.old = {}, {}
 
     def packed(self, ids: list[int]) -> bytes:
@@ -59,37 +56,45 @@ class LibraryEncoder:
 
     def word(self, word: str) -> bytes:
         """The library's own merging of one piece, whose bytes it wants written as its vocabulary writes them."""
+        if word[0] == " " and word.isascii() and word[1:].isalpha():  # letters are written as they are
+            return self.packed([t.id for t in self.merge(self.letters[32] + word[1:])])
         return self.packed([t.id for t in self.merge(word.encode().decode("latin-1").translate(self.letters))])
 
-    def words(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of pieces. Those of a space and letters go to the library together, as the text that they form: it
-        splits that text at the spaces again, and an id begins a piece exactly if its token begins with a space."""
-        plain = [w for w in words if w[0] == " " and w[1:].isalpha()]
-        found = {}
-        for i in range(0, len(plain), 2000):
-            some = plain[i : i + 2000]
-            ids = np.array(self.library.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, self.width)
-            at = np.flatnonzero(self.begins[ids])
-            if len(at) == len(some):
-                data, ends = ids.tobytes(), [*(at * ids.itemsize).tolist(), ids.nbytes]
-                found.update(zip(some, [data[x:y] for x, y in zip(ends, ends[1:])]))
-        return found | {w: self.word(w) for w in words if w not in found}
+    def remembered(self, words: list[str]) -> list[bytes]:
+        """Ids of each of some distinct pieces."""
+        found = [self.young.get(w) for w in words]
+        lost = {}
+        for i in [i for i, ids in enumerate(found) if ids is None]:
+            w = words[i]
+            ids = self.old.get(w)
+            lost[w] = found[i] = self.word(w) if ids is None else ids
+        if len(self.young) + len(lost) > 2 * CACHED_WORDS:
+            self.old, self.young = self.young, {}
+        self.young.update(lost)
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian numbers of 16 bits, or of 32 where the vocabulary needs them."""
-        split = [None if any(s in t for s in self.specials) else words_of(t) for t in texts]
-        words: set[str] = set()
-        for w in split:
-            words.update(w or ())
-        missing = words.difference(self.young)
-        known = {w: self.old[w] for w in missing.intersection(self.old)}
-        new = list(missing.difference(known))
-        known.update(self.words(new))
-        if len(self.young) + len(known) > 2 * CACHED_WORDS:
-            self.old, self.young = self.young, {w: self.young[w] for w in words.intersection(self.young)}
-        self.young.update(known)
-        word = self.young.__getitem__
-        return [self.packed(self.library.encode(t, add_special_tokens=False).ids) if w is None else b"".join(map(word, w)) for t, w in zip(texts, split)]
+        """The ids of each text as little-endian numbers of 16 bits, or of 32 where the vocabulary needs them.
+
+        Texts are cut into pieces, Arrow numbers the distinct ones, the library gives their ids, and numpy lays them out in the
+        order of the texts. Texts with special tokens go to the library whole.
+        """
+        cut = [None if any(s in t for s in self.specials) else words_of(t) for t in texts]
+        numbered = pa.array(list(chain.from_iterable(c for c in cut if c)), pa.large_string()).dictionary_encode()
+        data = self.remembered(numbered.dictionary.to_numpy(zero_copy_only=False).tolist())
+        lengths = np.fromiter(map(len, data), np.int64, len(data)) // np.dtype(self.width).itemsize
+        code = numbered.indices.to_numpy()
+        n = lengths[code]
+        ends = np.concatenate(([0], np.cumsum(n)))
+        ids = np.frombuffer(b"".join(data), self.width)[np.repeat((np.cumsum(lengths) - lengths)[code] - ends[:-1], n) + np.arange(ends[-1])]
+        out, at = [], 0
+        for t, c in zip(texts, cut):
+            if c is None:
+                out.append(self.packed(self.library.encode(t, add_special_tokens=False).ids))
+            else:
+                out.append(ids[ends[at] : ends[at + len(c)]].tobytes())
+                at += len(c)
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -129,7 +134,7 @@ def _parts(path: str, end_id: int):
         for batch in batches:
             uids, doc_ids = batch["uid"].to_pylist(), batch["doc_id"].to_pylist()
             texts = [t or "" for t in batch["text"].to_pylist()]
-            for a, b in text_slices(texts, 1_500_000):
+            for a, b in text_slices(texts, 2_000_000):
                 streams = [x + end for x in encoder.encode(texts[a:b])]
                 bounds = np.cumsum([0, *[len(x) // len(end) for x in streams]]).tolist()
                 symbols = np.frombuffer(b"".join(streams), width)
@@ -180,7 +185,7 @@ def write_store(docs: DataFrame, store: str, tokenizer: str, end_id: int = END_I
     spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts = source.withColumn("uid", F.monotonically_increasing_id()).mapInArrow(_parts(tokenizer, end_id), _PARTS_DDL)
-    parts = written(parts, "encoded", partition_by="kind")
+    parts = written(parts, "encoded", partition_by="kind", compression="zstd")
     chunks = parts.filter("kind = 'chunk'").groupBy("key").agg(F.first("ids").alias("ids"), F.first("n_ids").alias("n_ids"))
     chunks.write.option("compression", "zstd").parquet(f"{store}/chunks")
     slim = parts.filter("kind = 'recipe'").select("doc_id", F.col("key").alias("uid"), F.col("n_ids").alias("n_tokens"), "root", "chunk_ids", "lengths")
