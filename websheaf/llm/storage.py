@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Groups of more than one in LARGE of all rows (so fewer than LARGE groups a row's key) meet their rows by broadcast.
+LARGE = 500
+
 #: A doc_id belongs to the held-out quarter when crc32(doc_id as text) mod 4 has this value.
 HELD_OUT_REMAINDER = 2
 
@@ -47,6 +50,20 @@ def dropped(df: DataFrame) -> None:
     path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def met(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+    """Inner join of `rows` with `groups`, which has one row a key and in `size` its number of rows of `total`.
+
+    No task gets a large group's rows: groups of more than one in LARGE of the rows are so few that they are broadcast, the
+    others meet in a join. Both tables are read more than once and should be written ones.
+    """
+    large = F.col(size) > F.lit(max(1, total // LARGE))
+    few = groups.filter(large)
+    if few.isEmpty():
+        return rows.join(groups, keys)
+    hot, rest = F.broadcast(few), groups.filter(~large)
+    return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(rest, keys))
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """`name`, with underscores in front until no column of `df` has it (case aside)."""
     taken = {c.lower() for c in df.columns}
