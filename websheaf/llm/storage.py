@@ -1,13 +1,14 @@
-"""Tables that several jobs read: written once to the shared folder, never kept on one executor."""
+"""What the operators share: tables, the held-out rows, slices of texts, and joins that no large group holds up."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from websheaf.operators.shared import dropped, fresh, new_path, shared_folder, written
+
+__all__ = ["HELD_OUT_REMAINDER", "LARGE", "dropped", "fresh", "held_out", "met", "new_path", "shared_folder", "table", "text_slices", "written"]
+
 #: Groups of more than one in LARGE of all rows (so fewer than LARGE groups a row's key) meet their rows by broadcast.
 LARGE = 500
 
@@ -15,41 +16,6 @@ LARGE = 500
 HELD_OUT_REMAINDER = 2
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir. Where it names none, local sessions (tests) get a new
-    temporary one; on a cluster, whose executors could not read it, that is an error."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="websheaf-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/websheaf/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str, partition_by: str | None = None, compression: str = "snappy") -> DataFrame:
-    """`df` as a Parquet table in the shared folder: cuts lineage, and a lost executor loses nothing.
-
-    Tables that a returned DataFrame reads stay; clear `<spark.checkpoint.dir>/websheaf` once results are stored."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    (df.write.partitionBy(partition_by) if partition_by else df.write).option("compression", compression).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.stored_at = path
-    return out
-
-
-def dropped(df: DataFrame) -> None:
-    """Deletes the table of what written() returned, once all that was made of it is written as well."""
-    context = df.sparkSession.sparkContext
-    path = context._jvm.org.apache.hadoop.fs.Path(df.stored_at)
-    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def met(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
     """Inner join of `rows` with `groups`, which has one row a key and in `size` its number of rows of `total`.
 
@@ -64,14 +30,6 @@ def met(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: i
     return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(rest, keys))
 
 
-def fresh(df: DataFrame, name: str) -> str:
-    """`name`, with underscores in front until no column of `df` has it (case aside)."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name = "_" + name
-    return name
-
-
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == HELD_OUT_REMAINDER, F.lit(False))
 
