@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from websheaf.llm.components import components
-from websheaf.llm.storage import fresh, table, written
+from websheaf.llm.storage import fresh, met, table, written
 
 #: Contract of the fingerprint: words a shingle, hash seed, and bits in which linked fingerprints may differ.
 SHINGLE_WORDS, SEED, MAX_BITS = 3, 42, 2
@@ -99,15 +99,17 @@ def near_duplicates(docs: DataFrame, *, shingle_words: int = SHINGLE_WORDS, max_
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = written(source.mapInArrow(_fingerprints(shingle_words), "doc_id long, fp long"), "fingerprints")
-    rooted = _rooted(found.groupBy("fp").agg(F.min("doc_id").alias("least")), max_bits, pairs_up_to)
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return found.join(rooted.join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    distinct = written(found.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")), "distinct")
+    rooted = written(_rooted(distinct, max_bits, pairs_up_to), "rooted")
+    named = written(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")), "named")
+    groups = written(met(rooted, named, ["root"], "n", rooted.count()).select("fp", "rows", "component_id"), "groups")
+    return met(found, groups, ["fp"], "rows", found.count()).select("doc_id", "fp", "component_id")
 
 
 def _rooted(distinct: DataFrame, max_bits: int, pairs_up_to: int) -> DataFrame:
-    """`distinct` (fp, least), a row for each fingerprint, with the root fingerprint of its component."""
+    """`distinct` (fp and other columns), a row for each fingerprint, with `root`, the root fingerprint of its component."""
     linked = components(links(distinct.select("fp"), max_bits, pairs_up_to))
-    return distinct.join(linked, distinct["fp"] == linked["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    return distinct.join(linked, distinct["fp"] == linked["node"], "left").select(*distinct.columns, F.coalesce("root", "fp").alias("root"))
 
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:
