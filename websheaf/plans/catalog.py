@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from websheaf.plans import fusion, ingest, logs, more, reports, sites, text, urls
+from websheaf.plans import fusion, ingest, logs, markup, more, reports, sites, text, urls
 
 FLAGSHIP = "a01_engine_pools"
-_MODULES = (fusion, logs, ingest, text, urls, reports, more, sites)
+_MODULES = (fusion, logs, ingest, text, urls, reports, more, sites, markup)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
