@@ -34,6 +34,8 @@ _MARKUP = re.compile(r"<(?:!--(?P<comment>.*?(?:-->|\Z))|[!?][^>]*>?|(?P<end>/)?
 _NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORDS = re.compile(r"[^a-z]+")
 _SPACE = re.compile(r"\s+")
+#: What stands before the slash of <a name="x"/>; in <a href=/x/> the slash is the value's.
+_SHUT = ("", " ", "\t", "\n", "\r", '"', "'")
 _END_OF = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
 
 
@@ -41,7 +43,7 @@ class Node:
     """An open element with what is above it. Children share their parent's sets unless they add to them, and `at[rule]` is
     where the element stands that the rule would close, so that deep nesting costs no more than flat."""
 
-    __slots__ = ("tag", "tags", "names", "block", "section", "at")
+    __slots__ = ("tag", "tags", "names", "block", "section", "link", "at")
 
     def __init__(self, tag: str, names: frozenset[str], up: Node | None, depth: int):
         self.tag = tag
@@ -49,6 +51,7 @@ class Node:
         self.names = up.names if up and names <= up.names else (up.names if up else frozenset()) | names
         self.block = tag if tag in BLOCK else up.block if up else ""
         self.section = tag if tag in SECTIONS else up.section if up else "none"
+        self.link = tag == "a" or (up is not None and up.link)
         self.at = up.at if up else (-1,) * len(_RULES)
         if tag in _SCOPED:
             self.at = tuple(-1 if tag in holders else depth if tag in closing else old for (closing, holders), old in zip(_RULES, self.at))
@@ -112,7 +115,7 @@ def blocks(page: str, tags: Collection[str] | None = None, names: Collection[str
         if not spoken and not blank:
             state, spoken = stack[-1] if stack else None, True
         parts.append(text)
-        if any(node.tag == "a" for node in stack[-3:]):
+        if stack and stack[-1].link:
             linked += len(text)
 
     at, size = 0, len(page)
@@ -147,7 +150,7 @@ def blocks(page: str, tags: Collection[str] | None = None, names: Collection[str
         if stack and tag in _RULE_OF and (closed := stack[-1].at[_RULE_OF[tag]]) >= 0:
             cut(closed)
         attrs = m["attrs"]
-        if attrs.endswith("/") and tag not in BLOCK and tag not in RAW:
+        if attrs.endswith("/") and attrs[-2:-1] in _SHUT and tag not in BLOCK and tag not in RAW:
             continue
         if tag in RAW:
             end = _END_OF[tag].search(page, at)

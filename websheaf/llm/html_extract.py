@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 from websheaf.llm.crf import ChainModel, Chains, chains
 from websheaf.llm.html_blocks import Block, blocks
 from websheaf.llm.page_templates import labelled_pages
-from websheaf.llm.storage import table
+from websheaf.llm.storage import table, text_slices
 
 #: Labelled pages that train the extractor, their seed, rounds, and the penalty on squared weights.
-PAGES, SEED, ROUNDS, L2 = 800, 1, 150, 1e-5
+PAGES, SEED, ROUNDS, L2 = 1600, 1, 150, 1e-5
+#: Characters of pages that a task parses at once.
+SLICE = 2_000_000
 
 
 def features(b: Block, count: int) -> list[str]:
@@ -25,8 +27,9 @@ def features(b: Block, count: int) -> list[str]:
     n = len(b.text)
     share = 4 * b.linked // n
     words = b.text.count(" ") + 1
-    looks = [f"len={min(words.bit_length(), 7)}", f"link={share}", f"stop={b.text[-1] in '.!?:…'}", f"sign={'©' in b.text}", f"tag={b.tag}", f"near={b.section}", f"edge={b.order == 0}{b.order == count - 1}"]
-    return ["any", *looks, *("in=" + t for t in sorted(b.tags)), *("name=" + w for w in sorted(b.names)), f"tag={b.tag} link={share}", f"named={bool(b.names)}"]
+    length, stop, commas = min(words.bit_length(), 7), b.text[-1] in ".!?:…", min(b.text.count(","), 3)
+    looks = [f"len={length}", f"link={share}", f"stop={stop}", f"commas={commas}", f"sign={'©' in b.text}", f"tag={b.tag}", f"near={b.section}", f"edge={b.order == 0}{b.order == count - 1}"]
+    return ["any", *looks, *("in=" + t for t in sorted(b.tags)), *("name=" + w for w in sorted(b.names)), f"tag={b.tag} link={share}", f"named={bool(b.names)}", f"tag={b.tag} len={length} stop={stop}", f"near={b.section} len={length}"]
 
 
 @dataclass(eq=False)
@@ -81,9 +84,10 @@ def main_texts(pages: DataFrame, model: Extractor) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, len(batch), 200):
-                part = batch.slice(i, 200)
-                found = model.content([model.blocks(h or "") for h in part["html"].to_pylist()])
+            pages = batch["html"].to_pylist()
+            for a, b in text_slices(pages, SLICE):
+                part = batch.slice(a, b - a)
+                found = model.content([model.blocks(h or "") for h in pages[a:b]])
                 texts = pa.array(["\n\n".join(t) for t in found], pa.string())
                 yield pa.RecordBatch.from_arrays([part["page_id"], part["url"], texts], ["page_id", "url", "text"])
 

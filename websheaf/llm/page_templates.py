@@ -21,13 +21,19 @@ _CHROME = {
 }
 #: Words that any part of a page may have in its names.
 _PARTS = "container wrapper box area block inner outer section content list main body group holder row page".split()
-_BODIES = ["article", "main", "post", "post-body", "entry-content", "article-body", "content", "story", "main-content"]
+#: Names that sites give to what holds an article, and ways to write its paragraphs: `bare` is text parted by line breaks.
+_BODIES = (
+    "article main post post-body entry-content article-body content story main-content body entry text prose post-content article-content story-body markdown-body"
+    " page-content body-text article-text s-prose post-text rich-text copy read chapter document mw-parser-output single hentry"
+).split()
+_PARAGRAPHS = ["p"] * 6 + ["div"] * 4 + ["span", "bare"]
 
 
 class _Page:
     def __init__(self, seed: int):
         self.r = random.Random(seed)
         self.labels: dict[str, bool] = {}
+        self.paragraph = self.r.choice(_PARAGRAPHS)
 
     def words(self, least: int, most: int) -> str:
         r = self.r
@@ -94,6 +100,24 @@ class _Page:
             return html.escape(text)
         return "".join(self.block(self.r.choice(["p", "div", "span"] if kind != "share" else ["li", "a"]), False, 2, 30, kind == "share") + "<hr>" for _ in range(self.r.randint(1, 2)))
 
+    def prose(self, least: int, most: int) -> str:
+        """A paragraph of the article, as this page writes them."""
+        if self.paragraph == "bare":
+            return f"{self.block('span', True, least, most)}<hr>" if self.r.random() < 0.5 else self.block("div", True, least, most).replace("</div>", "<br><br></div>")
+        if self.paragraph == "span":
+            return "<div>" * (k := self.r.randint(1, 2)) + self.block("span", True, least, most) + "</div>" * k
+        return self.block(self.paragraph, True, least, most)
+
+    def held(self, inner: str) -> str:
+        """`inner` in up to three containers, some without a name, some with a name that says nothing."""
+        r = self.r
+        for _ in range(r.choice([0, 0, 1, 1, 2, 3])):
+            name = r.choice([*_BODIES, *_PARTS, "".join(r.choices(_SYLLABLES, k=2))])
+            extra = f" {self.suffixed(r.choice(_BODIES + _PARTS))}" if r.random() < 0.3 else ""
+            tag = r.choice(["div", "div", "div", "section"])
+            inner = f"<{tag}>{inner}</{tag}>" if r.random() < 0.3 else f'<{tag} {r.choice(["class", "class", "id"])}="{self.suffixed(name)}{extra}">{inner}</{tag}>'
+        return inner
+
     def article(self) -> str:
         r = self.r
         out = []
@@ -103,7 +127,7 @@ class _Page:
         for _ in range(r.randint(1, 14)):
             kind = r.random()
             if kind < 0.72:
-                out.append(self.block("p", True, 1, 120))
+                out.append(self.prose(1, 120))
             elif kind < 0.74:
                 out.append(self.block(r.choice(["h2", "h3", "blockquote", "pre", "div"]), True, 1, 30))
             elif kind < 0.8:
@@ -111,7 +135,7 @@ class _Page:
                 out.append(f"<{tag}>" + "".join(self.block("li", True, 1, 25) for _ in range(r.randint(2, 6))) + f"</{tag}>")
             elif kind < 0.82:
                 section = r.choice(["section", "section", 'div class="section"', "div"])
-                out.append(f"<{section}>" + self.block("h2", True, 1, 8) + "".join(self.block("p", True, 2, 90) for _ in range(r.randint(1, 3))) + f"</{section.split()[0]}>")
+                out.append(f"<{section}>" + self.block("h2", True, 1, 8) + "".join(self.prose(2, 90) for _ in range(r.randint(1, 3))) + f"</{section.split()[0]}>")
             elif kind < 0.84:
                 out.append("<table><tr>" + "".join(self.block("td", True, 1, 6) for _ in range(r.randint(2, 6))) + "</table>")
             elif kind < 0.86:
@@ -120,10 +144,12 @@ class _Page:
                 out.append(self.chrome(r.choice(["advert", "advert", "notice", "form", "share", "sidebar"])))
         if r.random() < 0.4:
             out.append(self.chrome("comments"))
-        inner = "".join(out)
+        inner = self.held("".join(out))
         shape = r.random()
-        if shape < 0.5:
+        if shape < 0.4:
             return f"<article>{inner}</article>"
+        if shape < 0.5:
+            return self.held(f"<div>{inner}</div>")
         name = r.choice(_BODIES)
         if shape < 0.65:
             return f"<main>{inner}</main>"
