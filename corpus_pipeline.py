@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from websheaf.llm import bpe, exact_dedup, mixing, simhash, toxicity
-from websheaf.llm.storage import table, written
+from websheaf.llm.storage import dropped, table, written
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,5 +44,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        older, docs = docs, written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if hasattr(older, "stored_at"):  # a table of ours that only this stage has read
+            dropped(older)
     return docs
