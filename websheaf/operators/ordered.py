@@ -6,27 +6,66 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from websheaf.operators.shared import fresh
+
 
 def numbered(df: DataFrame, bucket: Column, order: list, name: str = "nth", value: Column | None = None) -> DataFrame:
     """Adds the running sum of `value` (of 1: the row's number, from 1) in the order of (bucket, *order).
 
     `bucket` is a coarse, monotonic function of the order, such as the day of a time or seq div 10000.
     """
-    rows = df.withColumn("__b", bucket).withColumn("__v", F.lit(1).cast("long") if value is None else value.cast("long"))
-    before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)  # over buckets
-    totals = rows.groupBy("__b").agg(F.sum("__v").alias("__t")).select("__b", F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__base"))
-    inside = Window.partitionBy("__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.join(totals, "__b").withColumn(name, F.col("__base") + F.sum("__v").over(inside)).drop("__b", "__v", "__base")
+    b, v, t, base = (fresh(df, x) for x in ("bucket", "value", "total", "base"))
+    rows = df.withColumn(b, bucket).withColumn(v, F.lit(1).cast("long") if value is None else value.cast("long"))
+    before = Window.orderBy(b).rowsBetween(Window.unboundedPreceding, -1)  # over buckets
+    totals = rows.groupBy(b).agg(F.sum(v).alias(t)).select(b, F.coalesce(F.sum(t).over(before), F.lit(0)).alias(base))
+    inside = Window.partitionBy(b).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.join(totals, b).withColumn(name, F.col(base) + F.sum(v).over(inside)).drop(b, v, base)
 
 
 def gaps(df: DataFrame, bucket: Column, ts: str, order: list, name: str = "gap_s") -> DataFrame:
     """Adds the seconds since the row before, in the order of (bucket, *order); null for the first."""
-    rows = df.withColumn("__b", bucket)
-    inside = Window.partitionBy("__b").orderBy(*order)
-    earlier = Window.orderBy("__b")
-    ends = rows.groupBy("__b").agg(F.max(ts).alias("__end")).select("__b", F.lag("__end").over(earlier).alias("__last"))
-    seen = F.coalesce(F.lag(ts).over(inside), F.col("__last"))
-    return rows.join(ends, "__b").withColumn(name, F.col(ts).cast("double") - seen.cast("double")).drop("__b", "__last")
+    b, end, last = (fresh(df, x) for x in ("bucket", "end", "last"))
+    rows = df.withColumn(b, bucket)
+    inside = Window.partitionBy(b).orderBy(*order)
+    earlier = Window.orderBy(b)
+    ends = rows.groupBy(b).agg(F.max(ts).alias(end)).select(b, F.lag(end).over(earlier).alias(last))
+    seen = F.coalesce(F.lag(ts).over(inside), F.col(last))
+    return rows.join(ends, b).withColumn(name, F.col(ts).cast("double") - seen.cast("double")).drop(b, last)
+
+
+def carried(df: DataFrame, by: list[str], bucket: Column, order: list[str], value: Column, name: str) -> DataFrame:
+    """Adds the last `value` that is not null at or before each row, per `by` (the whole table if empty), in the order of
+    (bucket, *order); null where there is none yet.
+
+    Two levels: inside a key's bucket the rows are scanned, and what the buckets before leave comes from a scan over their last
+    values, a row a bucket. So a key with a third of all rows is dealt over as many tasks as it has buckets.
+    """
+    b, v, last, known = (fresh(df, x) for x in ("bucket", "carry", "last", "known"))
+    rows = df.withColumn(b, bucket).withColumn(v, F.when(value.isNotNull(), F.struct(*order, value.alias("value"))))
+    ends = rows.groupBy(*by, b).agg(F.max(v).alias(last))
+    before = Window.partitionBy(*by).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)  # over buckets
+    ends = ends.select(*[F.col(c).alias(f"{known}_{c}") for c in by], F.col(b).alias(known), F.last(last, ignorenulls=True).over(before).alias(last))
+    same = rows[b].eqNullSafe(ends[known])
+    for c in by:
+        same = same & rows[c].eqNullSafe(ends[f"{known}_{c}"])
+    inside = Window.partitionBy(*by, b).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    found = F.coalesce(F.last(v, ignorenulls=True).over(inside), F.col(last))
+    return rows.join(ends, same).withColumn(name, found["value"]).drop(b, v, last, known, *[f"{known}_{c}" for c in by])
+
+
+def as_of(left: DataFrame, right: DataFrame, by: list[str], on: str, bucket, values: list[str], tie: str | None = None) -> DataFrame:
+    """Backward as-of join: every row of `left` with `values` of the row of `right` that has its key and comes last at or
+    before it by `on`; nulls where there is none. Among rows of `right` with equal `on` the one with the largest `tie` counts.
+
+    `bucket` makes of a column a coarse, monotonic function of it (for times: F.to_date). Both sides are one scan, as in
+    carried(), rather than a join on a range; rows of either side whose `on` is null find and give nothing.
+    """
+    side, at, held = (fresh(left, x) for x in ("side", "at", "held"))
+    other = right.filter(F.col(on).isNotNull()).select(*by, F.col(on), F.lit(0).alias(side), (F.col(tie) if tie else F.lit(0)).cast("long").alias(at), F.struct(*values).alias(held))
+    own = left.select(*by, F.col(on), F.lit(1).alias(side), F.lit(None).cast("long").alias(at), F.lit(None).cast(other.schema[held].dataType).alias(held), F.struct(*left.columns).alias("row"))
+    both = other.withColumn("row", F.lit(None).cast(own.schema["row"].dataType)).unionByName(own)
+    found = carried(both, by, bucket(F.col(on)), [on, side, at], F.col(held), "found").filter(F.col(side) == 1)
+    return found.select("row.*", *[F.when(F.col(on).isNotNull(), F.col(f"found.{v}")).alias(v) for v in values])
 
 
 def last_rows(df: DataFrame, bucket: Column, order: list, n: int) -> DataFrame:

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from websheaf.operators import logs
-from websheaf.operators.ordered import numbered
+from websheaf.operators import logs, rides
+from websheaf.operators.ordered import as_of, numbered
 from websheaf.operators.quantiles import exclusive, nearest_rank
-from websheaf.plans.fixtures import DERIVED, attempts, manifest, runs, sql
+from websheaf.plans.fixtures import DERIVED, attempts, load, manifest, runs, sql
 
 MODES = ["general", "pdf"]
 KNOWN = ["OK", "EMPTY_NO_RESULTS", "TIMEOUT_WATCHDOG", "ERROR_OTHER", "RATE_SKIP"]
@@ -45,6 +45,20 @@ def _burns(s: SparkSession, d: str) -> DataFrame:
     return logs.burns(attempts(s, d).filter("size is null"))
 
 
+def _statuses(s: SparkSession, d: str) -> DataFrame:
+    """Attempts by proxy with what came of them."""
+    kinds = {"view": "ok", "click": "regwall", "purchase": "connect_fail", "error": "empty"}
+    status = F.coalesce(*[F.when(F.col("event_type") == k, F.lit(v)) for k, v in kinds.items()])
+    return load(s, d, "events").filter("event_type <> 'signup'").select(F.col("user_id").cast("long").alias("proxy_key"), F.col("event_id").cast("long").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), status.alias("status"))
+
+
+def _last_refresh(s: SparkSession, d: str) -> DataFrame:
+    """Each attempt with the last pool refresh of its tenth of the proxies."""
+    log = attempts(s, d).withColumn("pool", F.col("proxy_key") % 10)
+    refreshed = log.filter("size is not null").select("pool", "ts", "size", F.col("seq").alias("refresh_seq"))
+    return as_of(log.filter("size is null").select("seq", "pool", "ts"), refreshed, ["pool"], "ts", F.to_date, ["size", "refresh_seq"], "refresh_seq").select("seq", "pool", "size", "refresh_seq")
+
+
 def _tens(s: SparkSession, d: str, low: int) -> DataFrame:
     r = runs(s, d).withColumn("query_id", F.floor(F.col("seq") / 14))
     return r.filter(F.col("seq") % 2 == low).groupBy("query_id", "engine").agg(F.max("search_ms").alias("search_ms"))
@@ -76,6 +90,9 @@ def _page_metrics(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "x10_rides": lambda s, d: rides.rides(_statuses(s, d), chunk=F.expr("seq div 500")),
+    "x10_rides_of_three": lambda s, d: rides.rides(_statuses(s, d), burn_after=3, fail_after=1),
+    "j12_last_refresh": _last_refresh,
     "a08_bottleneck": lambda s, d: logs.bottlenecks(runs(s, d).withColumn("query_id", F.floor(F.col("seq") / 14)), "query_id"),
     "a09_engine_health": lambda s, d: _rounded(_health(s, d), "success_rate", "silent_rate"),
     "a10_health_class": lambda s, d: logs.health_class(_health(s, d)).select("engine", "health", "severity"),
@@ -135,7 +152,25 @@ def _exclusive_sql(value: str, table: str, by: str, k: int, n: int, where: str =
     return f"""SELECT {by}, {_EXCLUSIVE.format(k=k, n=n)} AS q FROM (SELECT *, least(greatest(floor({k} * (m + 1) / {n}), 1), m - 1)::BIGINT AS j FROM (SELECT {by}, list_sort(list({value}::DOUBLE)) AS v, count(*) AS m FROM {table} WHERE {where} GROUP BY {by}))"""
 
 
+def _rides_sql(burn_after: int, fail_after: int) -> str:
+    """Attempt by attempt, all proxies in step."""
+    return f"""WITH RECURSIVE e AS MATERIALIZED (
+  SELECT user_id::BIGINT AS proxy_key, event_id::BIGINT AS seq, CASE event_type WHEN 'view' THEN 'ok' WHEN 'click' THEN 'regwall' WHEN 'purchase' THEN 'connect_fail' ELSE 'failed' END AS status,
+    row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events WHERE event_type <> 'signup'
+), w AS (
+  SELECT *, 1::BIGINT AS ride, (status = 'regwall')::INTEGER AS walls, (status = 'failed')::INTEGER AS fails FROM e WHERE n = 1
+  UNION ALL SELECT e.*, ride + o, CASE WHEN o = 1 THEN 0 ELSE walls END + (e.status = 'regwall')::INTEGER, CASE WHEN o = 1 THEN 0 ELSE fails END + (e.status = 'failed')::INTEGER
+  FROM (SELECT *, (status = 'connect_fail' OR walls >= {burn_after} OR fails >= {fail_after})::INTEGER AS o FROM w) w JOIN e ON e.proxy_key = w.proxy_key AND e.n = w.n + 1
+)
+SELECT proxy_key, ride, min(seq) AS first_seq, max(seq) AS last_seq, count(*) AS n, count(*) FILTER (status = 'ok') AS ride_ok, count(*) FILTER (status = 'regwall') AS n_regwall, count(*) FILTER (status = 'connect_fail') AS n_connect_fail,
+  count(*) FILTER (status = 'failed') AS n_failed, CASE WHEN count(*) FILTER (status = 'connect_fail') > 0 THEN 'connect' WHEN max(walls) >= {burn_after} THEN 'burned' WHEN max(fails) >= {fail_after} THEN 'failures' ELSE 'open' END AS cause
+FROM w GROUP BY proxy_key, ride"""
+
+
 SQL = {
+    "x10_rides": _rides_sql(2, 2),
+    "x10_rides_of_three": _rides_sql(3, 1),
+    "j12_last_refresh": sql("SELECT a.seq, a.pool, r.size, r.seq AS refresh_seq FROM (SELECT *, proxy_key % 10 AS pool FROM attempts WHERE size IS NULL) a ASOF LEFT JOIN (SELECT *, proxy_key % 10 AS pool FROM attempts WHERE size IS NOT NULL) r ON a.pool = r.pool AND a.ts >= r.ts"),
     "a08_bottleneck": sql("SELECT (seq // 14)::BIGINT AS query_id, engine, search_ms FROM runs QUALIFY row_number() OVER (PARTITION BY seq // 14 ORDER BY search_ms DESC, seq) = 1"),
     "a09_engine_health": sql("SELECT * REPLACE (round(success_rate, 6) AS success_rate, round(silent_rate, 6) AS silent_rate) FROM health"),
     "a10_health_class": sql(f"SELECT engine, health, {_SEVERITY} AS severity FROM (SELECT engine, {_CASES} AS health FROM health) h"),
