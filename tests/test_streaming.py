@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from websheaf.operators import logs
 from websheaf.streaming import logs as streaming
+from websheaf.streaming import merge
 
 
 def put(folder, name, rows):
@@ -48,12 +49,12 @@ def test_upserts_keep_the_last_row(spark, tmp_path):
     source.mkdir()
     put(source, "1.json", [{"ts": "2024-01-01T00:00:00Z", "seq": i, "proxy_key": f"p{i % 3}", "ok": True} for i in range(9)])
     stream = streaming.attempt_stream(spark, str(source))
-    query = stream.writeStream.foreachBatch(streaming.upsert_into(out, ["proxy_key"], "seq")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query = stream.writeStream.foreachBatch(merge.merge_into(out, ["proxy_key"], "seq")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     query.awaitTermination()
     put(source, "2.json", [{"ts": "2024-01-01T00:00:01Z", "seq": 20, "proxy_key": "p1", "ok": False}])
-    query = stream.writeStream.foreachBatch(streaming.upsert_into(out, ["proxy_key"], "seq")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query = stream.writeStream.foreachBatch(merge.merge_into(out, ["proxy_key"], "seq")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     query.awaitTermination()
-    assert sorted((r.proxy_key, r.seq) for r in spark.read.parquet(f"{out}/v=1").collect()) == [("p0", 6), ("p1", 20), ("p2", 8)]
+    assert sorted((r.proxy_key, r.seq) for r in merge.current(spark, out).collect()) == [("p0", 6), ("p1", 20), ("p2", 8)]
 
 
 def test_batch_rules_by_hand(spark):

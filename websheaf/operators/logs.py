@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from websheaf.operators.ordered import gaps, last_rows, numbered
 from websheaf.operators.quantiles import exclusive, inclusive
+from websheaf.operators.shared import fresh
 
 #: Thresholds of the health classes.
 MIN_SAMPLES, BROKEN_BELOW, DEGRADED_BELOW, SILENT_ABOVE = 5, 0.5, 0.8, 0.3
@@ -268,9 +269,10 @@ def backoff_bounds(burns: DataFrame) -> DataFrame:
     """Upper bound of each burn's exponential cooldown: doubles from burn to burn, and starts anew where the ride that
     ended in the burn had a success (`ride_ok` >= 1). The actual wait is drawn below the bound."""
     w = Window.partitionBy("proxy_key").orderBy("seq")
-    rows = burns.withColumn("ride", F.sum((F.col("ride_ok") >= 1).cast("int")).over(w))
-    nth = F.row_number().over(Window.partitionBy("proxy_key", "ride").orderBy("seq")) - 1
-    return rows.withColumn("failures", nth).withColumn("bound_s", F.least(F.lit(float(BACKOFF_CAP_S)), BACKOFF_BASE_S * F.pow(F.lit(2.0), F.least("failures", F.lit(30))))).drop("ride")
+    since = fresh(burns, "since")
+    rows = burns.withColumn(since, F.sum((F.col("ride_ok") >= 1).cast("int")).over(w))
+    nth = F.row_number().over(Window.partitionBy("proxy_key", since).orderBy("seq")) - 1
+    return rows.withColumn("failures", nth).withColumn("bound_s", F.least(F.lit(float(BACKOFF_CAP_S)), BACKOFF_BASE_S * F.pow(F.lit(2.0), F.least("failures", F.lit(30))))).drop(since)
 
 
 def burns(log: DataFrame, after: int = 2) -> DataFrame:

@@ -1,4 +1,4 @@
-"""The log rules on unbounded logs: windowed health, burns with state, cooldowns and keyed upserts."""
+"""The log rules on unbounded logs: windowed health, first sightings, burns with state; rides and upserts are in cooldowns and merge."""
 
 from __future__ import annotations
 
@@ -52,19 +52,3 @@ def burn_stream(attempts: DataFrame, after: int = 2) -> DataFrame:
         yield pd.DataFrame(burned, columns=["proxy_key", "seq", "ts"])
 
     return attempts.groupBy("proxy_key").applyInPandasWithState(step, "proxy_key string, seq long, ts timestamp", "failures int", "append", GroupStateTimeout.NoTimeout)
-
-
-def upsert_into(path: str, keys: list[str], order: str):
-    """A foreachBatch function that keeps, for each key, the row that comes last by `order`. Each batch writes a new
-    version beside the last and names it by its batch id, so a batch that runs again writes the same."""
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        rest = [c for c in batch.columns if c not in keys and c != order]
-        both = batch
-        if batch_id > 0:
-            both = batch.unionByName(spark.read.schema(batch.schema).parquet(f"{path}/v={batch_id - 1}"))
-        best = both.groupBy(*keys).agg(F.max(F.struct(order, *rest)).alias("r"))
-        best.select(*keys, F.col(f"r.{order}").alias(order), *[F.col(f"r.{c}").alias(c) for c in rest]).write.mode("overwrite").parquet(f"{path}/v={batch_id}")
-
-    return write
