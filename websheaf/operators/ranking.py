@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,25 +59,55 @@ def representation(title: Column, snippet: Column, title_weight: int = 1) -> Col
     return F.concat_ws(" ", *[title] * title_weight, snippet)
 
 
-def _term_counts(docs: DataFrame, queries: DataFrame, stopwords: list[str] | None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Tokenised documents (query_id, url, t, dl), corpus sizes (query_id, avgdl, n_docs), and what each query's terms count in
-    each document (query_id, url, dl, term, times, tf, avgdl, n_docs).
+@dataclass(frozen=True)
+class Setting:
+    """A way to score: BM25's k1 and b, how often a document's title counts beside its text, and whether stop words count."""
+
+    k1: float = BM25_K1
+    b: float = BM25_B
+    title_weight: int = 0
+    stopped: bool = False
+
+
+def _term_counts(docs: DataFrame, queries: DataFrame, settings: list[Setting], stopwords: list[str]) -> tuple[DataFrame, DataFrame]:
+    """What each query's terms count in each document of its corpus (query_id, url, term, times, tf_text, tf_title, and for
+    every kind of length i dl_i and avg_i); and corpus sizes (query_id, n_docs, avg_i).
 
-    Texts are tokenised once, to a written table. The queries' terms are written too: Spark sends them to the documents
-    where they are small, so that only terms that a query asks for are shuffled.
+    A document is tokenised once and dealt by its own key, so that all counting and summing by document happens where its
+    tokens are; only documents and the queries' terms are shuffled. Terms that no query asks for go before they are counted.
     """
-    asked = queries.select("query_id", F.explode(tokens(F.col("query"), stopwords)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    rows = written(docs.select("query_id", "url", tokens(F.col("text"), stopwords).alias("t")).withColumn("dl", F.size("t")), "tokens")
-    sizes = rows.groupBy("query_id").agg(F.avg("dl").alias("avgdl"), F.count("*").alias("n_docs"))
+    titled = any(s.title_weight for s in settings)
+    kept = lambda ts: F.filter(ts, lambda t: ~t.isin(stopwords)) if stopwords else ts
+    split = docs.select("query_id", "url", tokens(F.col("text")).alias("body"), (tokens(F.col("title")) if titled else F.array().cast("array<string>")).alias("head"))
+    size = lambda c, stopped: F.size(kept(F.col(c)) if stopped else F.col(c))
+    kinds = _kinds(settings)
+    lengths = [(size("body", stopped) + (weight * size("head", stopped) if weight else 0)).alias(f"dl_{i}") for i, (weight, stopped) in enumerate(kinds)]
+    rows = written(split.select("*", *lengths), "tokens")
+    sizes = rows.groupBy("query_id").agg(F.count("*").alias("n_docs"), *[F.avg(f"dl_{i}").alias(f"avg_{i}") for i in range(len(kinds))])
+    asked = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
     asked = written(asked.join(sizes, "query_id"), "asked")
-    every = rows.select("query_id", "url", "dl", F.explode("t").alias("term"))
-    hits = every.join(asked, ["query_id", "term"]).groupBy("query_id", "url", "dl", "term", "times", "avgdl", "n_docs").agg(F.count("*").alias("tf"))
-    return rows, sizes, hits
+    every = rows.repartition("query_id", "url").select("query_id", "url", *[f"dl_{i}" for i in range(len(kinds))], F.explode(F.concat(_flagged("body", 0), _flagged("head", 1)) if titled else _flagged("body", 0)).alias("e"))
+    every = every.select("*", "e.term", "e.title").drop("e")
+    fixed = ["query_id", "url", "term", "times", "n_docs", *[f"{x}_{i}" for i in range(len(kinds)) for x in ("dl", "avg")]]
+    hits = every.join(asked, ["query_id", "term"]).groupBy(*fixed).agg(F.sum(1 - F.col("title")).alias("tf_text"), F.sum("title").alias("tf_title"))
+    return hits, rows
+
+
+def _kinds(settings: list[Setting]) -> list[tuple[int, bool]]:
+    return sorted({(s.title_weight, s.stopped) for s in settings})
+
+
+def _flagged(column: str, title: int) -> Column:
+    return F.transform(column, lambda t: F.struct(t.alias("term"), F.lit(title).alias("title")))
 
 
-def _bm25_part(k1: Column | float, b: Column | float, idf: Column) -> Column:
-    norm = F.col("tf") + F.lit(k1) * (1 - F.lit(b) + F.lit(b) * F.col("dl") / F.col("avgdl"))
-    return F.col("times") * idf * F.col("tf") * (F.lit(k1) + 1) / norm
+def _part(s: Setting, kinds: list[tuple[int, bool]], idf: Column, stopwords: list[str]) -> Column:
+    """A term's part of a document's score; null where the setting does not see the term."""
+    i = kinds.index((s.title_weight, s.stopped))
+    tf = F.col("tf_text") + (s.title_weight * F.col("tf_title") if s.title_weight else 0)
+    norm = tf + F.lit(s.k1) * (1 - F.lit(s.b) + F.lit(s.b) * F.col(f"dl_{i}") / F.col(f"avg_{i}"))
+    seen = (tf > 0) & (~F.col("term").isin(stopwords) if s.stopped and stopwords else F.lit(True))
+    return F.when(seen, F.col("times") * idf * tf * (F.lit(s.k1) + 1) / norm)
 
 
 def bm25(docs: DataFrame, queries: DataFrame, *, k1: float = BM25_K1, b: float = BM25_B, idf: str = "uniform", stopwords: list[str] | None = None) -> DataFrame:
@@ -85,26 +117,41 @@ def bm25(docs: DataFrame, queries: DataFrame, *, k1: float = BM25_K1, b: float =
     idf `uniform` counts every term of the corpus 1; `okapi` is log((N - n + 0.5) / (n + 0.5)) with negative values
     replaced by a quarter of the corpus' mean, for which all terms of the corpus are counted.
     """
-    rows, sizes, hits = _term_counts(docs, queries, stopwords)
+    setting, stop = Setting(k1, b, 0, bool(stopwords)), list(stopwords or [])
+    hits, rows = _term_counts(docs, queries, [setting], stop)
     weight = F.lit(1.0)
     if idf == "okapi":
-        every = rows.select("query_id", F.explode(F.array_distinct("t")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("df")).join(sizes, "query_id")
+        every = rows.select("query_id", F.explode(F.array_distinct("body")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("df"))
+        every = every.filter(~F.col("term").isin(stop)) if stop else every
         raw = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        every = written(every.select("query_id", "term", raw.alias("raw")), "terms")
+        every = written(every.join(rows.groupBy("query_id").agg(F.count("*").alias("n_docs")), "query_id").select("query_id", "term", raw.alias("raw")), "terms")
         floor = every.groupBy("query_id").agg((0.25 * F.avg("raw")).alias("floor"))
         hits = hits.join(every, ["query_id", "term"]).join(floor, "query_id")
         weight = F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw"))
-    scored = hits.groupBy("query_id", "url").agg(F.sum(_bm25_part(k1, b, weight)).alias("score"))
+    scored = hits.groupBy("query_id", "url").agg(F.sum(_part(setting, _kinds([setting]), weight, stop)).alias("score"))
     return rows.select("query_id", "url").join(scored, ["query_id", "url"], "left").select("query_id", "url", F.round(F.coalesce("score", F.lit(0.0)), 6).alias("score"))
 
 
-def bm25_sweep(docs: DataFrame, queries: DataFrame, grid: list[tuple[float, float]], *, stopwords: list[str] | None = None) -> DataFrame:
-    """BM25 for every (k1, b): term counts are made once and meet the small grid, not the documents. `stopwords` and other
-    representations of the texts are further sweeps."""
-    *_, hits = _term_counts(docs, queries, stopwords)
-    configs = F.array(*[F.struct(F.lit(float(k)).alias("k1"), F.lit(float(b)).alias("b")) for k, b in grid])
-    rows = hits.withColumn("c", F.explode(configs)).select("*", "c.k1", "c.b")
-    return rows.groupBy("query_id", "url", "k1", "b").agg(F.round(F.sum(_bm25_part(F.col("k1"), F.col("b"), F.lit(1.0))), 6).alias("score"))
+def bm25_sweep(docs: DataFrame, queries: DataFrame, settings: list[Setting], *, stopwords: list[str] | None = None) -> DataFrame:
+    """(query_id, url, nth, score): BM25 under every setting (nth, from 0) for the documents (query_id, url, text, and title if a
+    setting counts it) in which it sees a term of their query. One pass counts terms in texts and titles apart; titles,
+    stop words, k1 and b are arithmetic over those counts."""
+    stop, kinds = list(stopwords or []), _kinds(settings)
+    hits, _ = _term_counts(docs, queries, settings, stop)
+    parts = [F.sum(_part(s, kinds, F.lit(1.0), stop)).alias(f"s{n}") for n, s in enumerate(settings)]
+    scored = hits.groupBy("query_id", "url").agg(*parts)
+    each = F.array(*[F.struct(F.lit(n).alias("nth"), F.round(f"s{n}", 6).alias("score")) for n in range(len(settings))])
+    return scored.select("query_id", "url", F.explode(each).alias("e")).select("query_id", "url", "e.nth", "e.score").filter("score is not null")
+
+
+def reranked(scored: DataFrame, vectors: DataFrame, queries: DataFrame, *, first: int = 50, n: int = 10) -> DataFrame:
+    """Two stages: each query's `first` best rows of `scored` (query_id, url, score) by score, then the n best of them by the
+    cosine of their vector (query_id, url, v) with the query's (query_id, q), as (query_id, url, score, rank). Ties go by
+    url; rows without a vector come last, with a null score. Vectors of other rows are not compared."""
+    best = top_n(scored, first, F.desc("score"), F.col("url")).select("query_id", "url")
+    rows = best.join(vectors, ["query_id", "url"], "left").join(queries, "query_id", "left")
+    again = rows.select("query_id", "url", F.round(cosine(F.col("v"), F.col("q")), 5).alias("score"))
+    return top_n(again, n, F.col("score").desc_nulls_last(), F.col("url"))
 
 
 def engine_inverse(scored: DataFrame, pool: DataFrame) -> DataFrame:

@@ -65,8 +65,9 @@ def pool_docs(s: SparkSession, d: str) -> DataFrame:
 
 
 def query_texts(pool: DataFrame) -> DataFrame:
-    """A query's text is the whole text of its first pool row."""
-    return pool.groupBy("query_id").agg(F.min_by("text", "seq").alias("query"))
+    """A query's text is the whole text of its first pool row; only keys are aggregated."""
+    first = pool.groupBy("query_id").agg(F.min("seq").alias("seq"))
+    return pool.join(first, ["query_id", "seq"]).select("query_id", F.col("text").alias("query"))
 
 
 def _pool_and_queries(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -103,17 +104,22 @@ def r08(s: SparkSession, d: str) -> DataFrame:
 
 
 def r07(s: SparkSession, d: str) -> DataFrame:
-    """16 of (b, stopwords, representation) and 4 of k1."""
+    """16 of (b, stopwords, representation) and 4 of k1; the url stands for the title, three times."""
     pool, asked = _pool_and_queries(s, d)
-    titled = pool.withColumn("text", ranking.representation(F.col("url"), F.col("text"), 3))
-    wide = [(1.2, b) for b in SWEEP_B]
-    out = []
-    for name, docs in (("text", pool), ("titled", titled)):
-        for stop in (False, True):
-            grid = wide + [(k, 0.75) for k in SWEEP_K1] * (name == "text" and not stop)
-            found = ranking.bm25_sweep(docs, asked, grid, stopwords=STOPWORDS if stop else None)
-            out.append(found.withColumn("representation", F.lit(name)).withColumn("stopwords", F.lit(stop)))
-    return reduce(DataFrame.unionByName, out)
+    settings = [ranking.Setting(1.2, b, weight, stop) for weight in (0, 3) for stop in (False, True) for b in SWEEP_B] + [ranking.Setting(k, 0.75) for k in SWEEP_K1]
+    found = ranking.bm25_sweep(pool.withColumn("title", F.col("url")), asked, settings, stopwords=STOPWORDS)
+    named = F.array(*[F.struct(F.lit(float(x.k1)).alias("k1"), F.lit(float(x.b)).alias("b"), F.lit("titled" if x.title_weight else "text").alias("representation"), F.lit(x.stopped).alias("stopwords")) for x in settings])
+    return found.withColumn("c", F.get(named, "nth")).select("query_id", "url", "c.*", "score")
+
+
+def r09_two_stages(s: SparkSession, d: str) -> DataFrame:
+    """The best 50 of each pool by BM25, then 10 by cosine; a bucket's vector is dealt to it over the whole table."""
+    vectors = load(s, d, "embeddings")
+    own = F.expr("seq div 100000") % vectors.agg(F.count("*")).first()[0]
+    pool, asked = _pool_and_queries(s, d)
+    dealt = pool.withColumn("vec_id", own).join(vectors.select("vec_id", F.col("embedding").alias("v")), "vec_id").select("query_id", "url", "seq", "v")
+    first = dealt.groupBy("query_id").agg(F.min(F.struct("seq", "v")).alias("m")).select("query_id", F.col("m.v").alias("q"))
+    return ranking.reranked(ranking.bm25(pool, asked), dealt.select("query_id", "url", "v"), first).select("query_id", "url", "score", "rank")
 
 
 def j16(s: SparkSession, d: str) -> DataFrame:
@@ -177,6 +183,7 @@ QUERIES = {
     "r07_bm25_sweep": r07,
     "r08_bm25_capped": r08,
     "r09_cosine": r09,
+    "r09_two_stages": r09_two_stages,
     "r11_min_max": lambda s, d: ranking.min_max(_bm25(s, d)).select("query_id", "url", F.round("scaled", 6).alias("scaled")),
     "r12_hybrid": lambda s, d: ranking.hybrid(_rrf_scores(s, d), _bm25(s, d)),
     "r13_sparse_dot": r13,
@@ -265,6 +272,10 @@ SQL = {
     "r09_cosine": """SELECT label, query_vec, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS rank FROM (
   SELECT e.label, q.vec_id AS query_vec, e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 5) AS score FROM embeddings e JOIN (
     SELECT * FROM embeddings SEMI JOIN (SELECT min(vec_id) AS vec_id FROM embeddings GROUP BY label) m USING (vec_id)) q USING (label))) WHERE rank <= 10""",
+    "r09_two_stages": sql("""SELECT query_id, url, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC NULLS LAST, url) AS rank FROM (
+  SELECT f.query_id, f.url, round(list_cosine_similarity(d.v::DOUBLE[], q.q::DOUBLE[]), 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, url) AS n FROM bm25) f
+  JOIN dealt d USING (query_id, url) JOIN (SELECT query_id, arg_min(v, seq) AS q FROM dealt GROUP BY query_id) q USING (query_id) WHERE n <= 50) x QUALIFY rank <= 10""",
+        dealt="SELECT b.query_id, b.url, b.seq, e.embedding AS v FROM buckets b JOIN embeddings e ON e.vec_id = b.seq // 100000 % (SELECT count(*) FROM embeddings)"),
     "r11_min_max": sql(f"SELECT query_id, url, round({_SCALE}, 6) AS scaled FROM bm25 WINDOW w AS (PARTITION BY query_id)"),
     "r12_hybrid": sql(f"""SELECT query_id, url, round(0.5 * coalesce(x, 0) + 0.5 * coalesce(y, 0), 6) AS score FROM (SELECT query_id, url, {_SCALE} AS x FROM rrf_listed WINDOW w AS (PARTITION BY query_id)) a
   FULL JOIN (SELECT query_id, url, {_SCALE} AS y FROM bm25 WINDOW w AS (PARTITION BY query_id)) b USING (query_id, url)"""),
