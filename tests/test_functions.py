@@ -144,3 +144,25 @@ def test_exclusion_beats_existence_and_upserts_keep_places(spark):
 def test_min_max_of_equal_scores(spark):
     frame = spark.createDataFrame([(1, "a", 2.0), (1, "b", 2.0), (2, "a", 0.0), (2, "b", 4.0)], "query_id long, url string, score double")
     assert sorted(r.scaled for r in ranking.min_max(frame).collect()) == [0.0, 0.5, 0.5, 1.0]
+
+
+@pytest.mark.parametrize("far", [1e15, 1e300, -1e308])
+def test_quantiles_beside_a_far_value(spark, monkeypatch, far):
+    """One value far out leaves all others in one part of the range: rounds go on until every range is small."""
+    monkeypatch.setattr(quantiles, "INSIDE", 64)
+    values = {"a": [float(i % 5000) + i / 7919 for i in range(20_000)] + [far], "b": [3.0] * 50 + [far], "c": [far]}
+    rows = spark.createDataFrame([(g, v) for g, vs in values.items() for v in vs], "g string, v double").repartition(4)
+    found = {r.g: (r.p1, r.p50, r.p99) for r in quantiles.nearest_rank(rows, ["g"], F.col("v"), [1, 50, 99]).collect()}
+    assert found == {g: tuple(sorted(vs)[min(len(vs) * p // 100, len(vs) - 1)] for p in (1, 50, 99)) for g, vs in values.items()}
+    counts = rows.groupBy("g", "v").agg(F.count("*").alias("c"))
+    held = quantiles.narrowed(counts, ["g"], {"x": F.floor(F.col("n") / 2) + 1, "y": F.lit(1), "z": F.col("n")})
+    assert held.count() == 9 and held.filter("size > 64").count() == 0
+
+
+def test_base64_redirects_of_any_length_and_with_bad_bytes(spark):
+    import base64
+
+    wrap = lambda b: "https://b.example/ck/a?x=1&u=a1" + base64.urlsafe_b64encode(b).decode().rstrip("=")
+    long = "https://x.example/" + "é" * 150_000
+    cases = [wrap(long.encode()), wrap(b"https://x/\xff\xfey\xc3"), wrap(b"a"), wrap(b"ab"), wrap(b"abc"), "https://b.example/ck/a?u=a1*", "https://b.example/ck/a?u=a1", "https://other/?u=a1YWJj"]
+    assert column(spark, urls.unwrapped_base64, cases) == [long, "https://x/y", "a", "ab", "abc", *cases[5:]]

@@ -232,12 +232,12 @@ def unwrapped(url: Column, host_pattern: str, parameter: str) -> Column:
 
 
 def unwrapped_base64(url: Column) -> Column:
-    """The target in a tracking url's `u`: two characters, then base64url; the url itself where that fails."""
+    """The target in a tracking url's `u`: two characters, then base64url of any length; bytes that are no UTF-8 are left out (and with
+    them U+FFFD, which stands for them). The url itself where there is no such parameter or it is no base64."""
     raw = F.regexp_extract(url, r"[?&]u=([^&#]*)", 1)
-    code = F.translate(F.substring(raw, 3, 100_000), "-_", "+/")
-    padded = F.rpad(code, (F.ceil(F.length(code) / 4) * 4).cast("int"), F.lit("="))
-    found = F.try_to_binary(padded, F.lit("base64"))
-    text = F.try_validate_utf8(found.cast("string"))
+    code = F.translate(F.substr(raw, F.lit(3)), "-_", "+/")
+    padded = F.concat(code, F.repeat(F.lit("="), ((4 - F.length(code) % 4) % 4).cast("int")))
+    text = F.translate(F.make_valid_utf8(F.try_to_binary(padded, F.lit("base64")).cast("string")), "\ufffd", "")
     return F.when(url.contains("/ck/a?") & (F.length(raw) > 2), F.coalesce(text, url)).otherwise(url)
 
 

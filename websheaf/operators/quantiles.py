@@ -1,7 +1,8 @@
 """The three quantile definitions that reports use, each under its own name.
 
-`inclusive` is an aggregate. The others pick values by rank with `at_ranks`: equal values are counted, the counts' range is cut
-into BINS parts, and only the parts that hold a wanted rank are put in order, so no group is ever one array or one sort.
+`inclusive` is an aggregate. The others pick values by rank with `at_ranks`: equal values are counted, and the range that holds a
+wanted rank is cut into BINS parts again and again, until it holds few values; only these are put in order. So no group is ever
+one array or one sort, however its values lie.
 """
 
 from __future__ import annotations
@@ -9,8 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Parts of a group's value range.
-BINS = 1024
+from websheaf.operators.shared import dropped, written
+
+#: Parts into which a range of values is cut, and different values that are put in order at once.
+BINS, INSIDE = 1024, 4096
 
 
 def inclusive(value: Column, p: float) -> Column:
@@ -21,21 +24,40 @@ def inclusive(value: Column, p: float) -> Column:
 def at_ranks(rows: DataFrame, by: list[str], value: Column, ranks: dict[str, Column]) -> DataFrame:
     """(*by, n, and a column for each of `ranks`): the values of those ranks (from 1, as expressions of the group's number
     `n` of values that are not null) in ascending order. Groups without a value have no row."""
-    counts = rows.select(*by, value.alias("v")).filter("v is not null").groupBy(*by, "v").agg(F.count("*").alias("c"))
-    ends = counts.groupBy(*by).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.sum("c").alias("n"))
-    wide = F.greatest(F.col("high").cast("double") - F.col("low"), F.lit(1e-300))
-    binned = counts.join(ends, by).withColumn("bin", F.least(F.floor((F.col("v").cast("double") - F.col("low")) / wide * BINS), F.lit(BINS - 1)))
-    sums = binned.groupBy(*by, "bin").agg(F.sum("c").alias("own"))  # at most BINS rows a group
-    upto = F.sum("own").over(Window.partitionBy(*by).orderBy("bin"))
-    sums = sums.withColumn("base", upto - F.col("own")).withColumn("top", upto)
-    asked = ends.select(*by, "n", F.explode(F.array(*[F.struct(F.lit(k).alias("name"), r.cast("long").alias("rank")) for k, r in ranks.items()])).alias("a")).select(*by, "n", "a.name", "a.rank")
-    held = asked.join(sums, by).filter("rank > base and rank <= top").select(*by, "n", "name", "rank", "bin", "base")
-    inside = binned.drop("n").join(held, [*by, "bin"])
+    counts = written(rows.select(*by, value.alias("v")).filter("v is not null").groupBy(*by, "v").agg(F.count("*").alias("c")), "counts")
+    held = narrowed(counts, by, ranks)
+    inside = counts.join(held, by).filter("v between low and high")
     reach = F.col("base") + F.sum("c").over(Window.partitionBy(*by, "name").orderBy("v"))
     found = inside.withColumn("reach", reach).filter("reach >= rank").groupBy(*by, "n", "name").agg(F.min("v").alias("v"))
     return found.groupBy(*by, "n").agg(*[F.max(F.when(F.col("name") == k, F.col("v"))).alias(k) for k in ranks])
 
 
+def narrowed(counts: DataFrame, by: list[str], ranks: dict[str, Column]) -> DataFrame:
+    """For every group of `counts` (*by, v, c) and rank: (*by, n, name, rank, base, low, high, size), a range of values that holds
+    the rank, how many rows lie before it, and its different values, at most INSIDE of them.
+
+    A round cuts the ranges that are still larger into BINS equal parts and keeps the part with the rank, from its least
+    to its greatest value. One far value costs a round, and doubles have ranges of at most some two hundred rounds' halvings,
+    of which a round makes ten; ranges, not values, go from round to round.
+    """
+    ends = counts.groupBy(*by).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.sum("c").alias("n"), F.count("*").alias("size"))
+    asked = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), r.cast("long").alias("rank")) for k, r in ranks.items()])).alias("a")
+    ranges = written(ends.select("*", asked).select(*by, "n", "a.name", "a.rank", F.lit(0).cast("long").alias("base"), "low", "high", "size"), "ranges")
+    while not (large := ranges.filter(F.col("size") > INSIDE)).isEmpty():
+        low, high = F.col("low").cast("double"), F.col("high").cast("double")
+        # halves before the difference, as the ends may be as far apart as doubles go
+        part = F.floor((F.col("v").cast("double") / 2 - low / 2) / F.greatest(high / 2 - low / 2, F.lit(1e-300)) * BINS)
+        cut = counts.join(large, by).filter("v between low and high").withColumn("part", F.least(part, F.lit(BINS - 1)))
+        fixed = [*by, "n", "name", "rank", "base"]
+        parts = cut.groupBy(*fixed, "part").agg(F.sum("c").alias("own"), F.min("v").alias("low"), F.max("v").alias("high"), F.count("*").alias("size"))
+        upto = F.sum("own").over(Window.partitionBy(*by, "name").orderBy("part"))  # at most BINS rows
+        parts = parts.withColumn("upto", F.col("base") + upto).filter("rank > upto - own and rank <= upto")
+        smaller = parts.select(*by, "n", "name", "rank", (F.col("upto") - F.col("own")).alias("base"), "low", "high", "size")
+        older, ranges = ranges, written(ranges.filter(F.col("size") <= INSIDE).unionByName(smaller), "ranges")
+        dropped(older)
+    return ranges
+
+
 def nearest_rank(rows: DataFrame, by: list[str], value: Column, percents: list[int]) -> DataFrame:
     """(*by, p50, ...): sorted[min(int(n * p / 100), n - 1)] with p in percent."""
     n = F.col("n")
