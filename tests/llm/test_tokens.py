@@ -160,3 +160,23 @@ def test_round_trip_digests(spark, library):
         assert r.ids_sha256 in [hashlib.sha256(np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes()).hexdigest() for t in texts_of[r.doc_id]]
     ids = bpe.encoded(docs, PATH)
     assert bpe.decoded(ids, PATH).filter("text is null").count() == 0
+
+
+def test_round_trip_digests_hold_one_piece_at_a_time(spark):
+    """Long texts in one batch: peak memory stays far under what their ids would take."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from websheaf.llm import bpe
+
+    text = "The quick brown fox é jumps over 12345 lazy dogs. " * 20_000
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8), pa.int64()), pa.array([text] * 7 + [None])], ["doc_id", "text"])
+    list(bpe._round_trips(bpe.default_path(), iter([batch.slice(7)])))  # the vocabulary is loaded
+    tracemalloc.start()
+    found = next(iter(bpe._round_trips(bpe.default_path(), iter([batch]))))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    ids = [x for part in bpe._encoded(bpe.default_path(), iter([batch])) for x in part["ids"]]
+    assert found["n_tokens"].to_pylist() == [len(x) for x in ids] and found["n_tokens"][7].as_py() == 0
+    assert peak < 6 * len(text) and peak < 40 * len(ids[0])

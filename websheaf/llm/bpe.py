@@ -16,10 +16,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from websheaf.llm.storage import table
+from websheaf.llm.storage import table, text_slices
 
 #: Characters that a transducer takes at a time; a run of this length is passed on before its end is known.
 PIECE, LONG_RUN, RUN_TAIL = 1 << 15, 1 << 12, 16
+#: Characters of texts whose ids are held at once where ids are the result.
+SLICE = 4_000_000
 #: Words whose ids are remembered, in each of two generations.
 CACHED_WORDS = 1 << 18
 _NEVER = 1 << 60
@@ -245,12 +247,15 @@ class Encoder:
         self._reset()
         return out
 
-    def encode(self, text: str) -> list[int]:
+    def emissions(self, text: str) -> Iterator[list[int]]:
+        """The ids of a text, piece by piece as they become certain; what was fed before is forgotten."""
         self._reset()
-        out: list[int] = []
         for i in range(0, len(text), PIECE):
-            out += self.feed(text[i : i + PIECE])
-        return out + self.finish()
+            yield self.feed(text[i : i + PIECE])
+        yield self.finish()
+
+    def encode(self, text: str) -> list[int]:
+        return [i for ids in self.emissions(text) for i in ids]
 
 
 @lru_cache(maxsize=2)
@@ -280,12 +285,12 @@ Batches = Iterator[pa.RecordBatch]
 def _encoded(path: str, batches: Batches) -> Batches:
     encoder = process_encoder(path)
     for batch in batches:
-        for i in range(0, len(batch), 512):
-            part = batch.slice(i, 512)
-            ids = [np.array(encoder.encode(t or ""), np.int32) for t in part["text"].to_pylist()]
+        texts = batch["text"].to_pylist()
+        for a, b in text_slices(texts, SLICE):
+            ids = [np.concatenate([np.array(x, np.int32) for x in encoder.emissions(t or "")]) for t in texts[a:b]]
             ends = np.cumsum([0, *map(len, ids)], dtype=np.int64)
             lists = pa.LargeListArray.from_arrays(ends, np.concatenate(ids) if ids else np.zeros(0, np.int32))
-            yield pa.RecordBatch.from_arrays([part["doc_id"].cast(pa.int64()), lists.cast(pa.list_(pa.int32()))], ["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(a, b - a).cast(pa.int64()), lists.cast(pa.list_(pa.int32()))], ["doc_id", "ids"])
 
 
 def _decoded(path: str, batches: Batches) -> Batches:
@@ -299,16 +304,21 @@ def _decoded(path: str, batches: Batches) -> Batches:
         yield batch.append_column("text", pa.array(texts, pa.string()))
 
 
-def _digests(batches: Batches) -> Batches:
+def _round_trips(path: str, batches: Batches) -> Batches:
+    """Digests of ids and decoded texts, made as the encoder emits: one text's piece and its ids are held at a time."""
+    encoder, decoder = process_encoder(path), Decoder(vocabulary(path))
     for batch in batches:
-        ids = [x.values.to_numpy().astype("<u4").tobytes() for x in batch["ids"]]
-        columns = {
-            "doc_id": batch["doc_id"],
-            "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()),
-            "ids_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
-            "decoded_sha256": pa.array([hashlib.sha256(x.as_py().encode()).hexdigest() for x in batch["text"]], pa.string()),
-        }
-        yield pa.RecordBatch.from_pydict(columns)
+        found = []
+        for text in batch["text"]:
+            n, of_ids, of_text = 0, hashlib.sha256(), hashlib.sha256()
+            for ids in encoder.emissions(text.as_py() or ""):
+                n += len(ids)
+                of_ids.update(np.array(ids, "<u4").tobytes())
+                of_text.update(decoder.feed(ids).encode())
+            of_text.update(decoder.finish().encode())
+            found.append((n, of_ids.hexdigest(), of_text.hexdigest()))
+        columns = [pa.array(c, t) for c, t in zip(zip(*found), (pa.int64(), pa.string(), pa.string()))] if found else [pa.array([], t) for t in (pa.int64(), pa.string(), pa.string())]
+        yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), *columns], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
 def _source(docs: DataFrame) -> DataFrame:
@@ -326,9 +336,10 @@ def decoded(tokens: DataFrame, path: str) -> DataFrame:
 
 
 def round_trip_digests(docs: DataFrame, path: str) -> DataFrame:
-    """Digests of the ids of every row and of the text that they decode to, in one pass over the documents."""
+    """Digests of the ids of every row and of the text that they decode to, in one pass over the documents; a task's memory is
+    its Arrow batch and one piece of a text, however long texts are."""
     fields = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return _source(docs).mapInArrow(lambda b: _digests(_decoded(path, _encoded(path, b))), fields)
+    return _source(docs).mapInArrow(lambda b: _round_trips(path, b), fields)
 
 
 def default_path() -> str:
