@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from websheaf.functions import markdown
+from websheaf.functions import dates, markdown
 from websheaf.plans.fixtures import load
 
 _CONSENT = [markdown.Selector.of(s) for s in markdown.CONSENT]
@@ -25,7 +25,27 @@ def _without_consent(s: SparkSession, d: str) -> DataFrame:
     return load(s, d, "pages").select("page_id", value.alias("name"), markdown.markdown(html).alias("m")).select("page_id", "name", "m.raw", "m.removed")
 
 
-QUERIES = {"c03_page_markdown": _markdown, "c04_without_consent": _without_consent}
+def _day(n: int) -> F.Column:
+    """A day that depends on the page, `n` tells several of them apart."""
+    return F.date_add(F.lit("2003-01-01").cast("date"), ((F.col("page_id") * 37 + n * 1009) % 7000).cast("int"))
+
+
+def _publication_days(s: SparkSession, d: str) -> DataFrame:
+    """Whole pages with days of several sources: which ones goes by the page's number, in bits; a later change is always named."""
+    iso = [_day(n).cast("string") for n in range(5)]
+    has = lambda bit: F.col("page_id").bitwiseAND(1 << bit) > 0
+    head = F.concat(
+        F.lit('<meta property="article:modified_time" content="'), F.date_add(_day(0), 30).cast("string"), F.lit('T00:00:00Z">'),
+        F.when(has(0), F.concat(F.lit('<script type="application/ld+json">{"@type": "NewsArticle", "datePublished": "'), iso[0], F.lit('T01:02:03Z"}</script>'))).otherwise(""),
+        F.when(has(1), F.concat(F.lit("<meta content='"), iso[1], F.lit("' name='pubdate'>"))).otherwise(""), F.lit("</head>"),
+    )
+    body = F.concat(F.lit("<article>"), F.when(has(2), F.concat(F.lit("<p>Published on "), F.date_format(_day(2), "d MMMM yyyy"), F.lit("</p>"))).otherwise(""), F.when(has(3), F.concat(F.lit('<time datetime="'), iso[3], F.lit('">then</time>'))).otherwise(""))
+    url = F.when(has(4), F.concat(F.lit("https://n.example/"), F.date_format(_day(4), "yyyy/MM/dd"), F.lit("/story"))).otherwise(F.lit("https://n.example/story"))
+    html = F.replace(F.replace("html", F.lit("</head>"), head), F.lit("<article>"), body)
+    return load(s, d, "pages").select("page_id", dates.publication_day(html, url, F.lit("2024-01-01").cast("date")).alias("p")).select("page_id", F.col("p.day").cast("string").alias("day"), "p.source")
+
+
+QUERIES = {"c03_page_markdown": _markdown, "c04_without_consent": _without_consent, "c05_publication_day": _publication_days}
 
 
 def _decoded(x: str) -> str:
@@ -60,6 +80,10 @@ _BLOCKS = rf"""WITH h AS (
 )"""
 
 SQL = {
+    "c05_publication_day": """SELECT page_id, CASE source WHEN 'json-ld' THEN d[1] WHEN 'meta' THEN d[2] WHEN 'url' THEN d[5] WHEN 'text published' THEN d[3] WHEN 'time' THEN d[4] ELSE d[1] + INTERVAL 30 DAY END::DATE::VARCHAR AS day, source FROM (
+  SELECT page_id, list_transform(range(5), lambda n: DATE '2003-01-01' + ((page_id * 37 + n * 1009) % 7000)::INTEGER) AS d,
+    CASE WHEN page_id & 1 > 0 THEN 'json-ld' WHEN page_id & 2 > 0 THEN 'meta' WHEN page_id & 16 > 0 THEN 'url' WHEN page_id & 4 > 0 THEN 'text published' WHEN page_id & 8 > 0 THEN 'time' ELSE 'modified' END AS source
+  FROM pages WHERE html IS NOT NULL) x""",
     "c03_page_markdown": _BLOCKS + "\nSELECT page_id, raw, fit, 0 AS removed FROM r UNION ALL SELECT page_id, '', '', 0 FROM pages WHERE html IS NULL",
     "c04_without_consent": _BLOCKS + f"\nSELECT page_id, ({[c.value for c in _CONSENT]})[(page_id % {len(_CONSENT)} + 1)::INTEGER] AS name, raw, 1 AS removed FROM r",
 }
