@@ -102,3 +102,35 @@ def test_recent_files(spark, tmp_path):
     put(tmp_path, "new.txt", "x")
     os.utime(put(tmp_path, "old.txt", "x"), (1_000_000, 1_000_000))
     assert [r.path.rsplit("/", 1)[1] for r in readers.recent_files(spark, str(tmp_path), F.current_timestamp()).collect()] == ["new.txt"]
+
+
+def test_appending_never_fails_the_job(spark, tmp_path, caplog):
+    rows = spark.createDataFrame([(1, None, "é"), (2, "x", None)], "a int, b string, c string").withColumn("d", F.lit(None))
+    path = str(tmp_path / "log")
+    assert writers.append_log(rows, path) and writers.append_log(rows.limit(1), path)
+    lines = sorted(p for f in (tmp_path / "log").glob("*.json") for p in f.read_text(encoding="utf-8").splitlines())
+    assert lines == ['{"a":1,"b":null,"c":"é","d":null}'] * 2 + ['{"a":2,"b":"x","c":null,"d":null}']
+    (tmp_path / "file").write_text("x")
+    with caplog.at_level("WARNING"):
+        assert not writers.append_log(rows, str(tmp_path / "file" / "log"))
+        assert not writers.append_log(rows.select(F.raise_error(F.lit("row")).alias("x")), path)
+    assert len(caplog.records) == 2
+    assert spark.read.json(path).count() == 3
+
+
+def test_lines_are_sorted_out(spark, tmp_path):
+    (tmp_path / "log.jsonl").write_text('{"a": 1, "b": "x"}\n\n  \n{"a": 2}\n{"a": "two"}\n{"a": 3\n[1]\nplain\n{"a": 4, "z": 0}\n')
+    good, bad = readers.sorted_out(spark, str(tmp_path / "log.jsonl"), "a int, b string")
+    assert sorted((r.a, r.b) for r in good.collect()) == [(1, "x"), (2, None), (4, None)]
+    assert sorted((r.line, r.reason) for r in bad.collect()) == [("[1]", "syntax"), ("plain", "syntax"), ('{"a": "two"}', "type"), ('{"a": 3', "syntax")]
+    assert {r.file.rsplit("/", 1)[1] for r in bad.collect()} == {"log.jsonl"}
+
+
+def test_a_source_that_fails_stops_no_other(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("u1\nu2\n")
+    (tmp_path / "b.txt").write_text("u3\n")
+    read = lambda s, p: readers.url_list(s, p).select(F.when(F.col("url") == "u3", F.raise_error(F.lit("bad row"))).otherwise(F.col("url")).alias("url"))
+    rows, ledger = readers.loaded(spark, {n: str(tmp_path / f"{n}.txt") for n in "abc"}, read)
+    assert sorted((r.source, r.url) for r in rows.collect()) == [("a", "u1"), ("a", "u2")]
+    assert [(r.source, r.ok, r["count"], bool(r.error)) for r in ledger.orderBy("source").collect()] == [("a", True, 2, False), ("b", False, 0, True), ("c", False, 0, True)]
+    assert readers.loaded(spark, {"c": str(tmp_path / "c.txt")}, read)[0] is None

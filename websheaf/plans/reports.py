@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from websheaf.functions import cleaners, pages, text, urls
 from websheaf.operators import crawl, evaluate, fusion, ingest, ranking
+from websheaf.operators.shared import new_path
 from websheaf.plans import fusion as fused
 from websheaf.plans.fixtures import DERIVED, entries, load, manifest, results, runs, sql
-from websheaf.sources import readers
+from websheaf.sources import readers, writers
 
 DERIVED |= {
     "scored": "SELECT run_id AS config, CASE WHEN status = 'ok' THEN 'ok' ELSE 'failed' END AS status, CASE WHEN status = 'ok' THEN (seq % 101) / 100.0::DOUBLE END AS f1, (seq % 53) / 53.0::DOUBLE AS recall, (seq % 47) / 47.0::DOUBLE AS \"precision\", char_count - 30000 AS byte_diff, (seq % 5)::BIGINT AS shape FROM manifest",
@@ -40,6 +41,30 @@ def _sitemaps(s: SparkSession, d: str) -> DataFrame:
     return readers.sitemap_urls(xml).select("url", F.date_format("lastmod", "yyyy-MM-dd HH").alias("hour"))
 
 
+def _log_with_rejects(s: SparkSession, d: str) -> DataFrame:
+    """The events as a log of JSON lines, of which every 97th is broken off, every 89th has a value of another type; read back by day."""
+    ev = load(s, d, "events").select(F.col("event_id").cast("long").alias("id"), F.col("ts").cast("timestamp").cast("string").alias("ts"), F.when(F.col("event_id") % 5 > 0, F.col("event_type")).alias("kind"), F.lit("é\"x").alias("note"))
+    path, whole = new_path(s, "log"), (F.col("id") % 97 > 0) & (F.col("id") % 89 > 0)
+    if not writers.append_log(ev.filter(whole), path):
+        raise OSError("the log was not written")
+    line = F.to_json(F.struct("id", "ts", "kind", "note"))
+    broken = F.when(F.col("id") % 97 == 0, F.substr(line, F.lit(1), F.length(line) - 4)).otherwise(F.concat(F.lit('{"id": "none", "ts": "'), "ts", F.lit('"}')))
+    ev.filter(~whole).select(F.concat(broken, F.lit("\n  ")).alias("value")).write.mode("append").text(path)
+    good, bad = readers.sorted_out(s, path, "id long, ts string, kind string, note string")
+    day = F.left("ts", F.lit(10)).alias("day")
+    counts = good.groupBy(day).agg(F.count("*").alias("n"), F.count("kind").alias("kinds"), F.sum("id").alias("ids"), F.count(F.when(F.col("note") == "é\"x", 1)).alias("notes"))
+    thrown = bad.withColumn("ts", F.regexp_extract("line", r'"ts": ?"([^"]*)', 1)).groupBy(day).agg(F.count(F.when(F.col("reason") == "syntax", 1)).alias("syntax"), F.count(F.when(F.col("reason") == "type", 1)).alias("type"))
+    return counts.join(thrown, "day", "full_outer").na.fill(0)
+
+
+def _sitemap_index(s: SparkSession, d: str) -> DataFrame:
+    """The days of all entries as sub-sitemaps, in twenty indexes; every third is of another kind."""
+    name = F.concat(F.when(F.col("seq") % 3 == 0, "taxonomy").otherwise("post_type_post"), F.lit("_"), F.col("seq").cast("string"))
+    entry = F.concat(F.lit("<sitemap>\n <loc> https://n.example/"), name, F.lit(".xml </loc><lastmod>"), "publication_date", F.lit("</lastmod></sitemap>"))
+    xml = entries(s, d).groupBy((F.col("seq") % 20).alias("k")).agg(F.array_join(F.collect_list(entry), "\n").alias("xml"))
+    return readers.sitemap_index(xml, "post_type_post")
+
+
 def _feeds(s: SparkSession, d: str) -> DataFrame:
     e = entries(s, d)
     item = F.struct("url", F.concat(F.lit("T"), F.col("seq").cast("string")).alias("title"), F.col("publication_date").alias("lastmod"))
@@ -121,6 +146,8 @@ def _cleaned(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "s01_s02_log_with_rejects": _log_with_rejects,
+    "s06_sitemap_index": _sitemap_index,
     "a14_shares": lambda s, d: fusion.shares(fusion.slot_counts(fused._buckets(s, d), fused.CLASSES), runs(s, d)),
     "a20_variant_domains": lambda s, d: evaluate.variant_domains(_domains(s, d).withColumn("variant", F.when(F.col("position") > 5, "free").when(F.col("position") > 2, "pdf").otherwise("base")), "base"),
     "a23_downloads": lambda s, d: evaluate.download_counts(_downloads(s, d), "g"),
@@ -157,6 +184,9 @@ _DOMAIN = r"regexp_replace(lower(regexp_extract(url, '^https?://([^/?#]*)', 1)),
 _FLAT = r"regexp_replace(text, '[\s#|\[\]!*_`()]+', ' ', 'g')"
 
 SQL = {
+    "s01_s02_log_with_rejects": """SELECT left(ts::TIMESTAMP::VARCHAR, 10) AS day, count(*) FILTER (good) AS n, count(event_type) FILTER (good AND event_id % 5 > 0) AS kinds, (sum(event_id) FILTER (good))::BIGINT AS ids, count(*) FILTER (good) AS notes,
+  count(*) FILTER (event_id % 97 = 0) AS syntax, count(*) FILTER (event_id % 97 > 0 AND event_id % 89 = 0) AS type FROM (SELECT *, event_id % 97 > 0 AND event_id % 89 > 0 AS good FROM events) e GROUP BY 1""",
+    "s06_sitemap_index": sql("SELECT 'https://n.example/post_type_post_' || seq || '.xml' AS url FROM entries WHERE seq % 3 > 0"),
     "w12_hash_sample": sql("SELECT seq FROM entries ORDER BY md5('0:' || seq), seq LIMIT 100"),
     "a14_shares": sql("""SELECT engine, round(actual, 4) AS actual, round(uniform, 4) AS uniform, round(adjusted, 4) AS adjusted, round(actual - uniform, 4) AS vs_uniform, round(actual - adjusted, 4) AS vs_adjusted FROM (
   SELECT engine, 100 * total / sum(total) OVER () AS actual, 100.0::DOUBLE / count(*) OVER () AS uniform, 100 * ok / sum(ok) OVER () AS adjusted FROM (SELECT engine, count(*) AS total FROM by_engine GROUP BY engine) a LEFT JOIN (SELECT engine, count(*) FILTER (status = 'OK') AS ok FROM runs GROUP BY engine) b USING (engine)) x"""),

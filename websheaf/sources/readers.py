@@ -24,6 +24,36 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
 
 
+def sorted_out(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """JSON lines as rows of `schema`, and those that are none: (file, line, reason), reason being `syntax` for a text that is no JSON object
+    and `type` for one whose values do not fit. Blank lines are neither. Files that cannot be read to their end give the rows
+    before that (spark.sql.files.ignoreCorruptFiles decides)."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file")).filter(F.trim("value") != "")
+    parsed = lines.withColumn("row", F.from_json("value", f"{schema}, `_bad` string", {"columnNameOfCorruptRecord": "_bad"}))
+    bad = F.col("row").isNull() | F.col("row._bad").isNotNull()
+    is_object = F.coalesce(F.schema_of_variant(F.try_parse_json("value")).startswith("OBJECT"), F.lit(False))
+    rejected = parsed.filter(bad).select("file", F.col("value").alias("line"), F.when(is_object, "type").otherwise("syntax").alias("reason"))
+    return parsed.filter(~bad).select("row.*").drop("_bad"), rejected
+
+
+def loaded(spark: SparkSession, paths: dict[str, str], read) -> tuple[DataFrame | None, DataFrame]:
+    """The rows of several sources under their name in `source`, and a ledger (source, ok, count, error) with a row each.
+
+    `read` makes of a session and a path the source's rows, all with the same columns. A source that is missing or cannot be
+    read, or whose rows fail while they are counted, is a line of the ledger and stops no other.
+    """
+    rows, ledger = None, []
+    for source, path in paths.items():
+        try:
+            own = read(spark, path).withColumn("source", F.lit(source))
+            count, _ = own.agg(F.count("*"), F.bit_xor(F.xxhash64(F.to_json(F.struct(*own.columns))))).first()  # every value is made
+            ledger.append((source, True, count, None))
+            rows = own if rows is None else rows.unionByName(own)
+        except Exception as error:  # noqa: BLE001  whatever it is, it is the source's
+            ledger.append((source, False, 0, str(error).split("\n")[0][:500]))
+    return rows, spark.createDataFrame(ledger, "source string, ok boolean, count long, error string")
+
+
 def query_log(spark: SparkSession, path: str) -> DataFrame:
     return json_lines(spark, path, QUERY_LOG).withColumn("record_type", F.coalesce("record_type", F.lit("workflow_summary")))
 

@@ -2,14 +2,29 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from websheaf.functions.pages import crawl_body
 
+logger = logging.getLogger(__name__)
+
+
+def append_log(rows: DataFrame, path: str) -> bool:
+    """Appends rows as JSON lines, nulls as null and characters as they are; whether it did.
 
-def append_log(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").json(path)
+    A log does not stop the job that writes it: whatever goes wrong is a warning in the program's own log. Columns
+    without a type are written as null strings. Spark commits the files of an append as a whole, so a failed one leaves no rows.
+    """
+    try:
+        typed = rows.withColumns({c: F.col(f"`{c}`").cast("string") for c, kind in rows.dtypes if kind == "void"}) if "void" in dict(rows.dtypes).values() else rows
+        typed.write.mode("append").option("ignoreNullFields", "false").json(path)
+    except Exception as error:  # noqa: BLE001  any failure, also of the rows' own plan
+        logger.warning("append to %s failed: %s", path, str(error).split("\n")[0])
+        return False
+    return True
 
 
 def write_cache(entries: DataFrame, path: str) -> None:
