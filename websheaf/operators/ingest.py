@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from websheaf.operators.ordered import numbered
+from websheaf.operators.shared import fresh
+
 
 def classified(entries: DataFrame, existing: DataFrame, excluded: DataFrame, keys: list[str]) -> DataFrame:
     """Adds `state`: excluded where the url is excluded, else have where the keys exist, else new.
@@ -165,21 +168,28 @@ def sightings(checks: DataFrame) -> DataFrame:
     )
 
 
-def refill(pool: DataFrame, held: DataFrame, cooling: DataFrame, size: int) -> DataFrame:
-    """The next keys for a buffer: in pool order, without those held or cooling, as many as are missing to `size`."""
-    missing = max(0, size - held.select("key").distinct().count())
-    free = first_per_key(pool, ["key"], "seq").join(held.select("key"), "key", "left_anti").join(cooling.select("key"), "key", "left_anti")
-    return free.orderBy("seq").limit(missing)
-
+def refill(pool: DataFrame, held: DataFrame, cooling: DataFrame, size: int, bucket: Column | None = None) -> DataFrame:
+    """The next keys for a buffer: in pool order, without those held or cooling, as many as are missing to `size`.
 
-def assigned(urls: DataFrame, keys: DataFrame) -> DataFrame:
-    """Urls dealt to keys in turn, both in their order; with more keys than urls the rest double up on urls from the first.
-
-    A batch is as many rows as there are slots, so ordering it is small."""
-    u = urls.withColumn("i", F.row_number().over(Window.orderBy("seq")) - 1).select("url", "i")
-    k = keys.withColumn("j", F.row_number().over(Window.orderBy("seq")) - 1).select("key", "j")
-    n = u.count()
-    return k.withColumn("i", F.col("j") % max(n, 1)).join(u, "i").select("key", "url", "j")
+    One plan: free keys are numbered in order (`bucket`, a coarse monotonic function of seq, by default seq div 10000) and
+    meet the one row that says how many are held."""
+    free = first_per_key(pool, ["key"], "seq").join(held.select("key"), "key", "left_anti").join(cooling.select("key"), "key", "left_anti")
+    nth, one, n = fresh(free, "nth"), fresh(free, "one"), fresh(free, "n_held")
+    numbers = numbered(free, F.expr("seq div 10000") if bucket is None else bucket, ["seq", "key"], nth).withColumn(one, F.lit(1))
+    taken = held.agg(F.countDistinct("key").alias(n), F.lit(1).alias(one))  # one row
+    return numbers.join(taken, one).filter(F.col(nth) <= F.lit(size) - F.col(n)).select(*free.columns)
+
+
+def assigned(urls: DataFrame, keys: DataFrame, bucket: Column | None = None) -> DataFrame:
+    """Urls dealt to keys in turn, both in the order of their seq; with more keys than urls the rest double up on urls from the first.
+
+    Both sides are numbered inside buckets of seq (a coarse monotonic function, by default seq div 10000), so neither passes
+    through one task, and meet on the number modulo the urls."""
+    own = F.expr("seq div 10000") if bucket is None else bucket
+    u = numbered(urls, own, ["seq"], "i").select("url", (F.col("i") - 1).alias("i"))
+    k = numbered(keys, own, ["seq"], "j").select("key", (F.col("j") - 1).alias("j"), F.lit(1).alias("one"))
+    n = urls.agg(F.count("*").alias("n"), F.lit(1).alias("one"))  # one row
+    return k.join(n, "one").filter("n > 0").withColumn("i", F.col("j") % F.col("n")).join(u, "i").select("key", "url", "j")
 
 
 def allocation(strata: DataFrame, total: int, floor: int = 5) -> DataFrame:

@@ -60,8 +60,9 @@ def _pairs(m) -> F.Column:
 def pool_docs(s: SparkSession, d: str) -> DataFrame:
     """Every bucket with the whole text of a document; documents are dealt to buckets over their whole table."""
     docs = load(s, d, "documents").select("doc_id", "text")
-    own = F.expr("seq div 100000") % F.lit(docs.count())
-    return _buckets(s, d).withColumn("doc_id", own).join(docs, "doc_id").select("query_id", "url", "seq", "min_position", "engines", "text")
+    n = docs.agg(F.count("*").alias("n_docs"), F.lit(1).alias("one"))  # one row
+    dealt = _buckets(s, d).withColumn("one", F.lit(1)).join(n, "one").withColumn("doc_id", F.expr("seq div 100000 % n_docs"))
+    return dealt.join(docs, "doc_id").select("query_id", "url", "seq", "min_position", "engines", "text")
 
 
 def query_texts(pool: DataFrame) -> DataFrame:
@@ -115,9 +116,9 @@ def r07(s: SparkSession, d: str) -> DataFrame:
 def r09_two_stages(s: SparkSession, d: str) -> DataFrame:
     """The best 50 of each pool by BM25, then 10 by cosine; a bucket's vector is dealt to it over the whole table."""
     vectors = load(s, d, "embeddings")
-    own = F.expr("seq div 100000") % vectors.agg(F.count("*")).first()[0]
+    n = vectors.agg(F.count("*").alias("n"), F.lit(1).alias("one"))  # one row
     pool, asked = _pool_and_queries(s, d)
-    dealt = pool.withColumn("vec_id", own).join(vectors.select("vec_id", F.col("embedding").alias("v")), "vec_id").select("query_id", "url", "seq", "v")
+    dealt = pool.withColumn("one", F.lit(1)).join(n, "one").withColumn("vec_id", F.expr("seq div 100000 % n")).join(vectors.select("vec_id", F.col("embedding").alias("v")), "vec_id").select("query_id", "url", "seq", "v")
     first = dealt.groupBy("query_id").agg(F.min(F.struct("seq", "v")).alias("m")).select("query_id", F.col("m.v").alias("q"))
     return ranking.reranked(ranking.bm25(pool, asked), dealt.select("query_id", "url", "v"), first).select("query_id", "url", "score", "rank")
 

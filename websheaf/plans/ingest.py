@@ -38,7 +38,7 @@ def _story_entries(s: SparkSession, d: str) -> DataFrame:
 
 
 def j18(s: SparkSession, d: str) -> DataFrame:
-    e = s.range(3500).select(F.concat(F.lit("https://news.example.org/story-"), F.col("id").cast("string")).alias("url"))
+    e = load(s, d, "orders").select(F.concat(F.lit("https://news.example.org/story-"), (F.col("o_orderkey") % 4000).cast("string")).alias("url")).distinct()
     return ingest.ride_manifest(e, _jobs(s, d))
 
 
@@ -86,19 +86,20 @@ def c23_statuses(s: SparkSession, d: str) -> DataFrame:
 
 
 def j14(s: SparkSession, d: str) -> DataFrame:
-    sample = s.range(450).select((F.col("id") * 2).alias("key"), (F.col("id") % 3 == 0).alias("alive"))
-    return ingest.attribution(sample, _proxies(s, d).filter("part = 1"))
+    sample = load(s, d, "part").select((F.col("p_partkey") % 900).cast("long").alias("key")).distinct().withColumn("alive", F.col("key") % 3 == 0)
+    return ingest.attribution(sample, _proxies(s, d))
 
 
 def x06(s: SparkSession, d: str) -> DataFrame:
     pool = load(s, d, "lineitem").select((F.col("l_partkey") % 900).cast("long").alias("key"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("long").alias("seq"))
-    return ingest.refill(pool, s.range(0, 900, 5).withColumnRenamed("id", "key"), s.range(0, 900, 7).withColumnRenamed("id", "key"), 400).select("key", "seq")
+    held = load(s, d, "customer").filter("c_custkey % 5 = 0").select((F.col("c_custkey") % 900).cast("long").alias("key"))
+    cooling = load(s, d, "supplier").select((F.col("s_suppkey") * 7 % 900).cast("long").alias("key"))
+    return ingest.refill(pool, held, cooling, 400).select("key", "seq")
 
 
 def x07(s: SparkSession, d: str) -> DataFrame:
-    urls = s.range(30).select(F.concat(F.lit("u"), F.col("id").cast("string")).alias("url"), F.col("id").alias("seq"))
-    keys = load(s, d, "customer").filter("c_custkey <= 70").select(F.col("c_custkey").cast("long").alias("key"), F.col("c_custkey").alias("seq"))
-    return ingest.assigned(urls, keys)
+    urls = load(s, d, "supplier").select(F.concat(F.lit("u"), F.col("s_suppkey").cast("string")).alias("url"), F.col("s_suppkey").alias("seq"))
+    return ingest.assigned(urls, load(s, d, "customer").select(F.col("c_custkey").cast("long").alias("key"), F.col("c_custkey").alias("seq")), F.expr("seq div 100"))
 
 
 QUERIES = {
@@ -110,7 +111,7 @@ QUERIES = {
     "j10_filter_diff": lambda s, d: manifest(s, d).select("url").distinct().join(manifest(s, d).filter("status = 'ok'").select("url"), "url", "left_anti"),
     "j13_snapshot_diff": lambda s, d: ingest.snapshot_diff(_proxies(s, d).filter("part <= 2 and source <> 3"), _proxies(s, d).filter("part >= 6 and source <> 5")),
     "j14_attribution": j14,
-    "j15_stale": lambda s, d: ingest.stale(s.range(200).select(F.col("id").alias("key")), _checks(s, d).select("key", F.col("ts").alias("seen_at")), F.lit("2024-01-31 00:00:00").cast("timestamp"), 43200),
+    "j15_stale": lambda s, d: ingest.stale(load(s, d, "customer").select(F.col("c_custkey").cast("long").alias("key")), _checks(s, d).select("key", F.col("ts").alias("seen_at")), F.lit("2024-01-31 00:00:00").cast("timestamp"), 43200),
     "j17_manifest_states": lambda s, d: ingest.manifest_states(_story_entries(s, d), manifest(s, d).filter("status = 'ok' and run_id < 8"), manifest(s, d).filter("status = 'failed' and run_id < 20")).select("seq", "status"),
     "j18_ride_manifest": j18,
     "a30_pool_overlap": lambda s, d: ingest.pool_overlap(_proxies(s, d).withColumnRenamed("source", "bucket")),
@@ -156,11 +157,11 @@ SQL = {
     "j10_filter_diff": sql("SELECT DISTINCT url FROM manifest EXCEPT SELECT url FROM manifest WHERE status = 'ok'"),
     "j13_snapshot_diff": sql("""SELECT source, CASE WHEN count(o) = 0 THEN 0 ELSE count(*) FILTER (o IS NULL) END AS added, CASE WHEN count(o) = 0 THEN 0 ELSE count(*) FILTER (n IS NULL) END AS dropped FROM
   (SELECT DISTINCT source, key, 1 AS o FROM listed_proxies WHERE part <= 2 AND source <> 3) a FULL JOIN (SELECT DISTINCT source, key, 1 AS n FROM listed_proxies WHERE part >= 6 AND source <> 5) b USING (source, key) GROUP BY source HAVING count(n) > 0"""),
-    "j14_attribution": sql("""SELECT source, count(*) AS seen, count(*) FILTER (key // 2 % 3 = 0) AS alive, count(*) FILTER (key // 2 % 3 = 0 AND k = 1) AS alone FROM (SELECT DISTINCT source, key FROM listed_proxies WHERE part = 1) a
-  JOIN (SELECT key, count(DISTINCT source) AS k FROM listed_proxies WHERE part = 1 GROUP BY key) c USING (key) WHERE key % 2 = 0 GROUP BY source"""),
-    "j15_stale": sql("SELECT key, t IS NULL OR epoch(TIMESTAMP '2024-01-31 00:00:00') - t >= 43200 AS \"check\" FROM (SELECT unnest(range(0, 200)) AS key) k LEFT JOIN (SELECT proxy_key AS key, epoch(max(ts)) AS t FROM attempts GROUP BY 1) a USING (key)"),
+    "j14_attribution": sql("""SELECT source, count(*) AS seen, count(*) FILTER (key % 3 = 0) AS alive, count(*) FILTER (key % 3 = 0 AND k = 1) AS alone FROM (SELECT DISTINCT source, key FROM listed_proxies) a
+  JOIN (SELECT key, count(DISTINCT source) AS k FROM listed_proxies GROUP BY key) c USING (key) WHERE key IN (SELECT p_partkey % 900 FROM part) GROUP BY source"""),
+    "j15_stale": sql("SELECT key, t IS NULL OR epoch(TIMESTAMP '2024-01-31 00:00:00') - t >= 43200 AS \"check\" FROM (SELECT c_custkey::BIGINT AS key FROM customer) k LEFT JOIN (SELECT proxy_key AS key, epoch(max(ts)) AS t FROM attempts GROUP BY 1) a USING (key)"),
     "j17_manifest_states": sql("SELECT seq, CASE WHEN url IN (SELECT url FROM manifest WHERE status = 'ok' AND run_id < 8) THEN 'ok' WHEN url IN (SELECT url FROM manifest WHERE status = 'failed' AND run_id < 20) THEN 'dead' ELSE 'failed' END AS status FROM stories", stories=_STORIES),
-    "j18_ride_manifest": sql("""SELECT url, CASE WHEN f IS NOT NULL THEN 'ok' ELSE 'failed' END AS status, f AS file, c AS char_count, CASE WHEN f IS NULL THEN coalesce(e, 'not fetched') END AS error FROM (SELECT 'https://news.example.org/story-' || i AS url FROM (SELECT unnest(range(0, 3500)) AS i) r) u
+    "j18_ride_manifest": sql("""SELECT url, CASE WHEN f IS NOT NULL THEN 'ok' ELSE 'failed' END AS status, f AS file, c AS char_count, CASE WHEN f IS NULL THEN coalesce(e, 'not fetched') END AS error FROM (SELECT DISTINCT 'https://news.example.org/story-' || (o_orderkey % 4000) AS url FROM orders) u
   LEFT JOIN (SELECT url, arg_max('f' || seq, seq) FILTER (status = 'ok' AND char_count % 5 > 0) AS f, arg_max(char_count, seq) FILTER (status = 'ok' AND char_count % 5 > 0) AS c, 'e' || arg_max(status, seq) AS e FROM manifest GROUP BY url) m USING (url)"""),
     "a30_pool_overlap": sql("SELECT sum(raw)::BIGINT AS raw, sum(u)::BIGINT AS per_bucket, any_value(o) AS overall, (sum(u) - any_value(o))::BIGINT AS overlap FROM (SELECT count(*) AS raw, count(DISTINCT key) AS u, (SELECT count(DISTINCT key) FROM listed_proxies) AS o FROM listed_proxies GROUP BY source) x"),
     "a31_first_per_key": sql("SELECT url, min(seq) AS seq, arg_min(status, seq) AS status FROM manifest GROUP BY url"),
@@ -174,8 +175,9 @@ SQL = {
     "s18_upsert": sql("SELECT url AS hash, coalesce(arg_max(status, seq) FILTER (seq % 2 = 1), arg_max(status, seq)) AS status, coalesce(arg_max(char_count, seq) FILTER (seq % 2 = 1), arg_max(char_count, seq)) AS char_count, CASE WHEN count(*) FILTER (seq % 2 = 0) > 0 THEN 0 ELSE 1 END AS from_new FROM manifest GROUP BY url"),
     "s23_pages_until": sql("SELECT batch, oldest, n FROM (SELECT *, max((oldest < '1995-06-01')::INTEGER) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS gone FROM (SELECT 9999 - left(publication_date, 4)::INTEGER AS batch, min(publication_date) AS oldest, count(*) AS n FROM entries GROUP BY 1)) x WHERE coalesce(gone, 0) = 0"),
     "w11_allocation": sql("SELECT stratum, size, least(n + CASE WHEN row_number() OVER (ORDER BY size DESC, stratum) = 1 THEN greatest(1000 - sum(n) OVER (), 0) ELSE 0 END, size)::BIGINT AS take FROM (SELECT *, 5 + floor(greatest(1000 - 5 * count(*) OVER (), 0) * size / sum(size) OVER ())::BIGINT AS n FROM (SELECT left(publication_date, 4) AS stratum, count(*) AS size FROM entries GROUP BY 1)) x"),
-    "x06_refill": "SELECT key, seq FROM (SELECT (l_partkey % 900)::BIGINT AS key, min(l_orderkey * 10 + l_linenumber)::BIGINT AS seq FROM lineitem GROUP BY 1) p WHERE key % 5 > 0 AND key % 7 > 0 ORDER BY seq LIMIT 220",
-    "x07_assignment": "SELECT c_custkey::BIGINT AS key, 'u' || (c_custkey % 30) AS url, c_custkey::BIGINT AS j FROM customer WHERE c_custkey <= 70",
+    "x06_refill": """SELECT key, seq FROM (SELECT *, row_number() OVER (ORDER BY seq, key) AS n FROM (SELECT (l_partkey % 900)::BIGINT AS key, min(l_orderkey * 10 + l_linenumber)::BIGINT AS seq FROM lineitem GROUP BY 1) p
+  WHERE key NOT IN (SELECT c_custkey % 900 FROM customer WHERE c_custkey % 5 = 0) AND key NOT IN (SELECT s_suppkey * 7 % 900 FROM supplier)) x WHERE n <= 400 - (SELECT count(DISTINCT c_custkey % 900) FROM customer WHERE c_custkey % 5 = 0)""",
+    "x07_assignment": "SELECT key, 'u' || s_suppkey AS url, j FROM (SELECT c_custkey::BIGINT AS key, row_number() OVER (ORDER BY c_custkey) - 1 AS j FROM customer) k JOIN (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) - 1 AS i FROM supplier) u ON i = j % (SELECT count(*) FROM supplier)",
     "p35_sitemaps": "SELECT 'https://x/post_type_post_' || i || '.xml' AS url, i::INTEGER AS n FROM (SELECT unnest(range(24, 27)) AS i) r",
     "c07_keep_first": sql("SELECT url AS key, min(seq) AS seq FROM stories GROUP BY url", stories=_STORIES),
     "c23_breadth_first": _recursive("SELECT node, depth FROM bfs", reach=_reach("SELECT unnest([0, 7, 14]) AS node", 3)),
