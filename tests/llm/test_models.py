@@ -310,3 +310,15 @@ def test_long_texts_and_chains():
     scores, spans = model.score(["word " * 50_000, "", "vile fiend"], True)
     assert len(scores) == 3 and spans[1] == []
     assert scores[2] > scores[1]
+
+
+def test_languages_of_long_rows_only_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "SAMPLE_CHARS", 300)
+    a, b = "der schnelle braune fuchs und die katze ", "the quick brown fox and that cat "
+    rows = [(i, (a if i % 2 else b) * (20 if i % 2 else 3), "de" if i % 2 else "en", "s", 0) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    model = language_id.trained(docs)
+    assert model.languages == ["de", "en"]
+    assert {(r.doc_id % 2, r.lang_pred) for r in language_id.predictions(docs, model).collect()} == {(1, "de"), (0, "en")}
+    monkeypatch.setattr(language_id, "SAMPLE_TOTAL_CHARS", 1200)
+    assert language_id.trained(docs).languages == ["de", "en"]

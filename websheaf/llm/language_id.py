@@ -16,6 +16,8 @@ from websheaf.llm.storage import dropped, held_out, table, written
 #: The classifier is fitted on about so many labelled rows of each language, drawn by hash, of at most so many characters, and
 #: on about SAMPLE_TOTAL rows of all languages: where there are many languages, each gives fewer.
 SAMPLE_ROWS, SAMPLE_TOTAL, SAMPLE_CHARS, SEED = 800, 40_000, 50_000, 11
+#: Characters of the sample in all; with these a vector entry takes 6 bytes, so the driver gets some hundred MB at most.
+SAMPLE_TOTAL_CHARS = 32_000_000
 #: Hashed features; n-grams are of so many bytes; centroids a language; rounds of clustering.
 BUCKETS, GRAMS, CENTROIDS, ROUNDS = 1 << 14, (2, 3, 4), 4, 12
 #: Texts farther than this (1 - cosine) from every centroid are marked as rejected.
@@ -111,17 +113,22 @@ def _gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def trained(docs: DataFrame) -> LanguageModel:
     """From rows with a language whose crc32(doc_id as text) mod 4 is not 2: a bounded sample of each language.
 
-    Languages are counted over all rows; each then gives about SAMPLE_ROWS rows, those with the smallest hashes of id and
-    text (rows that repeat both count once), and one row at least. n-grams are counted on the executors, so the driver
-    holds vectors of bounded size and no text.
+    Languages are counted over all rows; each then gives about SAMPLE_ROWS rows (fewer where there are many languages or
+    texts are long: SAMPLE_TOTAL rows and SAMPLE_TOTAL_CHARS characters in all), those with the smallest hashes of id and text
+    (rows that repeat both count once), and one row at least. Rows of over SAMPLE_CHARS characters are drawn only for
+    languages that have no others, and then give their first SAMPLE_CHARS. n-grams are counted on the executors, so the
+    driver holds vectors of bounded number and size, and no text.
     """
     rows = docs.filter("lang is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    rows = rows.filter(~held_out(F.col("doc_id")) & (F.length("text") <= SAMPLE_CHARS))
-    rows = rows.withColumn("turn", F.xxhash64("doc_id", "text", F.lit(SEED)))
-    sizes = written(rows.groupBy(F.col("lang").alias("of")).agg(F.count("*").alias("n"), F.min("turn").alias("first")), "languages")
-    each = min(SAMPLE_ROWS, SAMPLE_TOTAL / max(1, sizes.count()))
-    drawn = rows.join(sizes, F.col("lang") == F.col("of"))
-    early = F.pmod("turn", F.lit(1 << 30)) < F.lit(each * (1 << 30)) / F.col("n")
+    rows = rows.filter(~held_out(F.col("doc_id")))
+    rows = rows.withColumns({"turn": F.xxhash64("doc_id", "text", F.lit(SEED)), "whole": F.length("text") <= SAMPLE_CHARS}).withColumn("text", F.left("text", F.lit(SAMPLE_CHARS)))
+    counts = rows.groupBy("lang", "whole").agg(F.count("*").alias("n"), F.min("turn").alias("first"), F.avg(F.length("text")).alias("chars"))
+    best = counts.groupBy(F.col("lang").alias("of")).agg(F.max(F.struct("whole", "n", "first", "chars")).alias("b"))  # whole ones, where there are any
+    sizes = written(best.select("of", F.col("b.whole").alias("of_whole"), "b.n", "b.first", "b.chars"), "languages")
+    languages = max(1, sizes.count())
+    each = F.least(F.lit(min(SAMPLE_ROWS, SAMPLE_TOTAL / languages)), F.lit(SAMPLE_TOTAL_CHARS / languages) / F.greatest("chars", F.lit(1)))
+    drawn = rows.join(sizes, (F.col("lang") == F.col("of")) & (F.col("whole") == F.col("of_whole")))
+    early = F.pmod("turn", F.lit(1 << 30)) < each * (1 << 30) / F.col("n")
     drawn = drawn.filter(early | (F.col("turn") == F.col("first"))).dropDuplicates(["turn", "lang"]).select("turn", "lang", "text")
     found = drawn.mapInArrow(_gram_rows, "turn long, lang string, at binary, counts binary").collect()
     dropped(sizes)
