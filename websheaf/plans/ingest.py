@@ -128,7 +128,7 @@ QUERIES = {
     "w11_allocation": w11,
     "x06_refill": x06,
     "x07_assignment": x07,
-    "p35_sitemaps": lambda s, d: ingest.numbered_sitemaps(s.range(40).select(F.concat(F.lit("https://x/post_type_post_"), F.col("id").cast("string"), F.lit(".xml")).alias("url")), between=(24, 26)).select("url", "n"),
+    "p35_sitemaps": lambda s, d: ingest.numbered_sitemaps(load(s, d, "orders").select(F.concat(F.lit("https://x/post_type_post_"), (F.col("o_custkey") % 700).cast("string"), F.lit(".xml")).alias("url")).distinct(), between=(24, 26)).select("url", "n"),
     "c07_keep_first": lambda s, d: ingest.first_per_key(_story_entries(s, d).withColumn("key", F.regexp_replace("url", "/$", "")), ["key"], "seq").select("key", "seq"),
     "c23_breadth_first": lambda s, d: _bfs(s, d).select("node", "depth"),
     "c23_statuses": c23_statuses,
@@ -178,7 +178,7 @@ SQL = {
     "x06_refill": """SELECT key, seq FROM (SELECT *, row_number() OVER (ORDER BY seq, key) AS n FROM (SELECT (l_partkey % 900)::BIGINT AS key, min(l_orderkey * 10 + l_linenumber)::BIGINT AS seq FROM lineitem GROUP BY 1) p
   WHERE key NOT IN (SELECT c_custkey % 900 FROM customer WHERE c_custkey % 5 = 0) AND key NOT IN (SELECT s_suppkey * 7 % 900 FROM supplier)) x WHERE n <= 400 - (SELECT count(DISTINCT c_custkey % 900) FROM customer WHERE c_custkey % 5 = 0)""",
     "x07_assignment": "SELECT key, 'u' || s_suppkey AS url, j FROM (SELECT c_custkey::BIGINT AS key, row_number() OVER (ORDER BY c_custkey) - 1 AS j FROM customer) k JOIN (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) - 1 AS i FROM supplier) u ON i = j % (SELECT count(*) FROM supplier)",
-    "p35_sitemaps": "SELECT 'https://x/post_type_post_' || i || '.xml' AS url, i::INTEGER AS n FROM (SELECT unnest(range(24, 27)) AS i) r",
+    "p35_sitemaps": "SELECT DISTINCT 'https://x/post_type_post_' || (o_custkey % 700) || '.xml' AS url, (o_custkey % 700)::INTEGER AS n FROM orders WHERE o_custkey % 700 BETWEEN 24 AND 26",
     "c07_keep_first": sql("SELECT url AS key, min(seq) AS seq FROM stories GROUP BY url", stories=_STORIES),
     "c23_breadth_first": _recursive("SELECT node, depth FROM bfs", reach=_reach("SELECT unnest([0, 7, 14]) AS node", 3)),
     "c23_statuses": _recursive("SELECT node, depth, node % 4 <> 1 AS found FROM bfs", reach=_reach("SELECT unnest([0, 8, 16]) AS node", 2, "r.node % 4 <> 1")),
