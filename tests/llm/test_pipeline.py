@@ -55,7 +55,7 @@ def test_stages_match_brute_force(spark, sf_dir, kept_by_stage):
 def test_stages_are_registered():
     assert len(corpus_pipeline.STAGES) == 5
     assert entry.queries()["pipeline"] is corpus_pipeline.run
-    assert {n.split("_")[0] for n in entry.queries() if n.startswith("op")} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in entry.queries() if n.startswith("op")} == {f"op{i}" for i in range(1, 14)}
 
 
 def odd_tables(spark, folder, rows):
