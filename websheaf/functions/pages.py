@@ -56,6 +56,15 @@ def selected(fit: Column, raw: Column, least: int = 200) -> Column:
     return F.struct(F.when(back, raw).otherwise(fit).alias("text"), back.alias("fell_back"))
 
 
+#: Words of consent walls and how often they make one, texts of browser checks (the last two only together), links to
+#: skip menus, links to headings, and pilcrow links.
+WALL_WORDS, WALL_TIMES = ["cookie", "consent", "duration"], 15
+CHECK_TEXTS, CHECK_PAIR = ["checking your browser", "enable javascript and cookies"], ("just a moment", "cloudflare")
+SKIP_LINK = r"(?dmi)^\s*\[\s*Skip to [^\]]+\]\([^)]+\)\s*$"
+HEADING_LINK = r"\[(#|¶)\]\([^)]+\s+\"(?:Link to this heading|Permalink[^\"]*)\"\)"
+PILCROW_LINK = r"\[¶\]\([^)]*\)"
+
+
 def garbage(text: Column) -> Column:
     """Why a text is no content: the first rule that fires; null for content. Long texts are searched in their head only
     where the rule says so."""
@@ -69,16 +78,16 @@ def garbage(text: Column) -> Column:
         .when(has_any(low, ERROR_TEXTS), "crawl4ai_error")
         .when((n < 1000) & has_any(low, HTTP_TEXTS), "http_error")
         .when((filled >= 20) & (links / filled > 0.6), "nav_dump")
-        .when((times(head, ["cookie", "consent", "duration"]) > 15) & has_any(head, COOKIE_TEXTS), "cookie_wall")
+        .when((times(head, WALL_WORDS) > WALL_TIMES) & has_any(head, COOKIE_TEXTS), "cookie_wall")
         .when((n < 2000) & has_any(low, LOGIN_TEXTS), "login_wall")
-        .when((n < 500) & has_any(low, ["checking your browser", "enable javascript and cookies"]), "cloudflare")
-        .when(low.contains("just a moment") & low.contains("cloudflare"), "cloudflare")
+        .when((n < 500) & has_any(low, CHECK_TEXTS), "cloudflare")
+        .when(low.contains(CHECK_PAIR[0]) & low.contains(CHECK_PAIR[1]), "cloudflare")
     )
 
 
 def crawl_body(text: Column) -> Column:
     """Without pilcrow links, runs of three or more line ends as two, trimmed."""
-    return strip(F.regexp_replace(F.regexp_replace(text, r"\[¶\]\([^)]*\)", ""), "\n{3,}", "\n\n"))
+    return strip(F.regexp_replace(F.regexp_replace(text, PILCROW_LINK, ""), "\n{3,}", "\n\n"))
 
 
 def article_clean(md: Column) -> Column:
@@ -127,11 +136,11 @@ def feed_clean(md: Column) -> Column:
 
 
 def without_skip_links(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?dmi)^\s*\[\s*Skip to [^\]]+\]\([^)]+\)\s*$", "")
+    return F.regexp_replace(text, SKIP_LINK, "")
 
 
 def without_anchors(text: Column) -> Column:
-    return F.regexp_replace(text, r"\[(#|¶)\]\([^)]+\s+\"(?:Link to this heading|Permalink[^\"]*)\"\)", "")
+    return F.regexp_replace(text, HEADING_LINK, "")
 
 
 def without_tail(text: Column) -> Column:
