@@ -239,7 +239,8 @@ def read_back(spark: SparkSession, path: str) -> DataFrame:
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row a conversation of `conversations` and one for -1, read back from the written output. Null texts and roles count as
     empty, null conv_ids are one conversation, rows that share a turn come in the order of their rendered text, null
-    turns first; an empty table gives the row of -1; other columns are ignored."""
+    turns first; rows whose conv_id is -1 are one conversation with the added ones; an empty table gives the row of -1; other
+    columns are ignored."""
     hard = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-1, 0, "user", hard), (-1, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
