@@ -54,6 +54,12 @@ def test_unescape(spark):
     assert column(spark, text.unescape_all, values)[0] == "<"
 
 
+def test_epoch_days_of_far_years(spark):
+    seconds = [0, 86_399, -1, 419_000 * 7 * 86_400, 60_000_000 * 7 * 86_400, None]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(seconds)], "i int, v long").select("i", text.epoch_day(F.col("v")).alias("o"))
+    assert [r.o for r in rows.orderBy("i").collect()] == ["1970-01-01", "1970-01-01", "1969-12-31", "10000-04-13", "1151890-12-11", None]
+
+
 def plain_feed(md):
     ls = md.splitlines()
     start = next((i for i, x in enumerate(ls) if x.startswith("# ")), None)

@@ -166,7 +166,9 @@ def abstract(index: Column) -> Column:
 
 
 def epoch_day(seconds: Column) -> Column:
-    return F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd")
+    """The UTC day of epoch seconds, whatever the session's time zone; years of five digits and more have no sign in front."""
+    day = F.date_from_unix_date(F.floor(seconds / 86400).cast("int"))
+    return F.regexp_replace(day.cast("string"), r"^\+", "")
 
 
 def localised_date(text: Column) -> Column:
