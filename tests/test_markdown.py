@@ -149,3 +149,18 @@ def test_column(spark):
     df = spark.createDataFrame([(1, "<h1>A</h1><div id=onetrust>x</div>"), (2, None), (3, "")], "n int, html string")
     assert [tuple(r) for r in df.select("n", md.markdown(F.col("html")).alias("m")).select("n", "m.raw", "m.removed").orderBy("n").collect()] == [(1, "# A", 1), (2, "", 0), (3, "", 0)]
     assert df.select(md.markdown(F.col("html"), selectors=["h1[class]"]).alias("m")).first().m.removed == 0
+
+
+def test_a_batch_is_written_slice_by_slice(spark):
+    """A slice's pages, not a batch's, are in a worker at once; order, nulls and empty pages stay."""
+    from websheaf.functions import text
+
+    sizes = [0, 3, None, 400_000, 700_000, 2_500_000, 0, 10]
+    texts = text.pa.array([None if n is None else "x" * n for n in sizes])
+    parts = text.ranges(texts)
+    assert [i for a, b in parts for i in range(a, b)] == list(range(len(sizes))) and len(parts) > 2
+    assert all(sum(n or 0 for n in sizes[a + 1 : b]) <= text.SLICE for a, b in parts)  # a slice and one text more
+    assert text.ranges(texts.slice(0, 0)) == []
+    pages = [None, ""] + [f"<p>{i} " + "word " * (i % 7 * 3000) + "<p>end" for i in range(300)]
+    found = spark.createDataFrame(list(enumerate(pages)), "i int, html string").coalesce(1).select("i", md.markdown(F.col("html")).alias("m")).orderBy("i").collect()
+    assert [(r.m.raw, r.m.fit, r.m.removed) for r in found] == [md.page_markdown(p, TESTS) for p in pages]

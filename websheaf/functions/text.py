@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 import html
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 MAX_SNIPPET = 500
+#: Bytes of texts that a Python worker turns into objects at once.
+SLICE = 1_000_000
 #: The English and German stop words of the density measure.
 STOPWORDS = (
     "a about above after again all also although among an and any are as at be because been before being between both but by can could did do"
@@ -51,6 +57,27 @@ def squeezed(text: Column) -> Column:
     return strip(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
+def ranges(texts: pa.Array, most: int = SLICE) -> list[tuple[int, int]]:
+    """[a, b) of parts of an Arrow array of about `most` bytes each, so that a task's memory does not follow the batch."""
+    bytes_ = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(bytes_, dtype=np.int64) // most
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
+    return [(a, b) for a, b in zip(edges, edges[1:]) if b > a]
+
+
+def by_slices(convert: Callable[[list], pa.Array], returns: str):
+    """An Arrow UDF over a column of texts: `convert` makes an array of a list of them (or of nulls), a slice of a batch at a
+    time, and each slice's result leaves the worker before the next one is made."""
+
+    @F.arrow_udf(returns)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for a, b in ranges(batch):
+                yield convert(batch.slice(a, b - a).to_pylist())
+
+    return run
+
+
 @F.pandas_udf(StringType())
 def unescape(text: pd.Series) -> pd.Series:
     """Character references decoded once."""
