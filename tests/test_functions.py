@@ -89,6 +89,27 @@ def test_feed_clean(spark):
     assert column(spark, pages.feed_clean, bodies) == [plain_feed(b) for b in bodies]
 
 
+def computed(column):
+    """How often a column's expression splits a text into lines."""
+    return str(column).count(f"split({'v'},")
+
+
+def test_white_space_of_every_kind(spark):
+    """strip() and squeezed() know the same characters as the regular expressions of Unicode white space."""
+    points = [i for i in range(0x30000) if not 0xD800 <= i < 0xE000]
+    rows = spark.createDataFrame([(chr(i),) for i in points], "c string")
+    word = F.concat("c", F.lit("a"), "c", F.lit(" b  "), "c", "c", F.lit("d "), "c")
+    plain = F.regexp_replace(word, r"(?U)^\s+|\s+$", "")
+    odd = rows.filter((text.strip(word) != plain) | (text.rstrip(word) != F.regexp_replace(word, r"(?U)\s+$", "")) | (text.squeezed(word) != F.regexp_replace(plain, r"(?U)\s+", " ")))
+    assert odd.count() == 0
+
+
+def test_lines_are_made_once(spark):
+    assert computed(pages.feed_body(F.col("v"))) == computed(pages.feed_clean(F.col("v"))) == 1
+    bodies = ["# T\r\npara\r\n\r\nMore For You\r\nx", "a\x85# T\u2028p", "a\n # no", "x\r# T\rp\r## More For You", " # T", "\n\n# T\n[a](b)[c](d)", None]
+    assert column(spark, pages.feed_clean, bodies) == [b if b is None else plain_feed(b) for b in bodies]
+
+
 def test_garbage(spark):
     cases = {
         "minimal_content": "too short", "http_error": "404 page not found " + "x" * 60, "nav_dump": "[a](b)\n" * 30, "cookie_wall": "cookie " * 200 + "cookie preferences", "login_wall": "Please sign in to go on reading " + "x" * 40,

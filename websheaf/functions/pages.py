@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from websheaf.functions.text import strip
+from websheaf.functions.text import bound, rstrip, strip
 
 #: Signals of pages that hold no content.
 ERROR_TEXTS = ["crawl4ai error:", "document is empty", "page is not fully supported"]
@@ -94,31 +94,35 @@ def article_clean(md: Column) -> Column:
     """Article markdown without a site's own additions; lines right-stripped, at most one empty line in a row."""
     for pattern, instead in ARTICLE_REMOVALS:
         md = F.regexp_replace(md, pattern, instead)
-    md = F.array_join(F.transform(lines(md), lambda s: F.regexp_replace(s, r"(?U)\s+$", "")), "\n")
+    md = F.array_join(F.transform(lines(md), rstrip), "\n")
     return strip(F.regexp_replace(md, "\n{3,}", "\n\n"))
 
 
 def feed_body(md: Column) -> Column:
     """Lines from the first H1 to the first end mark after it; all of a text without H1."""
-    ls = lines(md)
-    start = F.array_position(F.transform(ls, lambda s: s.startswith("# ")), True).cast("int")
-    after = F.slice(ls, start + 1, F.size(ls))
-    end = F.array_position(F.transform(after, lambda s: s.rlike("|".join(FEED_ENDS))), True).cast("int")
-    kept = F.when(end > 0, F.slice(ls, start, end)).otherwise(F.slice(ls, start, F.size(ls)))
-    return F.when(start > 0, kept).otherwise(F.array(strip(md)))
+
+    def to_end(ls: Column) -> Column:
+        end = F.array_position(F.transform(F.slice(ls, 2, F.size(ls)), lambda s: s.rlike("|".join(FEED_ENDS))), True).cast("int")
+        return bound(end, lambda n: F.when(n > 0, F.slice(ls, 1, n)).otherwise(ls))
+
+    def from_start(ls: Column) -> Column:
+        start = F.array_position(F.transform(ls, lambda s: s.startswith("# ")), True).cast("int")
+        return bound(start, lambda n: F.when(n > 0, bound(F.slice(ls, n, F.size(ls)), to_end)).otherwise(F.array(strip(md))))
+
+    return bound(lines(md), from_start)
 
 
 def feed_lines(body: Column) -> Column:
     """Lines without bylines, badges, images and tag lists; links as their text; right-stripped."""
     kept = F.filter(body, lambda s: ~s.rlike("|".join(FEED_DROPS)))
     bare = F.transform(kept, lambda s: F.regexp_replace(F.regexp_replace(s, r"\[\]\(.*?\)", ""), r"\[([^\]]+)\]\([^)]+\)", "$1"))
-    return F.transform(bare, lambda s: F.regexp_replace(s, "[ \t]+$", ""))
+    return F.transform(bare, lambda s: F.rtrim(s, F.lit(" \t")))
 
 
 def with_previous(items: Column, f) -> Column:
     """f(previous or null, item) over an array, without looking items up by their place."""
-    shifted = F.concat(F.array(F.lit(None).cast("string")), F.slice(items, 1, F.greatest(F.size(items) - 1, F.lit(0))))
-    return F.zip_with(shifted, items, f)
+    shifted = lambda xs: F.concat(F.array(F.lit(None).cast("string")), F.slice(xs, 1, F.greatest(F.size(xs) - 1, F.lit(0))))
+    return bound(items, lambda xs: F.zip_with(shifted(xs), xs, f))
 
 
 def paragraphs(body: Column) -> Column:
@@ -131,7 +135,7 @@ def paragraphs(body: Column) -> Column:
 
 
 def feed_clean(md: Column) -> Column:
-    has_h1 = F.exists(lines(md), lambda s: s.startswith("# "))
+    has_h1 = md.rlike(rf"(?:\A|{LINE_END})# ")
     return F.when(has_h1, paragraphs(feed_lines(feed_body(md)))).otherwise(strip(md))
 
 
@@ -146,7 +150,7 @@ def without_anchors(text: Column) -> Column:
 def without_tail(text: Column) -> Column:
     """Up to the first tail mark, right-stripped, with one line end."""
     cut = F.get(F.split(text, TAIL, 2), 0)
-    return F.concat(F.regexp_replace(cut, r"(?U)\s+$", ""), F.lit("\n"))
+    return F.concat(rstrip(cut), F.lit("\n"))
 
 
 def chrome_clean(text: Column) -> Column:

@@ -44,17 +44,34 @@ MONTHS = {
     7: "jul july juli", 8: "aug august", 9: "sep sept september", 10: "oct october okt oktober", 11: "nov november", 12: "dec december dez dezember",
 }
 
-_EDGES = r"(?U)^\s+|\s+$"
+#: Unicode white space, and runs of it other than a single space.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_RUN = r"(?U) \s+|[^\S ]\s*"
+
+
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), where `value` is computed once however often f names it."""
+    return F.get(F.transform(F.array(value), f), 0)
 
 
 def strip(text: Column) -> Column:
     """Without Unicode white space at the ends."""
-    return F.regexp_replace(text, _EDGES, "")
+    return F.btrim(text, F.lit(WHITE))
+
+
+def rstrip(text: Column) -> Column:
+    """Without Unicode white space at the end."""
+    return F.rtrim(text, F.lit(WHITE))
+
+
+def single_spaced(text: Column) -> Column:
+    """Every run of white space one space."""
+    return F.regexp_replace(text, _RUN, " ")
 
 
 def squeezed(text: Column) -> Column:
     """Stripped, and every run of white space one space."""
-    return strip(F.regexp_replace(text, r"(?U)\s+", " "))
+    return strip(single_spaced(text))
 
 
 def ranges(texts: pa.Array, most: int = SLICE) -> list[tuple[int, int]]:
