@@ -110,6 +110,13 @@ def test_lines_are_made_once(spark):
     assert column(spark, pages.feed_clean, bodies) == [b if b is None else plain_feed(b) for b in bodies]
 
 
+def test_line_sets_meet_once(spark):
+    assert str(pages.line_scores(F.col("a"), F.col("b"))).count("array_intersect(") == 1
+    rows = spark.createDataFrame([(0, ["a", "b", "c"], ["b", "c", "d", "e"]), (1, [], ["a"]), (2, ["a"], []), (3, ["a"], ["b"]), (4, [], []), (5, ["x"], ["x"])], "i int, a array<string>, b array<string>")
+    found = {r.i: (r.x.recall, r.x.precision, r.x.f1) for r in rows.select("i", pages.line_scores(F.col("a"), F.col("b")).alias("x")).collect()}
+    assert found == {0: (0.5, 2 / 3, pytest.approx(4 / 7)), 1: (0.0, 0.0, 0.0), 2: (0.0, 0.0, 0.0), 3: (0.0, 0.0, 0.0), 4: (0.0, 0.0, 0.0), 5: (1.0, 1.0, 1.0)}
+
+
 def test_garbage(spark):
     cases = {
         "minimal_content": "too short", "http_error": "404 page not found " + "x" * 60, "nav_dump": "[a](b)\n" * 30, "cookie_wall": "cookie " * 200 + "cookie preferences", "login_wall": "Please sign in to go on reading " + "x" * 40,

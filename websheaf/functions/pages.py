@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from websheaf.functions.text import bound, rstrip, strip
+from websheaf.functions.text import bound, rstrip, squeezed, strip
 
 #: Signals of pages that hold no content.
 ERROR_TEXTS = ["crawl4ai error:", "document is empty", "page is not fully supported"]
@@ -174,17 +174,21 @@ def code_blocks(text: Column) -> Column:
 
 def line_set(text: Column) -> Column:
     """Different lines, lower-cased and squeezed, without empty ones and the source comment."""
-    low = F.transform(lines(F.lower(text)), lambda s: strip(F.regexp_replace(s, r"(?U)\s+", " ")))
+    low = F.transform(lines(F.lower(text)), squeezed)
     return F.array_distinct(F.filter(low, lambda s: (s != "") & ~s.startswith("<!-- source:")))
 
 
 def line_scores(found: Column, gold: Column) -> Column:
     """(recall, precision, f1) of two line sets; 0 where either is empty."""
-    common = F.size(F.array_intersect(found, gold))
-    recall, precision = common / F.size(gold), common / F.size(found)
-    both = (F.size(found) > 0) & (F.size(gold) > 0)
-    f1 = F.when(both & (common > 0), 2 * precision * recall / (precision + recall)).otherwise(0.0)
-    return F.struct(F.when(both, recall).otherwise(0.0).alias("recall"), F.when(both, precision).otherwise(0.0).alias("precision"), f1.alias("f1"))
+
+    def scores(n: Column) -> Column:
+        recall, precision = n["common"] / n["gold"], n["common"] / n["found"]
+        both = (n["found"] > 0) & (n["gold"] > 0)
+        f1 = F.when(both & (n["common"] > 0), 2 * precision * recall / (precision + recall)).otherwise(0.0)
+        return F.struct(F.when(both, recall).otherwise(0.0).alias("recall"), F.when(both, precision).otherwise(0.0).alias("precision"), f1.alias("f1"))
+
+    counts = lambda a, b: F.struct(F.size(F.array_intersect(a, b)).alias("common"), F.size(a).alias("found"), F.size(b).alias("gold"))
+    return bound(counts(found, gold), scores)
 
 
 def page_title(page: Column) -> Column:
