@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from websheaf.functions import pages, text, urls
+from websheaf.functions import cleaners, pages, text, urls
 from websheaf.operators import fusion, ingest, quantiles, ranking
 
 
@@ -117,6 +117,16 @@ def test_line_sets_meet_once(spark):
     assert found == {0: (0.5, 2 / 3, pytest.approx(4 / 7)), 1: (0.0, 0.0, 0.0), 2: (0.0, 0.0, 0.0), 3: (0.0, 0.0, 0.0), 4: (0.0, 0.0, 0.0), 5: (1.0, 1.0, 1.0)}
 
 
+def test_titles_are_scored_once(spark):
+    assert str(cleaners.from_title(F.col("v"))).count("aggregate(") == 1
+    src, prose = "<!-- source: https://x/ -->", "words of prose " * 15
+    cases = {
+        f"{src}\n\nnav\n# A\nshort\n# B\n{prose}\n# C\nend": f"{src}\n\n# B\n{prose}\n# C\nend", f"{src}\nnav\n# A\nshort\n# B\n{'[a](b) ' * 90}\n": f"{src}\n\n# A\nshort\n# B\n{'[a](b) ' * 90}\n",
+        f"{src}\nno title\n{prose}": f"{src}\nno title\n{prose}", f"# A\n{prose}": f"# A\n{prose}", "": "", None: None,
+    }
+    assert column(spark, cleaners.from_title, list(cases)) == list(cases.values())
+
+
 def test_garbage(spark):
     cases = {
         "minimal_content": "too short", "http_error": "404 page not found " + "x" * 60, "nav_dump": "[a](b)\n" * 30, "cookie_wall": "cookie " * 200 + "cookie preferences", "login_wall": "Please sign in to go on reading " + "x" * 40,

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from websheaf.functions.pages import with_previous
-from websheaf.functions.text import strip
+from websheaf.functions.text import bound, rstrip, strip
 
 _SOURCE = r"^<!-- source: .* -->\s*\n?"
 #: A line that is a link only, navigation phrases, a heading of any level, and one of the first.
@@ -26,7 +26,7 @@ PROSE = 60
 
 
 def source_line(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_extract(text, _SOURCE, 0), r"(?U)\s+$", "")
+    return rstrip(F.regexp_extract(text, _SOURCE, 0))
 
 
 def seen(line: Column, markup: tuple = _SEEN) -> Column:
@@ -39,28 +39,36 @@ def seen(line: Column, markup: tuple = _SEEN) -> Column:
 def _from_first(text: Column, lines: Column, begins, apt: Column, least: int = 1) -> Column:
     """The source line and the page's lines from the first that `begins` on, where the page is apt and that line is no
     earlier than `least`; else the page as it is."""
-    at = F.array_position(F.transform(lines, begins), True).cast("int")
-    kept = F.concat_ws("\n", source_line(text), F.lit(""), F.slice(lines, F.greatest(at, F.lit(1)), F.size(lines)))
-    return F.when(apt & (at >= least), kept).otherwise(text)
+
+    def cut(ls: Column) -> Column:
+        kept = lambda at: F.concat_ws("\n", source_line(text), F.lit(""), F.slice(ls, at, F.size(ls)))
+        return bound(F.array_position(F.transform(ls, begins), True).cast("int"), lambda at: F.when(at >= least, kept(at)).otherwise(text))
+
+    return F.when(apt, bound(lines, cut)).otherwise(text)
 
 
 def _prose(line: Column) -> Column:
     """A line's length without links and emphasis, if it is prose; else 0."""
-    s = strip(line)
-    n = F.length(seen(s, ((_LINK, "$1"), (r"[\*_`!]", ""))))
-    return F.when((s == "") | s.rlike(r"^[#|]") | s.rlike(_LINK_LINE) | (n <= PROSE), 0).otherwise(n)
+
+    def count(s: Column) -> Column:
+        n = F.length(seen(s, ((_LINK, "$1"), (r"[\*_`!]", ""))))
+        return F.when((s == "") | s.rlike(r"^[#|]") | s.rlike(_LINK_LINE), 0).otherwise(bound(n, lambda k: F.when(k <= PROSE, 0).otherwise(k)))
+
+    return bound(strip(line), count)
 
 
 def from_title(text: Column, least: int = 200) -> Column:
     """A sourced page from its title on: the first H1 with `least` characters of prose before the next one, else the
     first H1. Pages without a source line or an H1 stay."""
-    parts = F.split(text, r"(?dm)(?=^# +\S)")
-    scored = F.transform(parts, lambda p: F.struct(p.alias("p"), p.rlike(_TITLE).alias("h"), F.aggregate(F.split(p, "\n"), F.lit(0), lambda s, x: s + _prose(x)).alias("n")))
-    heads = F.filter(scored, lambda x: x["h"])
-    good = F.array_position(F.transform(heads, lambda x: x["n"] >= least), True).cast("int")
-    kept = F.array_join(F.transform(F.slice(heads, F.greatest(good, F.lit(1)), F.size(parts)), lambda x: x["p"]), "")
-    sourced = (source_line(text) != "") & (F.size(heads) > 0)
-    return F.when(sourced, F.concat(source_line(text), F.lit("\n\n"), kept)).otherwise(text)
+
+    def kept(heads: Column) -> Column:
+        rich = F.transform(heads, lambda p: F.aggregate(F.split(p, "\n"), F.lit(0), lambda s, x: s + _prose(x)) >= least)
+        good = F.array_position(rich, True).cast("int")
+        return F.when(F.size(heads) > 0, F.array_join(F.slice(heads, F.greatest(good, F.lit(1)), F.size(heads)), ""))
+
+    heads = F.filter(F.split(text, r"(?dm)(?=^# +\S)"), lambda p: p.rlike(_TITLE))
+    whole = lambda source: F.when(source != "", F.concat(source, F.lit("\n\n"), bound(heads, kept)))
+    return F.coalesce(bound(source_line(text), whole), text)
 
 
 def from_content(text: Column) -> Column:
@@ -106,18 +114,18 @@ def by_rules(text: Column, domain: Column, rules: list[Rules], fallback_footer:
 
 
 def _cut(ls: Column, footer: str) -> Column:
-    at = F.array_position(F.transform(ls, lambda s: s.rlike(footer)), True).cast("int")
-    return F.when(at > 0, F.slice(ls, 1, at - 1)).otherwise(ls)
+    at = lambda xs: F.array_position(F.transform(xs, lambda s: s.rlike(footer)), True).cast("int")
+    return bound(ls, lambda xs: bound(at(xs), lambda n: F.when(n > 0, F.slice(xs, 1, n - 1)).otherwise(xs)))
 
 
 def _tidy(ls: Column) -> Column:
-    return strip(F.regexp_replace(F.array_join(F.transform(ls, lambda s: F.regexp_replace(s, r"(?U)\s+$", "")), "\n"), "\n{3,}", "\n\n"))
+    return strip(F.regexp_replace(F.array_join(F.transform(ls, rstrip), "\n"), "\n{3,}", "\n\n"))
 
 
 def _by_rule(text: Column, r: Rules) -> Column:
     ls = F.split(F.regexp_replace(text, _SOURCE, ""), "\n")
-    at = F.array_position(F.transform(ls, lambda s: s.rlike(r.start)), True).cast("int")
-    ls = F.slice(ls, F.greatest(at, F.lit(1)), F.size(ls))
+    at = lambda xs: F.array_position(F.transform(xs, lambda s: s.rlike(r.start)), True).cast("int")
+    ls = bound(ls, lambda xs: F.slice(xs, F.greatest(at(xs), F.lit(1)), F.size(xs)))
     if r.footer:
         ls = _cut(ls, r.footer)
     if r.sections:
