@@ -60,6 +60,17 @@ def test_epoch_days_of_far_years(spark):
     assert [r.o for r in rows.orderBy("i").collect()] == ["1970-01-01", "1970-01-01", "1969-12-31", "10000-04-13", "1151890-12-11", None]
 
 
+def test_references_alone_go_to_python(spark):
+    values = [
+        "plain", "", None, "&", "&&amp;", "a&lt", "&notit; &notin; &#10;x&#xA;y&NewLine;z", "&#0;&#x110000;&#xD800;&#128;&#999999999999;", "&" + "x" * 40 + ";", "\r&a\rb;&amp\r", "&é;&ü", "&amp;" * 5000 + "é\U0001f600&euro;",
+        "end&", "&;&#;&#x;&#xg;", "x &copy y&copyz; &AMP;&Amp;", "&CounterClockwiseContourIntegral;&\x0blt;",
+    ]
+    assert column(spark, text.unescape, values) == [v if v is None else html.unescape(v) for v in values]
+    assert column(spark, text.unescape_all, ["&" + "amp;" * 40 + "lt;", None, "", "a"]) == ["<", None, "", "a"]
+    plan = spark.createDataFrame([("x",)], "v string").select(text.unescape(F.col("v")))._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_extract_all" in plan.split("ArrowEvalPython", 1)[1]
+
+
 def plain_feed(md):
     ls = md.splitlines()
     start = next((i for i, x in enumerate(ls) if x.startswith("# ")), None)

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, DataType, StringType
 
 MAX_SNIPPET = 500
 #: Bytes of texts that a Python worker turns into objects at once.
@@ -82,7 +82,7 @@ def ranges(texts: pa.Array, most: int = SLICE) -> list[tuple[int, int]]:
     return [(a, b) for a, b in zip(edges, edges[1:]) if b > a]
 
 
-def by_slices(convert: Callable[[list], pa.Array], returns: str):
+def by_slices(convert: Callable[[list], pa.Array], returns: DataType | str):
     """An Arrow UDF over a column of texts: `convert` makes an array of a list of them (or of nulls), a slice of a batch at a
     time, and each slice's result leaves the worker before the next one is made."""
 
@@ -95,10 +95,16 @@ def by_slices(convert: Callable[[list], pa.Array], returns: str):
     return run
 
 
-@F.pandas_udf(StringType())
-def unescape(text: pd.Series) -> pd.Series:
-    """Character references decoded once."""
-    return text.map(html.unescape, na_action="ignore")
+#: A character reference, as Python's html.unescape finds it; it holds no line end.
+_REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+_decoded = by_slices(lambda found: pa.array([None if x is None else list(map(html.unescape, x.split("\n"))) for x in found], pa.list_(pa.string())), ArrayType(StringType()))
+
+
+def unescape(text: Column) -> Column:
+    """Character references decoded once. Python sees a text's references only, not the text."""
+    decoded = _decoded(F.array_join(F.regexp_extract_all(text, F.lit(_REFERENCE), F.lit(0)), "\n"))
+    whole = F.array_join(F.zip_with(F.split(text, _REFERENCE), decoded, lambda between, found: F.concat(between, F.coalesce(found, F.lit("")))), "")
+    return F.when(F.contains(text, F.lit("&")), whole).otherwise(text)
 
 
 def _fixpoint(text: str) -> str:
@@ -107,10 +113,9 @@ def _fixpoint(text: str) -> str:
     return text
 
 
-@F.pandas_udf(StringType())
-def unescape_all(text: pd.Series) -> pd.Series:
+def unescape_all(text: Column) -> Column:
     """Character references decoded until none is left."""
-    return text.map(_fixpoint, na_action="ignore")
+    return by_slices(lambda texts: pa.array([None if t is None else _fixpoint(t) for t in texts], pa.string()), StringType())(text)
 
 
 def doubled_cut(text: str, lengths: tuple[int, ...] = (100, 70, 50, 30), head: int = 300, starts: int = 100, least: int = 60) -> int:
