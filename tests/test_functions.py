@@ -48,6 +48,14 @@ def test_doubled_beginnings(head, tail):
     assert text.doubled_cut(head + head + tail) == plain_cut(head + head + tail)
 
 
+def test_heads_alone_go_to_python(spark):
+    line = "An ünusual \U0001f600 beginning of thirty characters and more. "
+    values = [None, "", "short", line, line * 2 + "rest", line * 3, line + "x" * 400 + line, line[:30] * 2, "é" * 700]
+    assert column(spark, text.without_doubled, values) == [v if v is None else v[plain_cut(v) :] for v in values]
+    plan = spark.createDataFrame([("x",)], "v string").select(text.without_doubled(F.col("v")))._jdf.queryExecution().executedPlan().toString()
+    assert "left(" in plan.split("ArrowEvalPython", 1)[1].lower() or "substring(" in plan.split("ArrowEvalPython", 1)[1]
+
+
 def test_unescape(spark):
     values = ["&amp;amp;lt;", "&copy 1 &#65;&unknown;", None]
     assert column(spark, text.unescape, values) == [html.unescape(v) if v else None for v in values]

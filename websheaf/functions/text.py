@@ -1,4 +1,4 @@
-"""Text functions as Column expressions; the few that Spark has no expression for are Arrow-batched pandas UDFs."""
+"""Text functions as Column expressions; the few that Spark has no expression for are Arrow UDFs over slices of a batch."""
 
 from __future__ import annotations
 
@@ -6,14 +6,15 @@ import html
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, StringType
+from pyspark.sql.types import ArrayType, DataType, IntegerType, StringType
 
 MAX_SNIPPET = 500
+#: Characters of a text that are searched for a doubled beginning.
+HEAD = 300
 #: Bytes of texts that a Python worker turns into objects at once.
 SLICE = 1_000_000
 #: The English and German stop words of the density measure.
@@ -118,7 +119,7 @@ def unescape_all(text: Column) -> Column:
     return by_slices(lambda texts: pa.array([None if t is None else _fixpoint(t) for t in texts], pa.string()), StringType())(text)
 
 
-def doubled_cut(text: str, lengths: tuple[int, ...] = (100, 70, 50, 30), head: int = 300, starts: int = 100, least: int = 60) -> int:
+def doubled_cut(text: str, lengths: tuple[int, ...] = (100, 70, 50, 30), head: int = HEAD, starts: int = 100, least: int = 60) -> int:
     """Where the longest doubled beginning ends: the farthest end of a second copy of a piece of the text's head, over all
     piece lengths and starts; 0 if nothing is doubled."""
     if len(text) < least:
@@ -132,9 +133,12 @@ def doubled_cut(text: str, lengths: tuple[int, ...] = (100, 70, 50, 30), head: i
     return best
 
 
-@F.pandas_udf(StringType())
-def without_doubled(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: t[doubled_cut(t) :], na_action="ignore")
+_cuts = by_slices(lambda heads: pa.array([None if h is None else doubled_cut(h) for h in heads], pa.int32()), IntegerType())
+
+
+def without_doubled(text: Column) -> Column:
+    """A text from the end of its doubled beginning on. Python sees the head that doubled_cut() looks at, not the text."""
+    return F.substring(text, _cuts(F.left(text, F.lit(HEAD))) + 1, F.length(text))
 
 
 def strip_bloat(text: Column, decode: bool = True, doubled: bool = True) -> Column:
