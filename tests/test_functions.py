@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from websheaf.functions import cleaners, pages, text, urls
 from websheaf.operators import fusion, ingest, quantiles, ranking
+from websheaf.plans import text as plans
 
 
 def column(spark, f, values):
@@ -79,6 +80,27 @@ def test_references_alone_go_to_python(spark):
     assert "regexp_extract_all" in plan.split("ArrowEvalPython", 1)[1]
 
 
+def test_inverted_index_inside_the_row(spark):
+    texts = ["b a b c a b", "", "one", None, " x  x ", "w " * 3000 + "z"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = frame.select("doc_id", text.inverted_index(F.split("text", r"\s+")).alias("x"))
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    want = {}
+    for i, v in enumerate(texts):
+        places = {}
+        for at, w in enumerate(re.split(r"\s+", v) if v is not None else ()):
+            places.setdefault(w, []).append(at)
+        want[i] = None if v is None else places
+    assert {r.doc_id: r.x for r in rows.collect()} == want
+    back = frame.select("doc_id", text.abstract(text.inverted_index(F.split("text", r"\s+"))).alias("x"))
+    assert {r.doc_id: r.x for r in back.collect()} == {i: v if v is None else re.sub(r"\s+", " ", v) for i, v in enumerate(texts)}
+    assert spark.range(1).select(text.abstract(F.expr("map('b', array(1, 0), 'a', array(1, 2))")).alias("x")).first().x == "b b a"
+
+
+def test_abstracts_need_no_shuffle(spark, sf_dir):
+    assert "Exchange" not in plans.QUERIES["t16_abstract"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+
+
 def plain_feed(md):
     ls = md.splitlines()
     start = next((i for i, x in enumerate(ls) if x.startswith("# ")), None)

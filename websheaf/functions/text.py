@@ -209,11 +209,23 @@ def citation(family: Column, initial: Column, n_authors: Column, year: Column, c
     return F.when(year.isNull(), "").when(container.isNull(), stem).otherwise(F.concat(stem, F.lit(", "), container))
 
 
+def inverted_index(words: Column) -> Column:
+    """Map of an array's words to their positions from 0, ascending: one sort inside the row, no shuffle."""
+
+    def grouped(s: Column) -> Column:
+        begins = F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (F.get(s, i - 1)["w"] != x["w"]), i)), lambda i: i.isNotNull())
+        places = lambda a, z: F.transform(F.sequence(a, z), lambda i: F.get(s, i)["at"])
+        entry = lambda starts: F.transform(starts, lambda a, k: F.struct(F.get(s, a)["w"].alias("w"), places(a, F.coalesce(F.get(starts, k + 1), F.size(s)) - 1).alias("ats")))
+        return bound(begins, entry)
+
+    pairs = F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("at")))
+    return F.map_from_entries(bound(F.sort_array(pairs), grouped))
+
+
 def abstract(index: Column) -> Column:
     """Text of an inverted index (word -> positions): words by position; where two claim one, the later in word order."""
     flat = F.flatten(F.transform(F.map_entries(index), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("p"), e["key"].alias("w")))))
-    ordered = F.array_sort(flat)
-    pairs = F.zip_with(ordered, F.slice(ordered, 2, F.greatest(F.size(ordered), F.lit(1))), lambda x, y: F.struct(x.alias("x"), y["p"].alias("next")))
+    pairs = bound(F.sort_array(flat), lambda o: F.zip_with(o, F.slice(o, 2, F.greatest(F.size(o), F.lit(1))), lambda x, y: F.struct(x.alias("x"), y["p"].alias("next"))))
     last = F.filter(pairs, lambda e: F.coalesce(e["next"] != e["x"]["p"], F.lit(True)) & e["x"].isNotNull())
     return F.array_join(F.transform(last, lambda e: e["x"]["w"]), " ")
 

@@ -91,10 +91,8 @@ def _line_f1(s: SparkSession, d: str) -> DataFrame:
 
 
 def _abstract(s: SparkSession, d: str) -> DataFrame:
-    words = F.split("text", r"[\s]+")
-    flat = load(s, d, "documents").select("doc_id", F.posexplode(words).alias("at", "w"))
-    index = flat.groupBy("doc_id", "w").agg(F.collect_list("at").alias("ats")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "ats"))).alias("index"))
-    return index.select("doc_id", t.abstract(F.col("index")).alias("abstract"))
+    index = t.inverted_index(F.split("text", r"[\s]+"))
+    return load(s, d, "documents").select("doc_id", t.abstract(index).alias("abstract"))
 
 
 def _dates(s: SparkSession, d: str) -> DataFrame:
