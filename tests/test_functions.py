@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from websheaf.functions import cleaners, pages, text, urls
-from websheaf.operators import fusion, ingest, quantiles, ranking
+from websheaf.operators import fusion, ingest, ordered, quantiles, ranking
 from websheaf.plans import text as plans
 
 
@@ -168,6 +168,34 @@ def test_titles_are_scored_once(spark):
     assert column(spark, cleaners.from_title, list(cases)) == list(cases.values())
 
 
+def test_fine_buckets_are_summed_before_one_task_sees_them(spark):
+    """The window over all buckets gets a row for SPAN neighbours; negative buckets and dates keep their order."""
+    seqs = list(range(-3000, 9000, 2)) + [5_000_000, 5_000_001, -4_000_000]
+    frame = spark.createDataFrame([(n, n % 5) for n in seqs], "seq long, v long").repartition(5)
+    want, total = {}, 0
+    for n in sorted(seqs):
+        total += n % 5
+        want[n] = total
+    for bucket in (F.col("seq"), F.expr("cast(floor(seq / 3) as int)"), F.date_add(F.lit("2000-01-01").cast("date"), F.expr("cast(floor(seq / 40) as int)")), F.col("seq").cast("double")):
+        found = ordered.numbered(frame, bucket, ["seq"], value=F.col("v"))
+        assert {r.seq: r.nth for r in found.collect()} == want and found.columns == ["seq", "v", "nth"]
+    spans = ordered.numbered(frame, F.col("seq"), ["seq"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "shiftright" in spans
+
+
+def test_rows_never_come_to_one_task(spark):
+    """A join with a window over all buckets leaves the rows dealt out, also where the buckets are few."""
+    frame = spark.range(0, 40_000, 1, 8).select(F.col("id").alias("seq"), F.timestamp_seconds(F.col("id") * 60).alias("ts"))
+    for found in (ordered.numbered(frame, F.expr("seq div 10"), ["seq"]), ordered.gaps(frame, F.to_date("ts"), "ts", ["ts", "seq"])):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        try:
+            assert found.groupBy(F.spark_partition_id().alias("p")).count().agg(F.max("count")).first()[0] < 20_000
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+            spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 def test_garbage(spark):
     cases = {
         "minimal_content": "too short", "http_error": "404 page not found " + "x" * 60, "nav_dump": "[a](b)\n" * 30, "cookie_wall": "cookie " * 200 + "cookie preferences", "login_wall": "Please sign in to go on reading " + "x" * 40,

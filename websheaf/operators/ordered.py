@@ -5,30 +5,49 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, DateType, IntegerType, LongType, ShortType
 
 from websheaf.operators.shared import fresh
 
+#: Neighbouring buckets, a power of two, that are summed before all are put in order.
+SPAN = 1024
+
 
 def numbered(df: DataFrame, bucket: Column, order: list, name: str = "nth", value: Column | None = None) -> DataFrame:
     """Adds the running sum of `value` (of 1: the row's number, from 1) in the order of (bucket, *order).
 
     `bucket` is a coarse, monotonic function of the order, such as the day of a time or seq div 10000.
     """
-    b, v, t, base = (fresh(df, x) for x in ("bucket", "value", "total", "base"))
+    b, v, t, base, coarse = (fresh(df, x) for x in ("bucket", "value", "total", "base", "coarse"))
     rows = df.withColumn(b, bucket).withColumn(v, F.lit(1).cast("long") if value is None else value.cast("long"))
-    before = Window.orderBy(b).rowsBetween(Window.unboundedPreceding, -1)  # over buckets
-    totals = rows.groupBy(b).agg(F.sum(v).alias(t)).select(b, F.coalesce(F.sum(t).over(before), F.lit(0)).alias(base))
+    totals = _before(rows.groupBy(b).agg(F.sum(v).alias(t)), b, t, base, coarse)
     inside = Window.partitionBy(b).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return rows.join(totals, b).withColumn(name, F.col(base) + F.sum(v).over(inside)).drop(b, v, base)
 
 
+def _before(totals: DataFrame, b: str, t: str, base: str, coarse: str) -> DataFrame:
+    """(b, base): per bucket the sum of the totals of all buckets before it. Whole numbers and dates are put together by SPAN
+    first, so that the one task that sees all of them has a row for SPAN neighbouring buckets, however fine these are. Its rows are
+    dealt out again before they are joined: Spark would bring the other side, the whole table, to that one task."""
+    kind = totals.schema[b].dataType
+    whole = isinstance(kind, (ByteType, ShortType, IntegerType, LongType))
+    up_to = lambda w: F.coalesce(F.sum(t).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    if not whole and not isinstance(kind, DateType):
+        return totals.select(b, up_to(Window.orderBy(b)).alias(base)).repartition(b)
+    number = F.col(b) if whole else F.unix_date(b)
+    fine = totals.withColumn(coarse, F.shiftright(number.cast("long"), SPAN.bit_length() - 1))
+    above = fine.groupBy(coarse).agg(F.sum(t).alias(t)).select(F.col(coarse).alias(base + "_of"), up_to(Window.orderBy(coarse)).alias(base)).repartition(base + "_of")
+    inner = fine.withColumn(t, up_to(Window.partitionBy(coarse).orderBy(b)))
+    return inner.join(above, F.col(coarse).eqNullSafe(F.col(base + "_of"))).select(b, (F.col(base) + F.col(t)).alias(base))
+
+
 def gaps(df: DataFrame, bucket: Column, ts: str, order: list, name: str = "gap_s") -> DataFrame:
     """Adds the seconds since the row before, in the order of (bucket, *order); null for the first."""
     b, end, last = (fresh(df, x) for x in ("bucket", "end", "last"))
     rows = df.withColumn(b, bucket)
     inside = Window.partitionBy(b).orderBy(*order)
     earlier = Window.orderBy(b)
-    ends = rows.groupBy(b).agg(F.max(ts).alias(end)).select(b, F.lag(end).over(earlier).alias(last))
+    ends = rows.groupBy(b).agg(F.max(ts).alias(end)).select(b, F.lag(end).over(earlier).alias(last)).repartition(b)  # else the rows come to the window's one task
     seen = F.coalesce(F.lag(ts).over(inside), F.col(last))
     return rows.join(ends, b).withColumn(name, F.col(ts).cast("double") - seen.cast("double")).drop(b, last)
 
@@ -44,7 +63,7 @@ def carried(df: DataFrame, by: list[str], bucket: Column, order: list[str], valu
     rows = df.withColumn(b, bucket).withColumn(v, F.when(value.isNotNull(), F.struct(*order, value.alias("value"))))
     ends = rows.groupBy(*by, b).agg(F.max(v).alias(last))
     before = Window.partitionBy(*by).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)  # over buckets
-    ends = ends.select(*[F.col(c).alias(f"{known}_{c}") for c in by], F.col(b).alias(known), F.last(last, ignorenulls=True).over(before).alias(last))
+    ends = ends.select(*[F.col(c).alias(f"{known}_{c}") for c in by], F.col(b).alias(known), F.last(last, ignorenulls=True).over(before).alias(last)).repartition(*[f"{known}_{c}" for c in by], known)
     same = rows[b].eqNullSafe(ends[known])
     for c in by:
         same = same & rows[c].eqNullSafe(ends[f"{known}_{c}"])
