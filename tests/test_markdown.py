@@ -6,10 +6,12 @@ import math
 import re
 from html.parser import HTMLParser
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from websheaf.functions import markdown as md
+from websheaf.plans import markup
 
 TESTS = tuple(map(md.Selector.of, md.CONSENT))
 
@@ -164,3 +166,15 @@ def test_a_batch_is_written_slice_by_slice(spark):
     pages = [None, ""] + [f"<p>{i} " + "word " * (i % 7 * 3000) + "<p>end" for i in range(300)]
     found = spark.createDataFrame(list(enumerate(pages)), "i int, html string").coalesce(1).select("i", md.markdown(F.col("html")).alias("m")).orderBy("i").collect()
     assert [(r.m.raw, r.m.fit, r.m.removed) for r in found] == [md.page_markdown(p, TESTS) for p in pages]
+
+
+def test_notices_of_pages_without_html_or_article(spark, tmp_path):
+    """As in the SQL: no row without html, and a notice that goes again on every other page."""
+    path = str(tmp_path / "pages.parquet")
+    pages = [(0, None), (1, ""), (2, '<nav><ul><li><a href="/a">b</a></li></ul></nav>'), (3, "<article><h1>A</h1><p><b>c<br></article>")]
+    spark.createDataFrame(pages, "page_id long, html string").coalesce(1).write.parquet(path)
+    found = markup.QUERIES["c04_without_consent"](spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{path}/*.parquet'")
+    assert sorted(map(tuple, found)) == sorted(con.execute(markup.SQL["c04_without_consent"]).fetchall())
+    assert [(r.page_id, r.raw, r.removed) for r in sorted(found)] == [(1, "", 1), (2, "* [b](/a)", 1), (3, "# A\n\n**c**", 1)]

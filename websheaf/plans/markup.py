@@ -16,13 +16,15 @@ def _markdown(s: SparkSession, d: str) -> DataFrame:
 
 
 def _without_consent(s: SparkSession, d: str) -> DataFrame:
-    """Every page with a notice that one of the selectors matches, its own navigation inside, in front of the article."""
+    """Every page that has html with a notice that one of the selectors matches, its own navigation inside, in front of the
+    article, or of all if there is none."""
     names = F.array(*[F.struct(F.lit(c.attribute).alias("kind"), F.lit(c.value).alias("value")) for c in _CONSENT])
     pick = F.element_at(names, (F.col("page_id") % len(_CONSENT) + 1).cast("int"))
     kind, value = pick["kind"], pick["value"]
     notice = F.concat(F.lit("<section "), kind, F.lit('="x '), value, F.lit('-y"><p>We value <b>your privacy</b>'), F.regexp_extract("html", "(?s)<nav>.*</nav>", 0), F.lit("</section><article>"))
-    html = F.regexp_replace("html", F.lit("<article>"), F.regexp_replace(notice, r"([\\$])", r"\\$1"))
-    return load(s, d, "pages").select("page_id", value.alias("name"), markdown.markdown(html).alias("m")).select("page_id", "name", "m.raw", "m.removed")
+    placed = F.regexp_replace("html", F.lit("<article>"), F.regexp_replace(notice, r"([\\$])", r"\\$1"))
+    html = F.when(F.contains("html", F.lit("<article>")), placed).otherwise(F.concat(notice, "html"))
+    return load(s, d, "pages").filter("html IS NOT NULL").select("page_id", value.alias("name"), markdown.markdown(html).alias("m")).select("page_id", "name", "m.raw", "m.removed")
 
 
 def _day(n: int) -> F.Column:
